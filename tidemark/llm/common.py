@@ -150,14 +150,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 # ---------------------------------------------------------------- buckets
 
 
-def spread_buckets(members: DataFrame, key: str, spread_by: str, chunk: int) -> DataFrame:
+def spread_buckets(members: DataFrame, key: str, spread_by: str, chunk: int, sizes: DataFrame) -> DataFrame:
     """Prepare the members of buckets for comparison of all pairs within each bucket.
 
-    Adds bi, bj and side. Buckets of one member go. A bucket of up to `chunk` members stays whole
+    sizes: (key, _n) of the buckets that count; others go. Adds bi, bj and side. A bucket of up to `chunk` members stays whole
     (bi = bj = side = 0); a larger one is cut into c chunks by a hash of `spread_by`, and each pair of chunks
-    becomes a block (bi <= bj) of its own, so that no task gets a whole hot bucket. side is 0 in chunk bi, 1 in bj.
-    `members` is read twice and should be materialised."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    becomes a block (bi <= bj) of its own, so that no task gets a whole hot bucket. side is 0 in chunk bi, 1 in bj."""
     c = F.ceil(F.col("_n") / chunk).cast("int")
     mine = F.when(F.col("_c") > 1, F.pmod(F.xxhash64(F.col(spread_by)), F.col("_c")).cast("int")).otherwise(0)
     return (

@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontamination
+from tidemark.llm import decontamination, simhash
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLE_SQL = {
