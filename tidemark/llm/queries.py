@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontamination, simhash
+from tidemark.llm import decontamination, mixing, simhash
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
+    "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLE_SQL = {
     "op3_decontamination": decontamination.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
 }
