@@ -1,11 +1,12 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontamination, mixing, quality, simhash
+from tidemark.llm import decontamination, mixing, ngram_lm, quality, simhash
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_ngram_lm": ngram_lm.op8_ngram_lm,
     "op10_quality": quality.op10_quality,
 }
 
