@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontamination, mixing, ngram_lm, quality, simhash
+from tidemark.llm import decontamination, mixing, ngram_lm, quality, simhash, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_decontamination": decontamination.op3_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
 }
