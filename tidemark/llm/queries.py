@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontamination, mixing, ngram_lm, quality, simhash, warc
+from tidemark.llm import chat, decontamination, mixing, ngram_lm, quality, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
     "op8_ngram_lm": ngram_lm.op8_ngram_lm,
+    "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
 }
 
@@ -15,4 +16,5 @@ ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
 }
