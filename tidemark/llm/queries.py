@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import chat, decontamination, embedding_dedup, mixing, ngram_lm, quality, simhash, warc
+from tidemark.llm import chat, decontamination, embedding_dedup, mixing, ngram_lm, quality, simhash, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op6_mixing": mixing.op6_mixing,
