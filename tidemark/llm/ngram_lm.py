@@ -1,7 +1,7 @@
 """Language-model scoring: an interpolated modified Kneser-Ney bigram model (operator 8).
 
-Counting: each partition counts its (word, next word) pairs as 63-bit hashes, Spark deals them by the first word's shard and
-sorts them there, and a shard's writer adds up equal pairs and keeps, as sorted arrays: the contexts with their totals and
+Counting: each task counts its (word, next word) pairs as 63-bit hashes and packs them by the first word's shard, Spark deals
+them by shard, and a shard's writer adds up equal pairs and keeps, as sorted arrays: the contexts with their totals and
 their numbers of followers seen once, twice and more, and the pairs (context's number and the follower's leading bits) with
 their counts. What each shard has seen of a follower goes on to a second shuffle, which gives each word its number of distinct
 predecessors and its count. All arrays lie in the shared folder; a worker maps the files into memory (from a store that can't be
@@ -40,7 +40,7 @@ from tidemark.llm import common as C
 
 FOLDS = 10
 #: Pairs that a task counts at once.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Bits of a context's number within its shard, and what is left for the follower.
 CONTEXT_BITS = 22
 WORD_BITS = 63 - CONTEXT_BITS
@@ -112,6 +112,30 @@ def _cut(data: np.ndarray, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
 
 
 # ---------------------------------------------------------------- counting
+#
+# Counts travel as packed arrays, one for each shard and chunk of a task, so that the JVM moves few rows.
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def _unpack(blob: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    n = np.frombuffer(blob, np.int64, len(kinds))
+    return _cut(np.frombuffer(blob, np.uint8, offset=8 * len(kinds)), list(zip(kinds, n.tolist(), strict=True)))
+
+
+def _pack_pairs(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorted pairs: each context once with its number of followers; counts in a byte, those of 255 and more apart."""
+    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return _pack(v[at], np.diff(np.append(at, len(v))).astype(np.uint32), w, np.minimum(c, 255).astype(np.uint8), c[c >= 255].astype(np.int64))
+
+
+def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v, runs, w, small, large = _unpack(blob, (np.int64, np.uint32, np.int64, np.uint8, np.int64))
+    c = small.astype(np.int64)
+    c[small == 255] = large
+    return np.repeat(v, runs), w, c
 
 
 def _count_pairs(docs: DataFrame, shards: int) -> DataFrame:
@@ -121,9 +145,13 @@ def _count_pairs(docs: DataFrame, shards: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             v, w, c = _added(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), None)
             held.clear()
-            for i in range(0, len(v), 200_000):
-                k = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(v[k], shards), pa.int32()), pa.array(v[k]), pa.array(w[k]), pa.array(c[k], pa.int64())], ["shard", "v", "w", "c"])
+            s = shard_of(v, shards)
+            order = np.argsort(s, kind="stable")
+            cut = np.searchsorted(s[order], np.arange(shards + 1))
+            for k in range(shards):
+                if cut[k + 1] > cut[k]:
+                    at = order[cut[k] : cut[k + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack_pairs(v[at], w[at], c[at])], pa.binary())], ["shard", "blob"])
 
         for b in batches:
             for _, data, offsets in C.text_slices(b.column(0)):
@@ -133,137 +161,93 @@ def _count_pairs(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.mapInArrow(run, "shard int, v long, w long, c long")
+    return docs.mapInArrow(run, "shard int, blob binary")
 
 
-_ROW = "shard int, w long, n long, c long, path string, sizes array<long>"
+_ROW = "shard int, blob binary, path string, sizes array<long>"
 
 
-def _row(shard, w, n, c, path, sizes) -> pa.RecordBatch:
+def _row(shard: int, blob: bytes | None, path: str | None, sizes: list[int] | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(shard, pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(path, pa.string()), pa.array(sizes, pa.list_(pa.int64()))],
-        ["shard", "w", "n", "c", "path", "sizes"],
+        [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([path], pa.string()), pa.array([sizes], pa.list_(pa.int64()))],
+        ["shard", "blob", "path", "sizes"],
     )
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Pieces of one shard each, of batches sorted by shard."""
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each shard, of batches sorted by shard."""
+    number, held = None, []
     for b in batches:
-        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        shard = col["shard"].to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(np.diff(shard)) + 1
-        for i, j in zip([0, *cut], [*cut, len(shard)], strict=True):
-            if j > i:
-                yield int(shard[i]), {n: a.slice(int(i), int(j - i)) for n, a in col.items() if n != "shard"}
+        for i in range(b.num_rows):
+            row = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+            if number is not None and row["shard"] != number:
+                yield number, held
+                held = []
+            number = row["shard"]
+            held.append(row)
+    if held:
+        yield number, held
 
 
 def _write_pairs(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
     """Write the shard files of contexts and pairs; gives each follower's part sums, and a row for each file."""
 
-    class Shard:
-        def __init__(self, number: int):
-            self.number, self.ctx, self.parts = number, [], []
-            self.contexts, self.last = 0, None  # the last context is still open
-            self.tail: tuple | None = None  # the last pair may go on
-
-        def add(self, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
-            if self.tail is not None:
-                v, w, c = (np.concatenate([[t], x]) for t, x in zip(self.tail, (v, w, c), strict=True))
-            v, w, c = _added(v, w, c)
-            self.tail = (v[-1], w[-1], c[-1])
-            self._put(v[:-1], w[:-1], c[:-1])
-
-        def _put(self, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
-            if not len(v):
-                return
-            new = np.ones(len(v), bool)
-            new[1:] = v[1:] != v[:-1]
-            new[0] = self.last is None or v[0] != self.last
-            number = self.contexts - 1 + np.cumsum(new)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _by_shard(batches):
+            v, w, c = (np.concatenate(x) for x in zip(*(_unpack_pairs(r["blob"]) for r in rows), strict=True))
+            rows.clear()
+            order = np.lexsort((w, v))
+            v, w, c = _added(v[order], w[order], c[order])
+            new = np.concatenate([[True], v[1:] != v[:-1]])
             at = np.flatnonzero(new)
-            starts = at if new[0] else np.concatenate([[0], at])
-            sums = [np.add.reduceat(x, starts) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
-            if not new[0]:
-                for total, s in zip(self.ctx[-1][1:], sums, strict=True):
-                    total[-1] += s[0]
-                sums = [s[1:] for s in sums]
-            if len(at):
-                self.ctx.append([v[at], *sums])
-            self.contexts += len(at)
-            self.last = v[-1]
-            if self.contexts > 1 << CONTEXT_BITS:
+            if len(at) > 1 << CONTEXT_BITS:
                 raise ValueError("too many contexts in a shard: raise spark.sql.shuffle.partitions")
-            self.parts.append(((number << WORD_BITS) | (w >> (63 - WORD_BITS)), np.minimum(c, 255).astype(np.uint8), c[c >= 255], w))
-
-        def close(self) -> Iterator[pa.RecordBatch]:
-            self._put(*(np.array([t]) for t in self.tail))
-            ctx = [np.concatenate(x) for x in zip(*self.ctx, strict=True)]
-            key, small, large, w = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            path = f"{folder}/pairs-{self.number:05d}-{uuid.uuid4().hex}"
-            write_file(path, [key, ctx[0], ctx[1], large, *(x.astype(np.uint32) for x in ctx[2:]), small])
-            count = small.astype(np.int64)
-            count[small == 255] = large
-            of = [int((count == k).sum()) for k in (1, 2, 3, 4)]
-            order = np.argsort(w, kind="stable")
-            w, count = w[order], count[order]
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            at = np.flatnonzero(new)
-            n, c = np.diff(np.append(at, len(w))), np.add.reduceat(count, at)
-            w = w[at]
-            for i in range(0, len(w), 200_000):
-                k = slice(i, i + 200_000)
-                m = len(w[k])
-                yield _row(shard_of(w[k], shards), w[k], n[k], c[k], [None] * m, [None] * m)
-            yield _row([self.number % shards], [None], [None], [None], [path], [[self.number, len(ctx[0]), len(key), len(large), *of]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: Shard | None = None
-        for number, col in _by_shard(batches):
-            if shard is not None and shard.number != number:
-                yield from shard.close()
-                shard = None
-            shard = shard or Shard(number)
-            shard.add(*(col[x].to_numpy(zero_copy_only=False) for x in ("v", "w", "c")))
-        if shard is not None:
-            yield from shard.close()
+            key = (np.cumsum(new) - 1) << WORD_BITS | (w >> (63 - WORD_BITS))
+            sums = np.add.reduceat(c, at)
+            seen = [np.add.reduceat(x, at, dtype=np.int64).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
+            large = c[c >= 255]
+            path = f"{folder}/pairs-{number:05d}-{uuid.uuid4().hex}"
+            write_file(path, [key, v[at], sums, large, *seen, np.minimum(c, 255).astype(np.uint8)])
+            of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+            yield _row(number, None, path, [number, len(at), len(key), len(large), *of])
+            del v, key
+            s = shard_of(w, shards)
+            order = np.lexsort((w, s))
+            s, w, c = s[order], w[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            n, c, w, s = np.diff(np.append(at, len(w))), np.add.reduceat(c, at), w[at], s[at]
+            cut = np.searchsorted(s, np.arange(shards + 1))
+            for k in range(shards):
+                if cut[k + 1] > cut[k]:
+                    i = slice(cut[k], cut[k + 1])
+                    yield _row(k, _pack(w[i], n[i], c[i]), None, None)
 
-    return pairs.repartition(shards, "shard").sortWithinPartitions("shard", "v", "w").mapInArrow(run, _ROW)
+    return pairs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _ROW)
 
 
 def _write_words(parts: DataFrame, folder: str, shards: int) -> DataFrame:
     """Add up the followers' part sums and write the shard files of words; passes on the rows of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = None, []
-
-        def close() -> pa.RecordBatch:
-            w, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        for number, rows in _by_shard(batches):
+            for r in rows:
+                if r["path"] is not None:
+                    yield _row(number, None, r["path"], r["sizes"])
+            blobs = [_unpack(r["blob"], (np.int64,) * 3) for r in rows if r["blob"] is not None]
+            rows.clear()
+            if not blobs:
+                continue
+            w, n, c = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            order = np.argsort(w, kind="stable")
+            w, n, c = w[order], n[order], c[order]
             at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             w, n, c = w[at], np.add.reduceat(n, at), np.add.reduceat(c, at)
             path = f"{folder}/words-{number:05d}-{uuid.uuid4().hex}"
             write_file(path, [w, n, c])
             of = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            return _row([number], [None], [None], [None], [path], [[number, len(w), int(n.sum()), int(c.sum()), *of, -1]])
-
-        for s, col in _by_shard(batches):
-            files = col["path"].is_valid()
-            if files.true_count:
-                p, z = col["path"].filter(files), col["sizes"].filter(files)
-                none = [None] * len(p)
-                yield _row([s] * len(p), none, none, none, p, z)
-                col = {k: x.filter(files.to_numpy(zero_copy_only=False) == 0) for k, x in col.items()} if files.true_count < len(files) else None
-            if col is None:
-                continue
-            if number is not None and number != s:
-                yield close()
-                held.clear()
-            number = s
-            held.append(tuple(col[x].to_numpy(zero_copy_only=False) for x in ("w", "n", "c")))
-        if held:
-            yield close()
+            yield _row(number, None, path, [number, len(w), int(n.sum()), int(c.sum()), *of, -1])
 
-    return parts.repartition(shards, "shard").sortWithinPartitions("shard", "w").mapInArrow(run, _ROW)
+    return parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _ROW)
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
