@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A document is worked on in slices of about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A side of at most so many rows of a few numbers may be broadcast.
 BROADCAST_ROWS = 20_000
 
