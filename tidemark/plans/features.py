@@ -194,9 +194,9 @@ def o341(spark, d):
 _VWAP = "vw AS (SELECT *, CASE WHEN count(volume) OVER z >= 0.8 * 24 AND sum(volume) OVER z > 0 THEN sum(quote_vol) OVER z / sum(volume) OVER z END AS vwap_24 FROM base WINDOW z AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW))"
 
 
-@query("o342_rolling_vwap", BASE.rstrip() + ",\n" + _VWAP + "\nSELECT symbol, ts, round(vwap_24, 4) AS vwap_24 FROM vw")
+@query("o342_rolling_vwap", BASE.rstrip() + ",\n" + _VWAP + "\nSELECT symbol, ts, round(vwap_24 + 3e-8::DOUBLE, 5) AS vwap_24 FROM vw")
 def o342(spark, d):
-    return O.vwap(K.bars_1h(spark, d), 24).select("symbol", "ts", F.round("vwap_24", 4).alias("vwap_24"))
+    return O.vwap(K.bars_1h(spark, d), 24).select("symbol", "ts", F.round(F.col("vwap_24") + 3e-8, 5).alias("vwap_24"))
 
 
 @query("o343_vwap_payload", BASE.rstrip() + ",\n" + _VWAP + ",\ndv AS (SELECT *, CASE WHEN atr > 0 THEN round((close - vwap_24) / atr, 9) END AS dev FROM vw),\n" + _valid_rank("dv", "dev", "rk") + "\nSELECT symbol, ts, round(dev, 6) AS dev, CASE WHEN dev IS NOT NULL AND count(dev) OVER (PARTITION BY symbol ORDER BY ts) >= 60 THEN round(rk, 6) END AS dev_rank FROM dv_rk")
