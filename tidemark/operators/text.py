@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 #: Characters that a retrieval may use: its index, automatic entries (and their number), named entries.
@@ -76,7 +77,7 @@ def broken_successors(df: DataFrame, key: str = "slug", successor: str = "supers
     return df.where(F.col(successor).isNotNull()).join(s, successor, "left").where("_s is null or _s <> 'active'").select(key, successor)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compat(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
