@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
+#: A side of at most so many rows may be broadcast.
+BROADCAST_ROWS = 20_000
 #: Characters that a retrieval may use: its index, automatic entries (and their number), named entries.
 INDEX_CHARS, AUTO_CHARS, AUTO_ENTRIES, NAMED_CHARS = 4000, 4000, 2, 8000
 
@@ -94,14 +96,20 @@ def without_digits(c: Column, marker: str = "#") -> Column:
     return F.regexp_replace(c, r"\d+", marker)
 
 
-def named_matches(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
-    """Which needles (id, needle: normalised) occur in which texts (key, norm). A needle's grams of three characters must all occur in
-    a text for it to be found there, so texts meet needles by the first gram, and then the whole needle is looked for."""
-    n = 3
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    long_ = needles.where(F.length("needle") >= n).withColumn("g", F.substring("needle", 1, n))
-    hits = texts.select(key, "norm", F.explode(grams(F.col("norm"))).alias("g")).join(long_, "g").where(F.contains("norm", F.col("needle")))
-    return hits.select(key, "id").distinct()
+def named_matches(texts: DataFrame, needles: DataFrame, key: str, gram: int = 12) -> DataFrame:
+    """Which needles (id, needle: normalised, not empty) occur in which texts (key, norm). A text's overlapping grams meet the needles'
+    first `gram` characters by equality (a needle shorter than that: all of it), then the whole needle is looked for. Grams come from one
+    pass over the text and are never shuffled while the needles fit a broadcast of BROADCAST_ROWS rows."""
+    n = needles.where(F.length("needle") > 0).withColumn("g", F.substring("needle", 1, gram)).withColumn("l", F.length("g"))
+    lengths = sorted(r[0] for r in n.select("l").distinct().collect())  # at most `gram` numbers
+    small = n.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = None
+    for length in lengths:
+        own = n.where(F.col("l") == length).drop("l")
+        grams = texts.select(key, "norm", F.explode(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))).alias("g"))
+        hits = grams.join(F.broadcast(own) if small else own, "g").where(F.contains("norm", F.col("needle"))).select(key, "id")
+        out = hits if out is None else out.union(hits)
+    return out.distinct() if out is not None else texts.select(key, F.lit(None).cast(needles.schema["id"].dataType).alias("id")).limit(0)
 
 
 def relevance(named: Column, symbol_hit: Column, regime_hit: Column) -> Column:
