@@ -1,0 +1,208 @@
+"""Hand-computed cases, brute force, and causality by prefixes."""
+
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.functions import windows as X
+from tidemark.operators import bars as B
+from tidemark.operators import coupling as C
+from tidemark.operators import features as O
+from tidemark.operators import joins as J
+from tidemark.operators import policy as P
+from tidemark.operators import quality as Q
+from tidemark.operators import scans as S
+from tidemark.operators import state as R
+from tidemark.operators import text as T
+
+T0 = dt.datetime(2026, 1, 5)
+
+
+def hours(n):
+    return [T0 + dt.timedelta(hours=i) for i in range(n)]
+
+
+def frame(spark, **cols):
+    n = len(next(iter(cols.values())))
+    data = {"symbol": ["s"] * n, "ts": hours(n), **cols}
+    pdf = pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in data.items()})
+    kinds = {"symbol": "string", "ts": "timestamp_ntz"}
+    types = [f"{k} {kinds.get(k) or ('string' if isinstance(next((x for x in v if x is not None), ''), str) else 'boolean' if isinstance(v[0], bool) else 'double')}" for k, v in data.items()]
+    return spark.createDataFrame([tuple(float(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in row) for row in pdf.itertuples(index=False)], ", ".join(types))
+
+
+def walk(spark, n, seed=3):
+    r = np.random.default_rng(seed)
+    c = 100 * np.exp(np.cumsum(r.normal(0, 0.01, n)))
+    o = np.concatenate([[100.0], c[:-1]])
+    hi, lo = np.maximum(o, c) * (1 + r.random(n) * 0.004), np.minimum(o, c) * (1 - r.random(n) * 0.004)
+    v = r.integers(1, 50, n).astype(float)
+    return frame(spark, open=o.tolist(), high=hi.tolist(), low=lo.tolist(), close=c.tolist(), volume=v.tolist(), quote_vol=(v * c).tolist())
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("ts").collect()]
+
+
+def test_ranks_count_strictly_below_and_include_the_current(spark):
+    df = frame(spark, x=[1, 3, None, 2, 3])
+    assert column(df.withColumn("k", X.rolling_rank(F.col("x"), 4)), "k") == [None, 0.5, None, pytest.approx(1 / 3), pytest.approx(1 / 3)]
+    assert column(X.valid_rank(df, "x", "k", 4), "k") == [0.5, 0.5, 0.5, pytest.approx(1 / 3), 0.5]
+
+
+def test_true_range_of_the_first_bar(spark):
+    df = frame(spark, high=[5, 9], low=[3, 8], close=[4, 8])
+    assert column(df.withColumn("t", O.true_range()), "t") == [2, 5]
+    assert column(df.withColumn("t", O.true_range(strict=True)), "t") == [None, 5]
+
+
+def test_resample_keeps_only_whole_buckets_and_the_last(spark):
+    df = frame(spark, **{c: list(range(10)) for c in ("open", "high", "low", "close", "volume")})
+    cut = df.where("hour(ts) <> 1")
+    got = B.resample(cut, 14_400, 4).orderBy("ts").collect()
+    assert [(r["ts"].hour, r["n"], r["open"], r["close"]) for r in got] == [(4, 4, 4, 7), (8, 2, 8, 9)]
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        (["range", "trend_up", "trend_up"], ["range", "range", "trend_up"]),
+        (["range", "high_vol_chop"], ["range", "high_vol_chop"]),
+        (["trend_up", "range", "range", "range"], ["trend_up", "trend_up", "trend_up", "range"]),
+        (["range", "trend_up", "squeeze", "trend_up", "trend_up"], ["range", "range", "range", "range", "trend_up"]),
+    ],
+)
+def test_hysteresis(spark, raw, want):
+    assert column(R.confirm(frame(spark, raw_state=raw)), "confirmed") == want
+
+
+def test_event_gate_asks_for_one_more(spark):
+    df = frame(spark, raw_state=["squeeze", "trend_up", "trend_up", "trend_up"], ev=[True] * 4)
+    assert column(R.confirm(df, event="ev"), "confirmed") == ["squeeze", "squeeze", "squeeze", "trend_up"]
+
+
+def test_asof_takes_the_latest_at_or_before(spark):
+    left = frame(spark, x=[0, 1, 2, 3])
+    right = frame(spark, y=[10, 11, 12, 13]).where("hour(ts) in (1, 3)")
+    assert column(J.asof_join(left, right, ["symbol"], ["y"]), "y") == [None, 11, 11, 13]
+    assert column(J.asof_join(left, right, ["symbol"], ["y"], strict=True), "y") == [None, None, 11, 11]
+
+
+def test_nearest_event_prefers_the_past(spark):
+    p = spark.createDataFrame([("s", T0 + dt.timedelta(days=5))], "symbol string, ts timestamp_ntz")
+    e = spark.createDataFrame([("s", T0 + dt.timedelta(days=3)), ("s", T0 + dt.timedelta(days=7))], "symbol string, ts timestamp_ntz")
+    assert J.nearest_event(p, e, ["symbol"]).first()["days"] == -2
+
+
+def test_merge_coalesce_never_erases(spark):
+    df = spark.createDataFrame([(1, 1, 5.0, None), (1, 2, None, 7.0), (1, 3, 6.0, None)], "k int, seq int, a double, b double")
+    assert S.merge_coalesce(df, ["k"], "seq").first()[1:] == (6.0, 7.0)
+
+
+def test_sessions_follow_daylight_saving(spark):
+    rows = [("2026-03-06 14:29:00", False), ("2026-03-06 14:30:00", True), ("2026-03-09 13:30:00", True), ("2026-11-27 18:00:00", False), ("2026-11-27 17:59:00", True), ("2026-07-03 15:00:00", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", Q.is_rth(F.col("t").cast("timestamp")))
+    assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_revision_finds_the_first_change(spark):
+    old = frame(spark, **{c: [1, 2, 3, 4] for c in ("open", "high", "low", "close", "volume")})
+    new = old.withColumn("close", F.when(F.hour("ts") == 2, 9.0).otherwise(F.col("close")))
+    assert Q.first_revision(old, new).first()["first_changed"] == T0 + dt.timedelta(hours=2)
+    assert Q.first_revision(old, old).count() == 0
+
+
+@pytest.mark.parametrize("cut", [150, 260])
+def test_features_and_states_are_causal(spark, cut):
+    whole = walk(spark, 300)
+    first = whole.where(F.col("ts") < hours(300)[cut])
+    cols = ["ts", "direction", "er_rank", "bbw_rank", "atr_rank", "tilt"]
+    a = {r["ts"]: tuple(r) for r in R.inputs(whole).select(cols).collect()}
+    b = R.inputs(first).select(cols).collect()
+    assert b and all(a[r["ts"]][1:] == pytest.approx(tuple(r)[1:]) for r in b)
+
+
+def test_paths_in_blocks_are_those_of_the_whole(spark):
+    df = walk(spark, 400)
+    a, b = (sorted(map(tuple, O.path(df, block=k).where("kendall_tau is not null").collect())) for k in (4096, 130))
+    assert len(a) == 281 and a == b
+
+
+def test_crsi_is_the_same_in_pieces(spark):
+    df = walk(spark, 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        a = R.cyclic_rsi(df).orderBy("ts").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert a == R.cyclic_rsi(df).orderBy("ts").collect()
+    assert all(r["lower"] <= r["upper"] for r in a if r["lower"] is not None)
+
+
+def test_crps_against_two_loops(spark):
+    x = np.random.default_rng(1).random(40)
+    want = abs(x - 0.3).mean() - abs(x[:, None] - x[None, :]).mean() / 2
+    assert R.crps(np.sort(x), 0.3) == pytest.approx(want)
+    df = spark.createDataFrame([(x.tolist(), 0.3)], "v array<double>, y double")
+    assert df.select(R.crps_column(F.col("v"), F.col("y"))).first()[0] == pytest.approx(want)
+
+
+def test_machine_finds_an_injected_break_and_nothing_before():
+    r = np.random.default_rng(5)
+    m, s, events = C.PairMachine(C.Params()), np.zeros((2, 3)), []
+    for i in range(3000):
+        u = r.normal()
+        v = 0.9 * u + 0.44 * r.normal() if i < 2000 else r.normal()
+        rho = []
+        for k, a in enumerate((C.alpha(C.HALF_FAST), C.alpha(C.HALF_SLOW))):
+            s[k] = (1 - a) * s[k] + a * np.array([u * u, v * v, u * v])
+            rho.append(s[k, 2] / np.sqrt(s[k, 0] * s[k, 1]))
+        state, left, reason = m.step(*rho)
+        if reason:
+            events.append((i, left, state))
+    assert events[0][1:] == ("WARMUP", "coupled")
+    broken = [e for e in events if e[2] == "decoupling"]
+    assert broken and broken[0][0] > 2000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(1, 100), st.sampled_from(["support", "resistance"]), st.floats(0.1, 3)), min_size=1, max_size=25))
+def test_zones_end_up_disjoint(points):
+    zones = [P.zone(p, f"k{i}", role, 2.0, p - w, p + w) for i, (p, role, w) in enumerate(points)]
+    out = P.separate(P.merge(zones, 2.0), 2.0)
+    assert all(a["hi"] < b["lo"] for a, b in zip(out, out[1:], strict=False))
+    assert {k for z in out for k in z["kinds"]} == {z["kinds"][0] for z in zones}
+
+
+def test_clusters_dont_chain():
+    got = P.clusters([(1.0, 0), (1.3, 1), (1.6, 2), (2.5, 3)], 1.0)
+    assert [[p for p, _ in g] for g in got] == [[1.0, 1.3], [1.6], [2.5]]
+
+
+def test_front_matter_faults(spark):
+    texts = ["---\nslug: a\ntitle: t\nstatus: active\n---\nbody", "---\nslug: a\nslug: b\nstatus: odd\nextra: 1\ncreated: 2024-13-01\n---\n", "plain", None]
+    got = [r["errors"] for r in T.front_matter(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()]
+    assert got == [[], ["bad date created", "bad status", "double slug", "missing title", "unknown extra"], ["no header"], ["no header"]]
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 4), ("b", 4, 9)], "g string, id int, size int")
+    got = T.within_budget(df, ["g"], [F.col("id")], "size", 9).collect()
+    assert sorted(r["id"] for r in got) == [1, 3, 4]
+
+
+def test_lists_and_quotes(spark):
+    df = spark.createDataFrame([('["a", "b"]',), ('["a", 1]',), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.string_list(F.col("t"))).collect()] == [["a", "b"], None, None, None]
+
+
+def test_sql_is_one_select(spark):
+    assert S.checked_sql(spark, "SELECT 1 AS x").count() == 1
+    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2"):
+        with pytest.raises(ValueError):
+            S.checked_sql(spark, bad)
