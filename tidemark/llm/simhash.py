@@ -33,6 +33,9 @@ from tidemark.llm import common as C
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+#: Near copies in `dedup`: five-word shingles, similarity 0.8 and more, looked for within 10 bits. At that similarity fingerprints differ
+#: by 7 bits in the median and by up to 10 in nine of ten cases.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SEGMENTS = 5, 0.8, 10, 6
 #: Members of a bucket that are compared in one piece.
 CHUNK = 2048
 #: Shingles that are counted at once, so that a very long text needs no more memory than others.
@@ -131,45 +134,106 @@ def _edges_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndar
         yield x[a], x[b]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
-    """(u, v): edges between distinct fingerprints; two are connected by them if and only if a chain of pairs within
-    `radius` bits connects them, and each edge is such a pair."""
-    segments = segments or max(2, -(-(radius + 1) // 2))  # balls of one bit at most
+def _candidates_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius in each group, for a later check. Where these are over eight a member (a hot group of near copies), a spanning
+    forest and each member's nearest stand for them."""
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        x, n = fp[lo:hi], hi - lo
+        dist = np.empty((n, n), np.uint8)
+        for r in range(0, n, 512):
+            dist[r : r + 512] = np.bitwise_count(x[r : r + 512, None] ^ x[None, :])
+        np.fill_diagonal(dist, 255)
+        if cross[lo]:
+            dist[side[lo:hi, None] == side[None, lo:hi]] = 255
+        adj = dist <= radius
+        if adj.sum() <= 16 * n:
+            a, b = np.nonzero(adj)
+            yield x[a[a < b]], x[b[a < b]]
+        else:
+            a, b = C.spanning_forest(adj)
+            yield x[a], x[b]
+            near = dist.argmin(1)
+            has = dist[np.arange(n), near] <= radius
+            yield x[has], x[near[has]]
+
+
+def _met(fps: DataFrame, radius: int, segments: int, pick) -> DataFrame:
+    """(u, v): what `pick` gives of the groups in which fingerprints meet."""
     every = members(fps, radius, segments)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("placed").alias("_p")).where("_n > 1 and _p = 1").drop("_p")
     spread = C.spread_buckets(every.select("key", "fp"), "key", "fp", CHUNK, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in C.sorted_groups(batches, ["key", "bi", "bj"]):
-            col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            for u, v in _edges_in(col("key"), col("fp").view(np.uint64), col("side"), col("bi") != col("bj"), at, radius):
+            key, fp, side, bi, bj = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "fp", "side", "bi", "bj"))
+            for u, v in pick(key, fp.view(np.uint64), side, bi != bj, at, radius):
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    dealt = spread.select("key", "bi", "bj", "side", "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    dealt = spread.select("key", "bi", "bj", "side", "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _rooted(prints: DataFrame, radius: int, segments: int | None) -> tuple[DataFrame, list[DataFrame]]:
-    """(fp, root, component_id) of each distinct fingerprint, and the intermediate tables it reads."""
+def links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
+    """(u, v): edges between distinct fingerprints; two are connected by them if and only if a chain of pairs within
+    `radius` bits connects them, and each edge is such a pair."""
+    return _met(fps, radius, segments or max(2, -(-(radius + 1) // 2)), _edges_in)  # balls of one bit at most
+
+
+def shingle_sets(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, size: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(fp, grams): a row's fingerprint, and the 32-bit hashes of the set of its `size`-word shingles, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh32_intdigest
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                fps, sets = [], []
+                for t in b.column(0).slice(i, 256):
+                    text = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    fps.append(fingerprint(text, shingle))
+                    w = text.translate(C.LOWER_BYTES).split()
+                    grams = {digest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))} if w else set()
+                    sets.append(np.array(sorted(grams), np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["fp", "grams"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, grams array<int>")
+
+
+def similar_links(docs: DataFrame, fps: DataFrame, *, text_col: str, shingle: int, near: int, radius: int, segments: int, similarity: float, size: int) -> DataFrame:
+    """Edges of fingerprints within `near` bits, and of those within `radius` bits whose texts' sets of `size`-word shingles have a Jaccard
+    similarity of `similarity` and more. fps: (fp, low), low naming a document that has the fingerprint."""
+    found = C.materialize(_met(fps, radius, segments, _candidates_in).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-candidates")
+    far = found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > near)
+    ends = far.select(F.col("u").alias("fp")).union(far.select("v")).distinct()
+    named = fps.join(ends, "fp", "left_semi").where("low is not null").select(F.col("low").alias("doc_id")).distinct()
+    sets = C.materialize(shingle_sets(docs.join(named, "doc_id", "left_semi"), text_col=text_col, shingle=shingle, size=size).join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "simhash-grams")
+    j = far.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= near).union(alike)
+
+
+def _rooted(prints: DataFrame, edges_of) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint. edges_of: the edges of a table (fp, low)."""
     fps = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
-    comp = C.components(links(fps, radius, segments), "simhash")
+    comp = C.components(edges_of(fps), "simhash")
     rooted = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id"), [fps]
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row."""
     prints = C.materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    of, _ = _rooted(prints, radius, segments)
+    of = _rooted(prints, lambda fps: links(fps, radius, segments))
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
-    """`docs` with one row of each group: that of the smallest doc_id. Columns as they are."""
+def dedup(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, near: int = RADIUS, radius: int = SIMILAR_RADIUS, segments: int = SIMILAR_SEGMENTS, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE) -> DataFrame:
+    """`docs` with one row of each group: that of the smallest doc_id. Columns as they are. Groups are chains of texts whose fingerprints
+    are within `near` bits, or within `radius` bits and found similar (see similar_links)."""
     prints = C.materialize(fingerprints(docs, text_col=text_col, shingle=shingle), "simhash")
-    of, _ = _rooted(prints, radius, segments)
+    of = _rooted(prints, lambda fps: similar_links(docs, fps, text_col=text_col, shingle=shingle, near=near, radius=radius, segments=segments, similarity=similarity, size=size))
     counts = prints.agg(F.count(F.lit(1)).alias("n")).first()["n"], prints.select("doc_id").where("doc_id is not null").distinct().count()
     if counts[0] == counts[1]:
         out = prints.join(of, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
