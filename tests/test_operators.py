@@ -206,3 +206,18 @@ def test_sql_is_one_select(spark):
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2"):
         with pytest.raises(ValueError):
             S.checked_sql(spark, bad)
+
+
+def test_pages_replay_once_and_without_the_forming_bar(spark, tmp_path):
+    import json
+
+    from tidemark.sources import replay
+
+    pages = []
+    for k in range(3):
+        p = tmp_path / f"{k}.json"
+        p.write_text(json.dumps([[3_600_000 * i, 1, 2, 0.5, 1.5, 10 + i] for i in range(4 * k, 4 * k + 5)]))
+        pages.append(str(p))
+    df = replay.read_pages(spark, "X", pages)
+    assert sorted(r["volume"] for r in df.collect()) == [10 + i for i in range(12)]
+    assert replay.demo(spark, 200).count() == 200

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.plans import coupling, features, joins, policy, quality, scans, state, text  # noqa: F401
+from tidemark.plans import coupling, features, ingest, joins, policy, quality, scans, state, text  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
