@@ -64,3 +64,17 @@ def in_blocks(df: DataFrame, lookback: int, block: int, keys: tuple[str, ...] =
     b = F.floor(F.col("_n") / block)
     more = F.when(F.col("_n") % block >= block - lookback, F.array(b, b + 1)).otherwise(F.array(b))
     return df.withColumn("_n", n).withColumn("_block", F.explode(more)).withColumn("_own", F.col("_block") == b)
+
+
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side doesn't vary (under ANSI rules the built-in one raises there)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    x, y = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def safe_slope(y: str, x: str) -> Column:
+    """Least-squares slope as an aggregate; null where x doesn't vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    x, y = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import safe_corr
 from tidemark.operators import coupling as C
 from tidemark.operators import features as O
 from tidemark.plans.features import r6
@@ -76,7 +77,7 @@ def _panel(spark, d):
 def _panel_corr(spark, d):
     from tidemark.operators.joins import pairs
 
-    return pairs(_panel(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr")).where("n >= 60")
+    return pairs(_panel(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr("x", "y").alias("corr")).where("n >= 60")
 
 
 @query("o213_panel_pair_corr", with_(PANEL_1D, _PANEL) + "SELECT a, b, n, round(corr, 6) AS corr FROM pc")
@@ -91,7 +92,7 @@ def o307(spark, d):
     return C.block_stats(_panel_corr(spark, d), blocks).select("block", "n", r6("intra"), r6("extra"))
 
 
-@query("o307_global_stats", with_(PANEL_1D, _PANEL) + "SELECT 25::BIGINT AS n, round(avg(corr), 6) AS mean_corr, round(stddev_pop(corr), 6) AS dispersion FROM pc")
+@query("o307_global_stats", with_(PANEL_1D, _PANEL) + "SELECT (SELECT count(DISTINCT s) FROM (SELECT a AS s FROM pc UNION SELECT b FROM pc)) AS n, round(avg(corr), 6) AS mean_corr, round(stddev_pop(corr), 6) AS dispersion FROM pc HAVING count(*) > 0")
 def o307b(spark, d):
     return C.global_stats(_panel_corr(spark, d)).select("n", r6("mean_corr"), r6("dispersion"))
 

@@ -107,7 +107,7 @@ def o313(spark, d):
         return F.rank().over(W.partitionBy("symbol").orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("symbol", c)) - 1) / 2
 
     r = e.select("symbol", average_rank("a").alias("ra"), average_rank("b").alias("rb"))
-    return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman")).where("n >= 100")
+    return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(X.safe_corr("ra", "rb"), 6).alias("spearman")).where("n >= 100")
 
 
 @query("o314_event_study", BASE + """, t AS (SELECT symbol, ts, close, atr, CASE WHEN count(high) OVER z = 24 THEN (max(high) OVER z - min(low) OVER z) / atr END AS expansion FROM base WINDOW z AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)),
@@ -166,14 +166,14 @@ cm AS (SELECT *, CASE WHEN trend THEN least(er - 0.6, abs(d) - 0.3) WHEN squeeze
 CLASSIFY = BASE.rstrip() + ",\n" + ",\n".join([PF._PIV, PF._STRUCT, PF.VOLX, PF.VOLUME, _ER, _CLS]) + "\n"
 
 
-@query("o401_classify", CLASSIFY + "SELECT symbol, ts, state, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM cm")
+@query("o401_classify", CLASSIFY + "SELECT symbol, ts, state, round(CAST(confidence AS DOUBLE) + 3e-8::DOUBLE, 6) AS confidence FROM cm")
 def o401(spark, d):
-    return S.classify(S.inputs(K.bars_1h(spark, d))).select("symbol", "ts", "state", r6("confidence"))
+    return S.classify(S.inputs(K.bars_1h(spark, d))).select("symbol", "ts", "state", r6(F.col("confidence") + 3e-8, "confidence"))
 
 
-@query("o402_boundary_margin", CLASSIFY + "SELECT symbol, ts, round(CAST(greatest(0, margin) AS DOUBLE), 6) AS margin FROM cm")
+@query("o402_boundary_margin", CLASSIFY + "SELECT symbol, ts, round(CAST(greatest(0, margin) AS DOUBLE) + 3e-8::DOUBLE, 6) AS margin FROM cm")
 def o402(spark, d):
-    return S.classify(S.inputs(K.bars_1h(spark, d))).select("symbol", "ts", r6("margin"))
+    return S.classify(S.inputs(K.bars_1h(spark, d))).select("symbol", "ts", r6(F.col("margin") + 3e-8, "margin"))
 
 
 _NEED = "CASE raw.state WHEN 'high_vol_chop' THEN 1 WHEN 'range' THEN 3 ELSE CASE WHEN raw.ev AND f.cur = 'squeeze' AND raw.state = 'trend_up' THEN 3 ELSE 2 END END"
