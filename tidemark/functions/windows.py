@@ -42,12 +42,13 @@ def rolling_rank(x: Column, n: int = RANK, w: WindowSpec | None = None) -> Colum
 
 def valid_rank(df: DataFrame, col: str, out: str, n: int = RANK, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Strict rank among the last n known values; an unknown value gives the last known one's rank, fewer than two 0.5."""
-    w = series(*keys)
-    known = df.where(F.col(col).isNotNull())
-    rank = F.coalesce(share_below(F.collect_list(col).over(rows(n, w)), F.col(col), 2), F.lit(0.5))
-    ranked = known.select(*keys, "ts", rank.alias(out))
-    j = df.join(ranked, [*keys, "ts"], "left")
-    return j.withColumn(out, F.coalesce(F.last(out, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.5)))
+    x = F.col(col)
+    # known values first, each in its order: the last n rows of a known one are then known ones, without a join
+    packed = W.partitionBy(*keys).orderBy(x.isNull(), "ts").rowsBetween(-(n - 1), 0)
+    own = F.when(x.isNotNull(), F.coalesce(share_below(F.collect_list(col).over(packed), x, 2), F.lit(0.5)))
+    df = df.withColumn("_rank", own)
+    seen = F.last("_rank", ignorenulls=True).over(series(*keys).rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn(out, F.coalesce(seen, F.lit(0.5))).drop("_rank")
 
 
 def ema(x: Column, span: int, n: int = SLICE, w: WindowSpec | None = None) -> Column:
