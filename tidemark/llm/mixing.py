@@ -9,7 +9,8 @@ as long as they fit, then up to TOP_UPS times to the largest that still fits.
 
 Only the totals of patterns come to the driver, at most MAX_PATTERNS of them (a documented limit of what one flow problem
 may hold; more raise an error rather than being dropped). The seeded order of a hot pattern isn't sorted in one task: the
-order's leading bits make BINS bins, bins are added up, and only the documents of the bin where the rest ends are ordered.
+order's leading bits make BINS bins, and BINS more within the bin where the rest ends; bins are added up, and only the documents
+of the last bin of all are ordered.
 
 Defined results
   text null or without words    size 0; taken 0
@@ -34,7 +35,7 @@ from tidemark.llm import common as C
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 SEED = 17
-BINS = 1 << 16
+BINS = 1 << 12
 MAX_PATTERNS = 10_000
 #: Documents that may be added to a pattern after the seeded order has met its first that doesn't fit.
 TOP_UPS = 3
@@ -148,21 +149,26 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     kind = T.StructType([T.StructField("pattern", slim.schema["pattern"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
     quotas = F.broadcast(spark.createDataFrame(rows, kind))  # a row for each pattern: at most MAX_PATTERNS
     same = F.to_json(F.struct(slim["pattern"])) == F.to_json(F.struct(quotas["pattern"]))
-    every = slim.join(quotas, same).drop(quotas["pattern"]).withColumn("key", F.to_json(F.struct("pattern"))).withColumn("bin", F.conv(F.substring("u", 1, 4), 16, 10).cast("int"))
-
-    open_ = every.where("rest > 0")
-    bins = open_.groupBy("key", "bin", "rest").agg(F.sum("size").alias("in_bin"))
-    upto = W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # of the at most BINS bins of a pattern, the one in which the rest ends
-    last = bins.withColumn("upto", F.sum("in_bin").over(upto)).where("upto >= rest and upto - in_bin < rest").select("key", F.col("bin").alias("last_bin"), (F.col("upto") - F.col("in_bin")).alias("before"))
-    last = F.broadcast(last)  # a row for each pattern
-    marked = every.join(last, "key", "left")
-    inside = marked.where("bin = last_bin and size > 0")
+    hexes = lambda at: F.conv(F.substring("u", at, 3), 16, 10).cast("int")
+    every = slim.join(quotas, same).drop(quotas["pattern"]).withColumn("key", F.to_json(F.struct("pattern"))).withColumns({"b1": hexes(1), "b2": hexes(4)})
+
+    # the bin in which the rest ends, then the bin within that bin; of the at most BINS bins of a pattern one row each is ordered
+    open_ = every.where("rest > 0").withColumn("before", F.lit(0).cast("long"))
+    upto = F.sum("in_bin").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("before")
+    marked = every
+    for b in ("b1", "b2"):
+        bins = open_.groupBy("key", "rest", "before", F.col(b).alias("bin")).agg(F.sum("size").alias("in_bin"))
+        last = bins.withColumn("upto", upto).where("upto >= rest and upto - in_bin < rest").select("key", F.col("bin").alias(f"last_{b}"), (F.col("upto") - F.col("in_bin")).alias("before"))
+        last = F.broadcast(last)  # a row for each pattern
+        marked = marked.drop("before").join(last, "key", "left")
+        open_ = open_.drop("before").join(last, "key").where(F.col(b) == F.col(f"last_{b}"))
+    inside = marked.where("b1 = last_b1 and b2 = last_b2 and size > 0")
     order = W.partitionBy("key").orderBy("u", "size")
     upto_here = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     inside = inside.withColumn("more", F.when(upto_here <= F.col("rest"), 1).otherwise(0))
-    outside = marked.where("not (bin <=> last_bin) or size = 0").withColumn("more", F.when((F.col("rest") > 0) & (F.col("bin") < F.col("last_bin")), 1).otherwise(0))
-    first_fit = C.materialize(outside.unionByName(inside).withColumn("row", F.monotonically_increasing_id()).drop("bin", "last_bin", "before"), "mixing")
+    early = (F.col("rest") > 0) & ((F.col("b1") < F.col("last_b1")) | ((F.col("b1") == F.col("last_b1")) & (F.col("b2") < F.col("last_b2"))))
+    outside = marked.where("not (b1 <=> last_b1 and b2 <=> last_b2) or size = 0").withColumn("more", F.when(early, 1).otherwise(0))
+    first_fit = C.materialize(outside.unionByName(inside).withColumn("row", F.monotonically_increasing_id()).drop("b1", "b2", "last_b1", "last_b2", "before"), "mixing")
 
     # what the next document in the order doesn't fit into is topped up with the largest document that does
     gaps = {r["key"]: r["rest"] - r["got"] for r in first_fit.where("rest > 0").groupBy("key", "rest").agg(F.sum(F.col("size") * F.col("more")).alias("got")).collect()}
