@@ -258,12 +258,12 @@ def o352(spark, d):
 _VRP = f"vr0 AS (SELECT symbol, ts, round(price / 100 - lag(price) OVER w / 100, 9) AS x FROM vol_daily {_W})"
 
 
-@query("o353_vrp", with_(VOL_DAILY, _VRP) + f"SELECT symbol, ts, round(x + 3e-8::DOUBLE, 6) AS vrp, CASE WHEN x IS NOT NULL AND count(x) OVER (PARTITION BY symbol ORDER BY ts ROWS 251 PRECEDING) >= 120 THEN round({_rank('x', 252)}, 6) END AS rank FROM vr0")
+@query("o353_vrp", with_(VOL_DAILY, _VRP) + f"SELECT symbol, ts, round(x + 3e-10::DOUBLE, 6) AS vrp, CASE WHEN x IS NOT NULL AND count(x) OVER (PARTITION BY symbol ORDER BY ts ROWS 251 PRECEDING) >= 120 THEN round({_rank('x', 252)}, 6) END AS rank FROM vr0")
 def o353(spark, d):
     x = F.round(F.col("price") / 100 - F.lag("price").over(X.series()) / 100, 9)
     v = K.vol_daily(spark, d).withColumn("x", x)
     gate = F.count("x").over(X.rows(252)) >= 120
-    return v.select("symbol", "ts", r6(F.col("x") + 3e-8, "vrp"), F.when(gate, F.round(X.rolling_rank(F.col("x"), 252), 6)).alias("rank"))
+    return v.select("symbol", "ts", r6(F.col("x") + 3e-10, "vrp"), F.when(gate, F.round(X.rolling_rank(F.col("x"), 252), 6)).alias("rank"))
 
 
 _COND = f"""cd AS (SELECT symbol, ts, round(price, 9) AS x, day(ts) <= 10 AS near FROM vol_daily),
