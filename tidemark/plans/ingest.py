@@ -33,9 +33,9 @@ def o429(spark, d):
     return I.round_robin(K.registry(spark, d).select("symbol"), "symbol", 10, 13)
 
 
-@query("o429_blocked_symbols", "WITH r AS (SELECT user_id % 40 AS symbol, day(ts) AS run, value > 15 AS ok FROM events), alive AS (SELECT run FROM r GROUP BY run HAVING bool_or(ok)), f AS (SELECT symbol, run FROM r SEMI JOIN alive USING (run) GROUP BY symbol, run HAVING NOT bool_or(ok)) SELECT symbol, count(*) AS fails FROM f GROUP BY symbol HAVING count(*) >= 2")
+@query("o429_blocked_symbols", "WITH r AS (SELECT user_id % 40 AS symbol, day(ts) AS run, value > 40 AS ok FROM events), alive AS (SELECT run FROM r GROUP BY run HAVING bool_or(ok)), f AS (SELECT symbol, run FROM r SEMI JOIN alive USING (run) GROUP BY symbol, run HAVING NOT bool_or(ok)) SELECT symbol, count(*) AS fails FROM f GROUP BY symbol HAVING count(*) >= 2")
 def o429b(spark, d):
-    r = K.table(spark, d, "events").select((F.col("user_id") % 40).alias("symbol"), F.dayofmonth("ts").alias("run"), (F.col("value") > 15).alias("ok"))
+    r = K.table(spark, d, "events").select((F.col("user_id") % 40).alias("symbol"), F.dayofmonth("ts").alias("run"), (F.col("value") > 40).alias("ok"))
     return I.blocked(r, "symbol", "run", "ok")
 
 
