@@ -342,6 +342,35 @@ def test_dedup_takes_near_copies_and_leaves_others(spark):
     assert len({kin[i] for i in kept}) == 30 and len(kept) <= 38
 
 
+def similar_texts(r, n, size, change):
+    """A base of `size` words and `n` variants with `change` words of their own each, at places of their own."""
+    base = [f"w{i}" for i in range(size)]
+    out = [base]
+    for k in range(n):
+        w = list(base)
+        for i in r.choice(size, change, replace=False):
+            w[i] = f"v{k}x{i}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("chunk, grams", [(2048, 2048), (64, 40)])
+def test_dedup_of_hubs_chains_and_texts_of_one_fingerprint(spark, chunk, grams, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "GRAMS", grams)
+    r = np.random.default_rng(5)
+    texts = similar_texts(r, 300, 120, 2)  # of the base 0.84, of one another mostly under 0.8
+    links = [f"c{i}" for i in range(150)]
+    for k in range(30):  # a chain: each differs from the one before
+        links[(k * 7) % 150] = f"d{k}"
+        texts.append(" ".join(links))
+    texts += ["a b " * k + " ".join(f"q{i}" for i in range(k % 3)) for k in range(2, 40)]  # few fingerprints, many texts
+    order = r.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    want = similar_firsts(list(enumerate(texts)))
+    assert {x.doc_id for x in simhash.dedup(docs_of(spark, texts)).collect()} == want
+
+
 @pytest.mark.parametrize("radius, segments, chunk", [(3, 2, 2048), (3, 4, 2048), (7, 4, 2048), (6, 2, 2048), (3, 2, 16)])
 def test_links_connect_what_brute_force_connects(spark, radius, segments, chunk, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", chunk)

@@ -38,6 +38,8 @@ SEED = 42
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SEGMENTS = 5, 0.8, 10, 6
 #: Members of a bucket that are compared in one piece.
 CHUNK = 2048
+#: Texts of one fingerprint up to which its candidate pairs are checked one by one; shingles a member in a piece, on average at most.
+MANY, GRAMS = 8, 2048
 #: Shingles that are counted at once, so that a very long text needs no more memory than others.
 PIECE = 1 << 16
 
@@ -60,16 +62,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row; fp is the fingerprint as a signed long. hashed: beside them h, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
             fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "h"][: b.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [F.xxhash64(text_col).alias("h")] if hashed else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", h long" * hashed)
 
 
 def _cuts(segments: int) -> list[tuple[int, int]]:
@@ -134,31 +137,59 @@ def _edges_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndar
         yield x[a], x[b]
 
 
-def _candidates_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the radius in each group, for a later check. Where these are over eight a member (a hot group of near copies), a spanning
-    forest and each member's nearest stand for them."""
+def _candidates_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs within the radius in each group, for a later check. Where these are over eight a member (a hot group of near copies), edges
+    that connect what the pairs connect stand for them, marked as such: all pairs among what they connect are still to be checked."""
     for lo, hi in zip(at[:-1], at[1:], strict=True):
         x, n = fp[lo:hi], hi - lo
-        dist = np.empty((n, n), np.uint8)
+        adj = np.empty((n, n), bool)
         for r in range(0, n, 512):
-            dist[r : r + 512] = np.bitwise_count(x[r : r + 512, None] ^ x[None, :])
-        np.fill_diagonal(dist, 255)
+            adj[r : r + 512] = np.bitwise_count(x[r : r + 512, None] ^ x[None, :]) <= radius
+        np.fill_diagonal(adj, False)
         if cross[lo]:
-            dist[side[lo:hi, None] == side[None, lo:hi]] = 255
-        adj = dist <= radius
-        if adj.sum() <= 16 * n:
-            a, b = np.nonzero(adj)
-            yield x[a[a < b]], x[b[a < b]]
-        else:
-            a, b = C.spanning_forest(adj)
-            yield x[a], x[b]
-            near = dist.argmin(1)
-            has = dist[np.arange(n), near] <= radius
-            yield x[has], x[near[has]]
+            adj[side[lo:hi, None] == side[None, lo:hi]] = False
+        hot = bool(adj.sum() > 16 * n)
+        a, b = C.spanning_forest(adj) if hot else np.nonzero(np.triu(adj))
+        yield x[a], x[b], hot
+
+
+def _similar_in(fp: np.ndarray, side: np.ndarray, cross: np.ndarray, at: np.ndarray, grams: np.ndarray, ends: np.ndarray, near: int, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of the links in each group, every pair that it doesn't connect having been checked. Member i has the
+    shingles grams[ends[i] : ends[i + 1]]; cross: only pairs of both sides count."""
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        x, s, start, size = fp[lo:hi], side[lo:hi], ends[lo:hi] - ends[lo], np.diff(ends[lo : hi + 1])
+        known, ids = np.unique(grams[ends[lo] : ends[hi]], return_inverse=True)
+        mark, free = np.zeros(len(known), bool), np.ones(hi - lo, bool)
+        a, b = [], []
+        for root in range(hi - lo):
+            frontier = [root] if free[root] else []
+            free[root] = False
+            while frontier:
+                f = frontier.pop()
+                to = np.flatnonzero(free & (s != s[f]) if cross[lo] else free)
+                bits = np.bitwise_count(x[to] ^ x[f])
+                linked = bits <= near
+                far = np.flatnonzero(~linked & (bits <= radius) & (size[to] > 0) & (np.minimum(size[to], size[f]) >= similarity * np.maximum(size[to], size[f])))
+                if len(far):
+                    k = to[far]
+                    n = size[k]
+                    first = np.cumsum(n) - n
+                    mine = ids[start[f] : start[f] + size[f]]
+                    mark[mine] = True
+                    both = np.add.reduceat(mark[ids[np.repeat(start[k] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+                    mark[mine] = False
+                    linked[far] = both >= similarity * (size[f] + n - both)
+                to = to[linked]
+                free[to] = False
+                a.append(np.full(len(to), f))
+                b.append(to)
+                frontier.extend(to.tolist())
+        if a:
+            yield x[np.concatenate(a)], x[np.concatenate(b)]
 
 
 def _met(fps: DataFrame, radius: int, segments: int, pick) -> DataFrame:
-    """(u, v): what `pick` gives of the groups in which fingerprints meet."""
+    """(u, v, hot): what `pick` gives of the groups in which fingerprints meet; hot where it says so."""
     every = members(fps, radius, segments)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("placed").alias("_p")).where("_n > 1 and _p = 1").drop("_p")
     spread = C.spread_buckets(every.select("key", "fp"), "key", "fp", CHUNK, sizes)
@@ -166,18 +197,18 @@ def _met(fps: DataFrame, radius: int, segments: int, pick) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in C.sorted_groups(batches, ["key", "bi", "bj"]):
             key, fp, side, bi, bj = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "fp", "side", "bi", "bj"))
-            for u, v in pick(key, fp.view(np.uint64), side, bi != bj, at, radius):
+            for u, v, *hot in pick(key, fp.view(np.uint64), side, bi != bj, at, radius):
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), any(hot)))], ["u", "v", "hot"])
 
     dealt = spread.select("key", "bi", "bj", "side", "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long, hot boolean")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """(u, v): edges between distinct fingerprints; two are connected by them if and only if a chain of pairs within
     `radius` bits connects them, and each edge is such a pair."""
-    return _met(fps, radius, segments or max(2, -(-(radius + 1) // 2)), _edges_in)  # balls of one bit at most
+    return _met(fps, radius, segments or max(2, -(-(radius + 1) // 2)), _edges_in).select("u", "v")  # balls of one bit at most
 
 
 def shingle_sets(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, size: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -199,18 +230,47 @@ def shingle_sets(docs: DataFrame, *, text_col: str = "text", shingle: int = SHIN
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, grams array<int>")
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, *, text_col: str, shingle: int, near: int, radius: int, segments: int, similarity: float, size: int) -> DataFrame:
-    """Edges of fingerprints within `near` bits, and of those within `radius` bits whose texts' sets of `size`-word shingles have a Jaccard
-    similarity of `similarity` and more. fps: (fp, low), low naming a document that has the fingerprint."""
-    found = C.materialize(_met(fps, radius, segments, _candidates_in).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-candidates")
-    far = found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > near)
-    ends = far.select(F.col("u").alias("fp")).union(far.select("v")).distinct()
-    named = fps.join(ends, "fp", "left_semi").where("low is not null").select(F.col("low").alias("doc_id")).distinct()
-    sets = C.materialize(shingle_sets(docs.join(named, "doc_id", "left_semi"), text_col=text_col, shingle=shingle, size=size).join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "simhash-grams")
-    j = far.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle: int, near: int, radius: int, segments: int, similarity: float, size: int) -> DataFrame:
+    """Edges that connect fingerprints within `near` bits, and those within `radius` bits of which two texts' sets of `size`-word shingles have
+    a Jaccard similarity of `similarity` and more. prints: (doc_id, fp, h), h a hash of the text.
+
+    Pairs are checked one by one, but in hot groups and where a fingerprint has many texts: what such pairs connect is a bucket of texts
+    with their shingles, of which all pairs are compared in blocks that give the edges of spanning forests."""
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > near
+    texts = C.materialize(prints.groupBy("fp", "h").agg(F.min("doc_id").alias("doc_id")), "simhash-texts")
+    crowded = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY).select("fp")
+    found = _met(prints.select("fp").distinct(), radius, segments, _candidates_in).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hot").alias("hot"))
+    for end in ("u", "v"):
+        found = found.join(crowded.select(F.col("fp").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    found = found.select("u", "v", (F.col("hot") | (apart & (F.coalesce("_u", F.lit(False)) | F.coalesce("_v", F.lit(False))))).alias("hot"))
+    found = C.materialize(found, "simhash-candidates")
+    single, hot = found.where(~F.col("hot") & apart).select("u", "v"), found.where("hot").select("u", "v")
+
+    checked = found.where(F.col("hot") | apart)
+    ends = C.materialize(checked.select(F.col("u").alias("fp")).union(checked.select("v")).distinct(), "simhash-ends")
+    named = texts.join(ends, "fp", "left_semi").select(F.col("doc_id").alias("_id"), "h")
+    of = docs.join(named, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("h")), "left_semi")
+    sets = shingle_sets(of, text_col=text_col, shingle=shingle, size=size).join(ends, "fp", "left_semi").dropDuplicates(["fp", "grams"])
+    sets = C.materialize(sets.withColumn("tag", F.xxhash64("fp", "grams")), "simhash-grams")
+
+    j = single.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     alike = j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
-    return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= near).union(alike)
+
+    bucket = C.materialize(sets.join(C.components(hot, "simhash-hot").select(F.col("node").alias("fp"), F.col("component").alias("key")), "fp"), "simhash-hot")
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum(F.size("grams")) / GRAMS)).alias("_n")
+    spread = C.spread_buckets(bucket, "key", "tag", CHUNK, bucket.groupBy("key").agg(weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in C.sorted_groups(batches, ["key", "bi", "bj"]):
+            fp, side, bi, bj = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("fp", "side", "bi", "bj"))
+            lists = pa.concat_arrays(t.column("grams").chunks)
+            grams, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            for u, v in _similar_in(fp.view(np.uint64), side, bi != bj, at, grams, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), near, radius, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    dealt = spread.select("key", "bi", "bj", "side", "fp", "grams").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
+    return found.where(~F.col("hot") & ~apart).select("u", "v").union(alike).union(dealt.mapInArrow(run, "u long, v long"))
 
 
 def _rooted(prints: DataFrame, edges_of) -> DataFrame:
@@ -232,8 +292,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 def dedup(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, near: int = RADIUS, radius: int = SIMILAR_RADIUS, segments: int = SIMILAR_SEGMENTS, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE) -> DataFrame:
     """`docs` with one row of each group: that of the smallest doc_id. Columns as they are. Groups are chains of texts whose fingerprints
     are within `near` bits, or within `radius` bits and found similar (see similar_links)."""
-    prints = C.materialize(fingerprints(docs, text_col=text_col, shingle=shingle), "simhash")
-    of = _rooted(prints, lambda fps: similar_links(docs, fps, text_col=text_col, shingle=shingle, near=near, radius=radius, segments=segments, similarity=similarity, size=size))
+    prints = C.materialize(fingerprints(docs, text_col=text_col, shingle=shingle, hashed=True), "simhash")
+    of = _rooted(prints, lambda fps: similar_links(docs, prints, text_col=text_col, shingle=shingle, near=near, radius=radius, segments=segments, similarity=similarity, size=size))
     counts = prints.agg(F.count(F.lit(1)).alias("n")).first()["n"], prints.select("doc_id").where("doc_id is not null").distinct().count()
     if counts[0] == counts[1]:
         out = prints.join(of, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
