@@ -255,6 +255,15 @@ def test_mix_comes_near_targets_and_repeats(spark, sf):
     assert all(abs(r.taken - r.target) <= 0.1 * r.target and r.over <= 0 for r in by)
 
 
+def test_mix_goes_on_after_a_document_that_does_not_fit(spark):
+    order = sorted(range(601), key=lambda i: hashlib.md5(f"17:{i}".encode()).hexdigest())
+    texts = ["w " * 10] * 601 + ["v " * 5500]
+    texts[order[0]] = "w " * 6000  # the first in the order, over the whole target
+    docs = docs_of(spark, texts, sources=["b"] * 601 + ["a"])
+    by = {r.source: r for r in mixing.plan(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()}
+    assert by["b"].target == 5000 and by["b"].taken == 5000
+
+
 def test_mix_of_odd_rows_and_overlapping_sources(spark):
     docs = docs_of(spark, ODD, sources=["a", "a", None, None, "b", "b", "b", "c", "c", "a"])
     got = {r.doc_id: r for r in mixing.plan(docs).collect()}

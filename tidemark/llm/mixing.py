@@ -5,7 +5,8 @@ that the flow has a node for each pattern and each source, not for each document
 the first pass over its documents costs nothing, the second more, the third more again (convex costs), and a source takes at
 most its quota. Successive shortest paths give the cheapest full flow. What a pattern sends in all is whole passes over its
 documents and a rest; the rest goes to documents in a seeded order (md5 of seed and id)
-as long as they fit, then up to TOP_UPS times to the largest that still fits.
+as long as they fit, then TOP_UPS times to the largest that still fits, then in rounds to what fits the gap, in seeded order or, where one
+is half the gap and more, to the largest. A round leaves less than half of a pattern's gap; they end when no document fits.
 
 Only the totals of patterns come to the driver, at most MAX_PATTERNS of them (a documented limit of what one flow problem
 may hold; more raise an error rather than being dropped). The seeded order of a hot pattern isn't sorted in one task: the
@@ -24,6 +25,7 @@ Defined results
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ MAX_PASSES = 3
 SEED = 17
 BINS = 1 << 12
 MAX_PATTERNS = 10_000
-#: Documents that may be added to a pattern after the seeded order has met its first that doesn't fit.
+#: Times that the largest document that fits is added to a pattern before the rounds in seeded order.
 TOP_UPS = 3
 #: Cost of a word in the first, second and third pass.
 PASS_COST = (0, 1, 3)
@@ -149,8 +151,36 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     kind = T.StructType([T.StructField("pattern", slim.schema["pattern"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
     quotas = F.broadcast(spark.createDataFrame(rows, kind))  # a row for each pattern: at most MAX_PATTERNS
     same = F.to_json(F.struct(slim["pattern"])) == F.to_json(F.struct(quotas["pattern"]))
+    every = slim.join(quotas, same).drop(quotas["pattern"]).withColumn("key", F.to_json(F.struct("pattern")))
+    first_fit = C.materialize(_in_order(every).withColumn("row", F.monotonically_increasing_id()), "mixing")
+
+    # what the next document in the order doesn't fit into is topped up with the largest document that does
+    gaps = {r["key"]: r["rest"] - r["got"] for r in first_fit.where("rest > 0").groupBy("key", "rest").agg(F.sum(F.col("size") * F.col("more")).alias("got")).collect()}
+    picked: list[int] = []
+    for _ in range(TOP_UPS):
+        open_gaps = [(k, g) for k, g in gaps.items() if g > 0]
+        if not open_gaps:
+            break
+        small = F.broadcast(spark.createDataFrame(open_gaps, "key string, gap long"))  # a row for each pattern
+        fits = first_fit.where((F.col("more") == 0) & (F.col("size") > 0) & ~F.col("row").isin(picked)).join(small, "key").where("size <= gap")
+        best = fits.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()
+        for r in best:
+            gaps[r["key"]] -= r["b"]["size"]
+            picked.append(r["b"]["row"])
+        gaps = {r["key"]: gaps[r["key"]] for r in best}
+    first_fit = first_fit.withColumn("more", F.col("more") + F.col("row").isin(picked).cast("int"))
+    added = _fill(first_fit.where("more = 0 and size > 0").select("key", "row", "size", "u"), gaps)
+    more = F.col("more")
+    if added is not None:
+        first_fit = first_fit.join(added.withColumn("_added", F.lit(1)), "row", "left")
+        more = more + F.coalesce("_added", F.lit(0))
+    return first_fit.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
+
+
+def _in_order(every: DataFrame) -> DataFrame:
+    """Rows (key, rest, size, u, ...) with `more`: 1 for those of each key that together, in the order of u, fit into its rest."""
     hexes = lambda at: F.conv(F.substring("u", at, 3), 16, 10).cast("int")
-    every = slim.join(quotas, same).drop(quotas["pattern"]).withColumn("key", F.to_json(F.struct("pattern"))).withColumns({"b1": hexes(1), "b2": hexes(4)})
+    every = every.withColumns({"b1": hexes(1), "b2": hexes(4)})
 
     # the bin in which the rest ends, then the bin within that bin; of the at most BINS bins of a pattern one row each is ordered
     open_ = every.where("rest > 0").withColumn("before", F.lit(0).cast("long"))
@@ -166,26 +196,29 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     order = W.partitionBy("key").orderBy("u", "size")
     upto_here = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     inside = inside.withColumn("more", F.when(upto_here <= F.col("rest"), 1).otherwise(0))
-    early = (F.col("rest") > 0) & ((F.col("b1") < F.col("last_b1")) | ((F.col("b1") == F.col("last_b1")) & (F.col("b2") < F.col("last_b2"))))
-    outside = marked.where("not (b1 <=> last_b1 and b2 <=> last_b2) or size = 0").withColumn("more", F.when(early, 1).otherwise(0))
-    first_fit = C.materialize(outside.unionByName(inside).withColumn("row", F.monotonically_increasing_id()).drop("b1", "b2", "last_b1", "last_b2", "before"), "mixing")
+    before_last = F.col("last_b1").isNull() | (F.col("b1") < F.col("last_b1")) | ((F.col("b1") == F.col("last_b1")) & (F.col("b2") < F.col("last_b2")))
+    outside = marked.where("not (b1 <=> last_b1 and b2 <=> last_b2) or size = 0").withColumn("more", F.when((F.col("rest") > 0) & before_last, 1).otherwise(0))
+    return outside.unionByName(inside).drop("b1", "b2", "last_b1", "last_b2", "before")
 
-    # what the next document in the order doesn't fit into is topped up with the largest document that does
-    gaps = {r["key"]: r["rest"] - r["got"] for r in first_fit.where("rest > 0").groupBy("key", "rest").agg(F.sum(F.col("size") * F.col("more")).alias("got")).collect()}
-    picked: list[int] = []
-    for _ in range(TOP_UPS):
-        open_gaps = [(k, g) for k, g in gaps.items() if g > 0]
-        if not open_gaps:
+
+def _fill(left: DataFrame, gaps: dict[str, int]) -> DataFrame | None:
+    """(row) of what goes into the gaps of its key until nothing more fits. left: (key, row, size, u). Of each key a round takes the largest
+    document, if that fills half the gap and more, or else what fits in seeded order up to the first that doesn't, so that the gap halves."""
+    spark, added = left.sparkSession, []
+    while open_gaps := [(k, g) for k, g in gaps.items() if g > 0]:
+        small = F.broadcast(spark.createDataFrame(open_gaps, "key string, rest long"))  # a row for each pattern
+        left = C.materialize(left.join(small, "key").where("size <= rest").drop("rest"), "mixing-left")
+        best = {r["key"]: r["b"] for r in left.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()}
+        if not best:
             break
-        small = F.broadcast(spark.createDataFrame(open_gaps, "key string, gap long"))  # a row for each pattern
-        fits = first_fit.where((F.col("more") == 0) & (F.col("size") > 0) & ~F.col("row").isin(picked)).join(small, "key").where("size <= gap")
-        best = fits.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()
-        for r in best:
-            gaps[r["key"]] -= r["b"]["size"]
-            picked.append(r["b"]["row"])
-        gaps = {r["key"]: gaps[r["key"]] for r in best}
-    more = F.col("more") + F.col("row").isin(picked).cast("int")
-    return first_fit.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
+        how = [(k, gaps[k], b["row"] if 2 * b["size"] >= gaps[k] else None) for k, b in best.items()]
+        fits = left.join(F.broadcast(spark.createDataFrame(how, "key string, rest long, best long")), "key")
+        in_order = _in_order(fits.where("best is null")).where("more = 1").select("key", "row", "size")
+        new = C.materialize(fits.where("row = best").select("key", "row", "size").union(in_order), "mixing-added")
+        gaps = {r["key"]: gaps[r["key"]] - r["got"] for r in new.groupBy("key").agg(F.sum("size").alias("got")).collect()}
+        added.append(new.select("row"))
+        left = left.join(added[-1], "row", "left_anti")
+    return reduce(DataFrame.union, added) if added else None
 
 
 def _sizes(sums: list, number: dict) -> list[int]:
