@@ -3,28 +3,34 @@
 Documents may belong to several sources. They are added up by membership pattern (the sorted set of their sources), so
 that the flow has a node for each pattern and each source, not for each document. A pattern sends its tokens to its sources:
 the first pass over its documents costs nothing, the second more, the third more again (convex costs), and a source takes at
-most its quota. Successive shortest paths give the cheapest full flow. What a pattern sends in all is whole passes over its
-documents and a rest; the rest goes to documents in a seeded order (md5 of seed and id)
-as long as they fit, then TOP_UPS times to the largest that still fits, then in rounds to what fits the gap, in seeded order or, where one
-is half the gap and more, to the largest. A round leaves less than half of a pattern's gap; they end when no document fits.
+most its quota. As only passes cost, and the same for every pattern, the cheapest full flow is that of one maximal flow after the other,
+each with one pass more allowed (min_cost_flow). What a pattern sends in all is whole passes over its documents and a rest; the rest goes
+to documents in a seeded order (md5 of seed and id) as long as they fit, then in rounds to what fits the gap: the largest TOP_UPS times,
+then in seeded order or, where one is half the gap and more, the largest. Such a round leaves less than half of a pattern's gap; they end
+when no document fits.
+
+Each taken word is charged to the source that its pattern's flow sends it to: a pattern's passes over its documents in seeded order make a
+line, its sources cut the line by what they get, and a document belongs to the piece in which its middle lies.
 
 Only the totals of patterns come to the driver, at most MAX_PATTERNS of them (a documented limit of what one flow problem
 may hold; more raise an error rather than being dropped). The seeded order of a hot pattern isn't sorted in one task: the
 order's leading bits make BINS bins, and BINS more within the bin where the rest ends; bins are added up, and only the documents
-of the last bin of all are ordered.
+of the last bin of all are ordered. Only a pattern of several routes has all its places counted, bin by bin.
 
 Defined results
   text null or without words    size 0; taken 0
   source null                   a source of its own, last in the order
+  sources null or an empty array (given by `sources`)   in no source: target 0, taken 0
   empty table                   no rows
   sources without words         target 0
   repeated or null doc_id       every row is a document; rows of equal id are taken together or in order of their text's md5
+  very long texts               counted whole; a document that is longer than its source's gap is passed over
   more columns                  ignored
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +44,12 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 SEED = 17
 BINS = 1 << 12
-MAX_PATTERNS = 10_000
-#: Times that the largest document that fits is added to a pattern before the rounds in seeded order.
+MAX_PATTERNS = 200_000
+#: Rounds in which the largest document that fits is added to a pattern, however small, before seeded order is tried.
 TOP_UPS = 3
 #: Cost of a word in the first, second and third pass.
 PASS_COST = (0, 1, 3)
+_CHARGED = "array<struct<source:string,words:bigint>>"
 
 
 def n_words(text: Column) -> Column:
@@ -66,119 +73,158 @@ def targets(sizes: list[int], weights: list[int], total: int, most: int = MAX_PA
     return [float(capped[i]) for i in range(len(sizes))]
 
 
-def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs: tuple[int, ...] = PASS_COST) -> list[int]:
-    """Words that each pattern sends. patterns: (its sources, its words); each pass over a pattern is an arc of its
-    own with its cost. Successive shortest paths over potentials; a pattern of one source takes what its quota leaves."""
-    n_p, n_s = len(patterns), len(quotas)
-    start, end = n_p + n_s, n_p + n_s + 1
-    graph: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
-    to, cap, cost = [], [], []
-
-    def arc(a: int, b: int, c: int, price: int) -> None:
-        for x, y, k, p in ((a, b, c, price), (b, a, 0, -price)):
-            graph[x].append(len(to))
-            to.append(y)
-            cap.append(k)
-            cost.append(p)
-
-    first = []
-    for i, (of, size) in enumerate(patterns):
-        first.append(len(to))
-        for price in costs:
-            arc(start, i, size, price)
+def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], passes: int = len(PASS_COST)) -> list[dict[int, int]]:
+    """Words that each pattern sends to each of its sources. patterns: (its sources, its words).
+
+    The amounts that patterns can send at once form a polymatroid, on which a separable convex cost is least when cheap words go
+    first; so the flow is made maximal with one pass over every pattern, then with two, then with three. Augmenting paths never take a
+    pattern's words back, they only send them to another of its sources."""
+    sent: list[dict[int, int]] = [dict.fromkeys(of, 0) for of, _ in patterns]
+    users: list[list[int]] = [[] for _ in quotas]
+    for i, (of, _) in enumerate(patterns):
         for s in of:
-            arc(i, n_p + s, len(costs) * size, 0)
-    for s, q in enumerate(quotas):
-        arc(n_p + s, end, q, 0)
-    pot = [0] * len(graph)
-    while True:
-        dist: list[float] = [float("inf")] * len(graph)
-        via = [-1] * len(graph)
-        dist[start] = 0
-        heap: list[tuple[float, int]] = [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > dist[x]:
+            users[s].append(i)
+    room = list(quotas)
+    left = [0] * len(patterns)
+
+    def levels() -> tuple[list[int], list[int], bool]:
+        """Steps from patterns with words left to patterns and to sources, up to the first source with room."""
+        of_p, of_s = [-1] * len(patterns), [-1] * len(quotas)
+        queue = deque(i for i in range(len(patterns)) if left[i] > 0)
+        for i in queue:
+            of_p[i] = 0
+        found = False
+        while queue and not found:
+            after: deque[int] = deque()
+            for i in queue:
+                for s in sent[i]:
+                    if of_s[s] < 0:
+                        of_s[s] = of_p[i]
+                        found = found or room[s] > 0
+                        for k in users[s]:
+                            if of_p[k] < 0 and sent[k][s] > 0:
+                                of_p[k] = of_p[i] + 1
+                                after.append(k)
+            queue = after
+        return of_p, of_s, found
+
+    def push(i: int, most: int, of_p: list[int], of_s: list[int], todo_p: list, todo_s: list) -> int:
+        """Send up to `most` words from pattern i along the levels (paths are at most as long as there are sources)."""
+        done = 0
+        while todo_p[i] and done < most:
+            s = todo_p[i][-1]
+            if of_s[s] != of_p[i]:
+                todo_p[i].pop()
                 continue
-            for a in graph[x]:
-                y = to[a]
-                if cap[a] > 0 and (e := d + cost[a] + pot[x] - pot[y]) < dist[y]:
-                    dist[y], via[y] = e, a
-                    heapq.heappush(heap, (e, y))
-        if via[end] < 0:
-            break
-        for x in range(len(graph)):
-            if dist[x] < float("inf"):
-                pot[x] += dist[x]
-        path, x = [], end
-        while x != start:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(cap[a] for a in path)
-        for a in path:
-            cap[a] -= push
-            cap[a ^ 1] += push
-    return [sum(cap[(first[i] + 2 * k) ^ 1] for k in range(len(costs))) for i in range(n_p)]
+            here = min(most - done, room[s])
+            room[s] -= here
+            while here < most - done and todo_s[s]:
+                k = todo_s[s][-1]
+                if of_p[k] != of_p[i] + 1 or sent[k][s] == 0:
+                    todo_s[s].pop()
+                    continue
+                back = push(k, min(most - done - here, sent[k][s]), of_p, of_s, todo_p, todo_s)
+                sent[k][s] -= back
+                here += back
+                if not back or sent[k][s] == 0:
+                    todo_s[s].pop()
+            sent[i][s] += here
+            done += here
+            if done < most:
+                todo_p[i].pop()
+        return done
+
+    for _ in range(passes):
+        left = [a + size for a, (_, size) in zip(left, patterns, strict=True)]
+        while True:
+            of_p, of_s, found = levels()
+            if not found:
+                break
+            todo_p, todo_s = [list(x) for x in sent], [list(x) for x in users]
+            for i in range(len(patterns)):
+                if left[i] > 0:
+                    left[i] -= push(i, left[i], of_p, of_s, todo_p, todo_s)
+    return sent
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of so many patterns, if these are few."""
+    return F.broadcast(df) if rows <= C.BROADCAST_ROWS else df
 
 
 def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each document row. sources: an array of the sources that a document belongs
-    to (by default its column `source`, null being a source); source_size and target are those of the first."""
+    """(doc_id, size, source_size, target, taken, charged) of each document row. sources: an array of the sources that a document belongs
+    to (by default its column `source`, null being a source); source_size and target are those of the first. charged: the taken words by
+    the source that they count for."""
     spark = docs.sparkSession
-    sources = F.array("source") if sources is None else sources
+    sources = F.array("source") if sources is None else F.coalesce(sources, F.array().cast("array<string>"))
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         n_words(F.col(text_col)).alias("size"),
-        F.array_sort(F.array_distinct(sources)).alias("pattern"),
+        F.array_sort(F.array_distinct(sources.cast("array<string>"))).alias("pattern"),
         F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("u"),
     )
-    slim = C.materialize(slim, "mixing")
-    sums = slim.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    slim = C.materialize(slim.withColumn("key", F.to_json(F.struct("pattern"))), "mixing")
+    sums = slim.groupBy("key", "pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     sums = sorted(sums, key=lambda r: [(s is None, s or "") for s in r["pattern"]])
     names = sorted({s for r in sums for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
-    sizes = [sum(r["size"] for r in sums if s in r["pattern"]) for s in names] if len(names) * len(sums) < 10**7 else _sizes(sums, number)
-    total = sum(r["size"] for r in sums)
-    target = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], total)
+    sizes = [0] * len(names)
+    for r in sums:
+        for s in r["pattern"]:
+            sizes[number[s]] += r["size"]
+    target = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in sums))
     sent = min_cost_flow([(tuple(number[s] for s in r["pattern"]), r["size"]) for r in sums], [round(t) for t in target])
-    rows = []
-    for r, t in zip(sums, sent, strict=True):
-        i = number[r["pattern"][0]] if r["pattern"] else None
+    rows, several = [], False
+    for r, flow in zip(sums, sent, strict=True):
+        t, upto, routes = sum(flow.values()), 0, []
+        for i, words in flow.items():
+            if words:
+                upto += words
+                routes.append((names[i], upto))
+        several = several or len(routes) > 1
         whole = t // r["size"] if r["size"] else 0
-        rows.append((r["pattern"], sizes[i] if i is not None else 0, target[i] if i is not None else 0.0, whole, t - whole * r["size"]))
-    kind = T.StructType([T.StructField("pattern", slim.schema["pattern"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
-    quotas = F.broadcast(spark.createDataFrame(rows, kind))  # a row for each pattern: at most MAX_PATTERNS
-    same = F.to_json(F.struct(slim["pattern"])) == F.to_json(F.struct(quotas["pattern"]))
-    every = slim.join(quotas, same).drop(quotas["pattern"]).withColumn("key", F.to_json(F.struct("pattern")))
-    first_fit = C.materialize(_in_order(every).withColumn("row", F.monotonically_increasing_id()), "mixing")
-
-    # what the next document in the order doesn't fit into is topped up with the largest document that does
+        i = number[r["pattern"][0]] if r["pattern"] else None
+        rows.append((r["key"], r["size"], sizes[i] if i is not None else 0, target[i] if i is not None else 0.0, whole, t - whole * r["size"], routes))
+    kind = "key string, in_all long, source_size long, target double, whole long, rest long, routes array<struct<source:string,upto:bigint>>"
+    every = slim.drop("pattern").join(_small(spark.createDataFrame(rows, kind), len(rows)), "key")
+    first_fit = C.materialize(_in_order(every, len(rows)).withColumn("row", F.monotonically_increasing_id()), "mixing")
+
     gaps = {r["key"]: r["rest"] - r["got"] for r in first_fit.where("rest > 0").groupBy("key", "rest").agg(F.sum(F.col("size") * F.col("more")).alias("got")).collect()}
-    picked: list[int] = []
-    for _ in range(TOP_UPS):
-        open_gaps = [(k, g) for k, g in gaps.items() if g > 0]
-        if not open_gaps:
-            break
-        small = F.broadcast(spark.createDataFrame(open_gaps, "key string, gap long"))  # a row for each pattern
-        fits = first_fit.where((F.col("more") == 0) & (F.col("size") > 0) & ~F.col("row").isin(picked)).join(small, "key").where("size <= gap")
-        best = fits.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()
-        for r in best:
-            gaps[r["key"]] -= r["b"]["size"]
-            picked.append(r["b"]["row"])
-        gaps = {r["key"]: gaps[r["key"]] for r in best}
-    first_fit = first_fit.withColumn("more", F.col("more") + F.col("row").isin(picked).cast("int"))
     added = _fill(first_fit.where("more = 0 and size > 0").select("key", "row", "size", "u"), gaps)
     more = F.col("more")
     if added is not None:
         first_fit = first_fit.join(added.withColumn("_added", F.lit(1)), "row", "left")
         more = more + F.coalesce("_added", F.lit(0))
-    return first_fit.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
-
-
-def _in_order(every: DataFrame) -> DataFrame:
-    """Rows (key, rest, size, u, ...) with `more`: 1 for those of each key that together, in the order of u, fit into its rest."""
+    taken = F.col("size") * (F.col("whole") + more)
+    first_fit = first_fit.withColumns({"passes": F.col("whole") + more, "taken": taken})
+    out = ["doc_id", "size", "source_size", "target", "taken"]
+    one = first_fit.where("size(routes) <= 1") if several else first_fit
+    only = F.when(F.col("taken") > 0, F.array(F.struct(F.get("routes", F.lit(0))["source"].alias("source"), F.col("taken").alias("words")))).otherwise(F.array()).cast(_CHARGED)
+    charged = one.select(*out, only.alias("charged"))
+    return charged.union(_charged(first_fit.where("size(routes) > 1")).select(*out, "charged")) if several else charged
+
+
+def _charged(docs: DataFrame) -> DataFrame:
+    """Rows of patterns of several routes with `charged`. A hot pattern's order is counted in BINS pieces."""
+    docs = docs.withColumn("b1", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
+    bins = docs.groupBy("key", "b1").agg(F.sum("size").alias("in_bin"))
+    w = W.partitionBy("key").orderBy("b1").rowsBetween(W.unboundedPreceding, W.currentRow)  # at most BINS rows of a pattern
+    bins = bins.select("key", "b1", (F.sum("in_bin").over(w) - F.col("in_bin")).alias("before"))
+    here = W.partitionBy("key", "b1").orderBy("u", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    docs = docs.join(bins, ["key", "b1"]).withColumn("middle", F.col("before") + F.sum("size").over(here) - F.col("size") / 2)
+    last = F.element_at("routes", -1)
+    of_pass = lambda k: F.coalesce(F.get(F.filter("routes", lambda r: r["upto"] > k * F.col("in_all") + F.col("middle")), F.lit(0)), last)["source"]
+    docs = docs.withColumn("_to", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), of_pass)).otherwise(F.array().cast("array<string>")))
+    per = F.transform("routes", lambda r: F.struct(r["source"].alias("source"), (F.col("size") * F.size(F.filter("_to", lambda s: s.eqNullSafe(r["source"])))).alias("words")))
+    return docs.withColumn("charged", F.filter(per, lambda c: c["words"] > 0).cast(_CHARGED))
+
+
+def _in_order(every: DataFrame, keys: int) -> DataFrame:
+    """Rows (key, rest, size, u, ...) with `more`: 1 for those of each key that together, in the order of u, fit into its rest. keys: how many
+    keys there are at most."""
     hexes = lambda at: F.conv(F.substring("u", at, 3), 16, 10).cast("int")
     every = every.withColumns({"b1": hexes(1), "b2": hexes(4)})
 
@@ -189,7 +235,7 @@ def _in_order(every: DataFrame) -> DataFrame:
     for b in ("b1", "b2"):
         bins = open_.groupBy("key", "rest", "before", F.col(b).alias("bin")).agg(F.sum("size").alias("in_bin"))
         last = bins.withColumn("upto", upto).where("upto >= rest and upto - in_bin < rest").select("key", F.col("bin").alias(f"last_{b}"), (F.col("upto") - F.col("in_bin")).alias("before"))
-        last = F.broadcast(last)  # a row for each pattern
+        last = _small(last, keys)  # a row for each pattern
         marked = marked.drop("before").join(last, "key", "left")
         open_ = open_.drop("before").join(last, "key").where(F.col(b) == F.col(f"last_{b}"))
     inside = marked.where("b1 = last_b1 and b2 = last_b2 and size > 0")
@@ -203,42 +249,50 @@ def _in_order(every: DataFrame) -> DataFrame:
 
 def _fill(left: DataFrame, gaps: dict[str, int]) -> DataFrame | None:
     """(row) of what goes into the gaps of its key until nothing more fits. left: (key, row, size, u). Of each key a round takes the largest
-    document, if that fills half the gap and more, or else what fits in seeded order up to the first that doesn't, so that the gap halves."""
-    spark, added = left.sparkSession, []
-    while open_gaps := [(k, g) for k, g in gaps.items() if g > 0]:
-        small = F.broadcast(spark.createDataFrame(open_gaps, "key string, rest long"))  # a row for each pattern
-        left = C.materialize(left.join(small, "key").where("size <= rest").drop("rest"), "mixing-left")
-        best = {r["key"]: r["b"] for r in left.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()}
-        if not best:
-            break
-        how = [(k, gaps[k], b["row"] if 2 * b["size"] >= gaps[k] else None) for k, b in best.items()]
-        fits = left.join(F.broadcast(spark.createDataFrame(how, "key string, rest long, best long")), "key")
-        in_order = _in_order(fits.where("best is null")).where("more = 1").select("key", "row", "size")
-        new = C.materialize(fits.where("row = best").select("key", "row", "size").union(in_order), "mixing-added")
-        gaps = {r["key"]: gaps[r["key"]] - r["got"] for r in new.groupBy("key").agg(F.sum("size").alias("got")).collect()}
-        added.append(new.select("row"))
-        left = left.join(added[-1], "row", "left_anti")
+    document, in the first TOP_UPS rounds and if that fills half the gap and more, or else what fits in seeded order up to the first that
+    doesn't, so that the gap halves. The largest are one row a pattern and round; what is taken in order stays in tables."""
+    spark, added, picked, turn = left.sparkSession, [], [], 0
+    gaps = {k: g for k, g in gaps.items() if g > 0}
+    as_rows = lambda: _small(spark.createDataFrame([(r,) for r in picked], "row long"), len(picked))
+    first = True
+    while gaps:
+        small = _small(spark.createDataFrame(list(gaps.items()), "key string, rest long"), len(gaps))
+        fits = left.join(small, "key").where("size <= rest")
+        if picked:
+            fits = fits.join(as_rows(), "row", "left_anti")
+        if first:
+            left = C.materialize(fits.drop("rest"), "mixing-left")
+            fits, first = left.join(small, "key"), False
+        best = {r["key"]: r["b"] for r in fits.groupBy("key").agg(F.max(F.struct("size", "u", "row")).alias("b")).collect()}
+        gaps = {k: gaps[k] for k in best}
+        ordered = [(k, g) for k, g in gaps.items() if turn >= TOP_UPS and 2 * best[k]["size"] < g]
+        for k in gaps.keys() - {k for k, _ in ordered}:
+            gaps[k] -= best[k]["size"]
+            picked.append(best[k]["row"])
+        if ordered:
+            some = fits.join(_small(spark.createDataFrame(ordered, "key string, _g long").select("key"), len(ordered)), "key")
+            new = C.materialize(_in_order(some, len(ordered)).where("more = 1").select("key", "row", "size"), "mixing-added")
+            for r in new.groupBy("key").agg(F.sum("size").alias("got")).collect():
+                gaps[r["key"]] -= r["got"]
+            added.append(new.select("row"))
+            left = C.materialize(left.join(added[-1], "row", "left_anti"), "mixing-left")
+        gaps = {k: g for k, g in gaps.items() if g > 0}
+        turn += 1
+    if picked:
+        added.append(spark.createDataFrame([(r,) for r in picked], "row long"))
     return reduce(DataFrame.union, added) if added else None
 
 
-def _sizes(sums: list, number: dict) -> list[int]:
-    out = [0] * len(number)
-    for r in sums:
-        for s in r["pattern"]:
-            out[number[s]] += r["size"]
-    return out
-
-
 # ---------------------------------------------------------------- query
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return plan(C.table(spark, sf_dir, "documents"))
+    return plan(C.table(spark, sf_dir, "documents")).drop("charged")
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) || md5(coalesce(text, '')) AS u FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(source_size) OVER () AS total FROM s),
@@ -252,8 +306,12 @@ r AS (SELECT *, CASE WHEN source_size > 0 THEN sent // source_size ELSE 0 END AS
 c AS (SELECT d.doc_id, d.size, d.u, d.source, r.source_size, r.target, r.whole, r.rest,
     rest > 0 AND sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS m0
     FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-{"".join(f"""c{k} AS (SELECT *, rest - sum(CASE WHEN m{k} THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap{k} FROM {f'e{k}' if k else 'c'}),
-e{k + 1} AS (SELECT *, m{k} OR (size > 0 AND size <= gap{k} AND row_number() OVER (PARTITION BY source ORDER BY NOT m{k} AND size > 0 AND size <= gap{k} DESC, size DESC, u DESC) = 1) AS m{k + 1} FROM c{k}),
-""" for k in range(TOP_UPS))}f AS (SELECT * FROM e{TOP_UPS})
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN m{TOP_UPS} AND size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
+c1 AS (SELECT *, row_number() OVER () AS rid, rest - sum(CASE WHEN m0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+f(turn, rid, source, size, u, gap, took) AS (SELECT 0, rid, source, size, u, gap, false FROM c1 WHERE NOT m0 AND size > 0
+  UNION ALL SELECT turn + 1, rid, source, size, u, gap - sum(CASE WHEN t THEN size ELSE 0 END) OVER (PARTITION BY source), t
+  FROM (SELECT *, CASE WHEN turn < {TOP_UPS} OR 2 * largest >= gap THEN is_largest ELSE upto <= gap END AS t
+    FROM (SELECT *, max(size) OVER (PARTITION BY source) AS largest, row_number() OVER (PARTITION BY source ORDER BY size DESC, u DESC) = 1 AS is_largest,
+        sum(size) OVER (PARTITION BY source ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM f WHERE NOT took AND size <= gap)))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN m0 OR rid IN (SELECT rid FROM f WHERE took) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c1
 """
