@@ -4,7 +4,10 @@ A change inserts a document, deletes it, or revises it (another count, source or
 away with -1, what it adds with +1. A batch of changes is added up by source, language and tokenizer version, and that sum is the
 batch's commit: one folder, named by the batch, valid once Spark has put its _SUCCESS there. A batch that is committed isn't
 written again, one whose writing broke off is overwritten, so that repeating a batch changes nothing. Totals are
-the sums of the committed batches; `compact` replaces many by one. Documents are never looked up again.
+the sums of the committed batches. `compact` adds up all committed batches into a generation: a folder of one row for each key, and
+then the names of the batches in it, whose _SUCCESS makes the generation count. The newest such generation and the batches that it
+doesn't name are what is read; older folders are deleted only after it stands, and deleting may break off at any point. Documents
+are never looked up again. A rollup has one writer at a time.
 
 Tokenizers are functions by version name. Words are runs of anything but white space; byte-level BPE reads a public vocabulary file from
 a path that is a parameter.
@@ -15,6 +18,9 @@ Defined results
   repeated rows, null ids    each row counts
   an unknown kind of change  raises
   empty table                no rows
+  very long texts            counted whole
+  a broken-off batch or compaction      doesn't count, and is overwritten or passed over by the next
+  compacting twice, or with nothing new      changes nothing
   groups that sum to nothing (no documents and no tokens) aren't listed
 """
 
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 KEYS = ("source", "lang", "tokenizer")
+SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
 @functools.lru_cache(maxsize=4)
@@ -95,7 +102,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Rollup:
-    """A folder of committed batches."""
+    """A folder of committed batches (batch-NAME) and generations of added-up batches (sums-N, names-N)."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -105,55 +112,61 @@ class Rollup:
             raise ValueError(f"not a batch name: {batch!r}")
         return f"{self.folder}/batch-{batch}"
 
-    def committed(self) -> list[str]:
-        """Names of the batches whose sums count."""
+    def _whole(self) -> tuple[list[str], list[int]]:
+        """Names of whole batches, and whole generations in their order."""
         fs, p = _fs(self.spark, self.folder)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        done = [n for n in names if fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
-        merged: set[str] = set()
-        for n in done:
-            if n.startswith("compact-"):
-                merged.update(r[0] for r in self.spark.read.parquet(f"{self.folder}/{n}").select("batch").distinct().collect())  # names of batches
-        return sorted({n.removeprefix("batch-") for n in done if n.startswith("batch-")} | (merged - {None}))
+        done = {n for n in names if fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))}
+        made = sorted(int(n.removeprefix("names-")) for n in done if n.startswith("names-") and f"sums-{n.removeprefix('names-')}" in done)
+        return sorted(n.removeprefix("batch-") for n in done if n.startswith("batch-")), made
+
+    def _merged(self, made: list[int]) -> set[str]:
+        """Names of the batches in the newest generation."""
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/names-{made[-1]}").collect()} if made else set()
+
+    def committed(self) -> list[str]:
+        """Names of the batches whose sums count."""
+        batches, made = self._whole()
+        return sorted(self._merged(made).union(batches))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch's changes; False if it is already there."""
+        path = self._path(batch)
         if batch in self.committed():
             return False
         sums = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(self._path(batch))
+        sums.write.mode("overwrite").parquet(path)
         return True
 
     def _sums(self) -> DataFrame | None:
-        fs, p = _fs(self.spark, self.folder)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        names = [n for n in names if fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
-        whole = [n for n in names if n.startswith("compact-")]
-        merged = {r[0] for n in whole for r in self.spark.read.parquet(f"{self.folder}/{n}").select("batch").distinct().collect()}
-        read = [*whole[-1:], *(n for n in names if n.startswith("batch-") and n.removeprefix("batch-") not in merged)]
-        return self.spark.read.parquet(*(f"{self.folder}/{n}" for n in read)) if read else None
+        """What counts, a row for each key and folder."""
+        batches, made = self._whole()
+        merged = self._merged(made)
+        read = [*(f"{self.folder}/sums-{k}" for k in made[-1:]), *(self._path(b) for b in batches if b not in merged)]
+        return self.spark.read.schema(SUMS).parquet(*read) if read else None
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches."""
         sums = self._sums()
         if sums is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
+            return self.spark.createDataFrame([], SUMS)
         return sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def compact(self, name: str) -> None:
-        """Put the committed batches' sums into one folder; those folders are dropped once it stands."""
-        sums = self._sums()
-        if sums is None:
-            return
+    def compact(self) -> None:
+        """Add up all committed batches into a new generation; then delete what it replaces."""
+        batches, made = self._whole()
+        merged = self._merged(made)
+        number = made[-1] if made else 0
+        if set(batches) - merged:
+            number += 1  # a broken-off attempt of this number is overwritten: it has no whole names-N, so nothing reads it
+            self.totals().write.mode("overwrite").parquet(f"{self.folder}/sums-{number}")
+            merged = merged.union(batches)
+            self.spark.createDataFrame([(b,) for b in sorted(merged)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/names-{number}")
         fs, p = _fs(self.spark, self.folder)
-        before = [s.getPath() for s in fs.listStatus(p)]
-        sums.write.mode("overwrite").parquet(f"{self.folder}/compact-{name}")
-        for old in before:
-            if old.getName() != f"compact-{name}":
+        for old in [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []:
+            kind, _, rest = old.getName().partition("-")
+            if kind == "batch" and rest in merged or kind in ("sums", "names") and int(rest) < number:
                 fs.delete(old, True)
 
 
