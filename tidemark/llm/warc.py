@@ -13,6 +13,7 @@ Defined results
   url null                  a record without a target; characters that a URI may not hold are percent-encoded
   page_id null              never the smallest; where a payload has only such rows, all are responses
   repeated page_id          every row with the payload's smallest page_id is a response
+  very long html            one record, in memory as a whole
   empty table               no archives, no rows
   more columns              ignored
 """
@@ -36,8 +37,10 @@ from tidemark.llm import common as C
 
 #: An archive is closed when it has reached so many bytes.
 ARCHIVE_BYTES = 128 << 20
-#: One task reads so much of an archive; ranges less than GAP apart are read at once, up to READ_BYTES.
-STRETCH = 32 << 20
+#: Archives are dealt in stretches; a task reads about TASK_BYTES of records, or less where cores would be idle, but not under LEAST_BYTES;
+#: ranges less than GAP apart are read at once, up to READ_BYTES.
+STRETCH = 4 << 20
+TASK_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 GAP = 64 << 10
 READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -185,7 +188,11 @@ def read(index: DataFrame, *, with_payload: bool = True) -> DataFrame:
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(rows[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    dealt = index.select("path", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("_stretch")).repartition("path", "_stretch").sortWithinPartitions("path", "offset")
+    # the index is small beside what it points at: tasks are counted by the archives' bytes, not by the index's
+    slim = index.select("path", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("_stretch"))
+    size = slim.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)), 1)
+    dealt = slim.repartition(tasks, "path", "_stretch").sortWithinPartitions("path", "offset")
     return dealt.select("path", "offset", "length").mapInArrow(run, schema)
 
 
