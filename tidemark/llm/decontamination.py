@@ -1,9 +1,9 @@
 """Benchmark decontamination with training suffix arrays (operator 3).
 
-Every partition of the documents is a shard. In a shard the words become numbers of the benchmark's vocabulary
+The documents are cut into shards of about SLICE_BYTES of text, partition by partition. In a shard the words become numbers of the benchmark's vocabulary
 (0: not in it), and a suffix array is sorted over those positions whose run of vocabulary words is long enough
 for a match: any other suffix differs from every test suffix within the shortest window, so leaving it out loses
-nothing. Every test suffix is then binary-searched in the shard's array: the longest verbatim match and its
+nothing. Every test suffix whose first two words occur in the shard is then binary-searched in the shard's array: the longest verbatim match and its
 places come from its insertion point, the places of its window from the interval of suffixes that share the window.
 
 The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text; each block is one more pass over the
@@ -15,6 +15,7 @@ Defined results
   item_id null                        its windows hit words, but it isn't counted in n_items
   repeated item_id                    its texts together are the one item
   repeated or null doc_id             every row is judged by itself
+  very long texts                     a shard of their own
   empty tables                        no rows; or no hit
   more columns in documents           ignored by `scan`, kept by `decontaminate`
 """
@@ -158,9 +159,19 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.
     back = np.zeros(len(apart), np.int64)  # from places among the texts apart to words
     back[here + shift] = here
 
+    # only test suffixes whose first words begin a suffix here can be found: the others need no search
+    test = np.append(block.codes, np.zeros(depth, np.int32))
+    heads = apart[sa].astype(np.int64)
+    begins = np.zeros(len(block.vocab) + 1, bool)
+    begins[heads] = True
     tests = np.flatnonzero(block.size)
+    tests = tests[begins[test[tests]]]
+    pairs = np.unique(heads << 32 | apart[sa + 1])
+    two = test[tests].astype(np.int64) << 32 | test[tests + 1]
+    tests = tests[(block.size[tests] < 2) | (pairs[np.minimum(np.searchsorted(pairs, two), len(pairs) - 1)] == two)]
+    if not len(tests):
+        return n_words, found
     size = block.size[tests]
-    test = np.append(block.codes, np.zeros(depth, np.int32))
     lo = _search(apart, sa, test, tests, size, False)
     hi = _search(apart, sa, test, tests, size, True)
     got = np.flatnonzero(hi > lo)
@@ -204,15 +215,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     longest verbatim match of any window's suffix (words, item, first word in the document). Sorted lists."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    passes = []
-    for items in _blocks(benchmark, item_col, item_text_col):
-        passes.append(_pass(slim, spark.sparkContext.broadcast((items, window))))
-    if not passes:
-        passes.append(_pass(slim, spark.sparkContext.broadcast(([], window))))
-    if len(passes) == 1:
-        return passes[0]
-    # more than one pass: rows are told apart by their place in the scan, which each pass repeats
-    return _merged(passes)
+    shared = [spark.sparkContext.broadcast((items, window)) for items in _blocks(benchmark, item_col, item_text_col)]
+    if len(shared) <= 1:
+        return _pass(slim, shared[0] if shared else spark.sparkContext.broadcast(([], window)))
+    # more than one pass: what they find of a row is united by a number that is stored with the row first
+    numbered = C.materialize(slim.select(F.monotonically_increasing_id().alias("row_id"), F.col("row_id").alias("_id"), "text"), "decontamination")
+    found = _merged([_pass(numbered.select("row_id", "text"), x) for x in shared])
+    return found.withColumnRenamed("row_id", "_row").join(numbered.select(F.col("row_id").alias("_row"), F.col("_id").alias("row_id")), "_row").select(*found.columns)
 
 
 def _pass(slim: DataFrame, shared) -> DataFrame:
@@ -245,15 +254,12 @@ def _pass(slim: DataFrame, shared) -> DataFrame:
 
 
 def _merged(passes: list[DataFrame]) -> DataFrame:
-    """Unite the passes' findings of each row. Passes read the same files in the same order, so the row's number
-    within its partition names it."""
-    numbered = [p.withColumn("_at", F.monotonically_increasing_id()) for p in passes]
-    every = numbered[0]
-    for p in numbered[1:]:
+    """Unite the passes' findings of each row; row_id is the row's own number."""
+    every = passes[0]
+    for p in passes[1:]:
         every = every.unionByName(p)
     every = every.withColumn("spans", F.arrays_zip("hit_start", "hit_end"))
-    g = every.groupBy("_at").agg(
-        F.first("row_id").alias("row_id"),
+    g = every.groupBy("row_id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),  # one entry for each pass
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
