@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import math
+import os
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,9 +130,11 @@ def test_rollup_commits_once_and_compacts(spark):
     roll.commit("2", change(("revise", ("a", "en", "w", 5), ("b", "en", "w", 7)), ("delete", (None, None, "w", 2), None)))
     want = [("b", "en", "w", 1, 7)]
     assert [tuple(r) for r in roll.totals().collect()] == want
-    roll.compact("x")
+    roll.compact()
     assert roll.committed() == ["1", "2"] and not roll.commit("2", first)
     assert [tuple(r) for r in roll.totals().collect()] == want
+    roll.compact()  # nothing new
+    assert roll.committed() == ["1", "2"] and [tuple(r) for r in roll.totals().collect()] == want
     with pytest.raises(Exception, match="unknown kind"):
         roll.commit("3", change(("replace", None, ("a", "en", "w", 5))))
     assert token_counts.count(empty_like(docs_of(spark, ODD)), {"w": None}).count() == 0
@@ -138,6 +142,41 @@ def test_rollup_commits_once_and_compacts(spark):
     assert [r.tokens for r in got] == [len((t or "").split()) for t in ODD]
 
 
+def test_rollup_survives_what_breaks_off(spark):
+    kind = "kind string, old struct<source:string,lang:string,tokenizer:string,tokens:long>, new struct<source:string,lang:string,tokenizer:string,tokens:long>"
+    folder = common.new_path(spark, "t")
+    roll = token_counts.Rollup(spark, folder)
+    fs, _ = token_counts._fs(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    put = lambda name, n: roll.commit(name, spark.createDataFrame([("insert", None, (name, "en", "w", n))], kind))
+    totals = lambda: {r.source: r.tokens for r in roll.totals().collect()}
+    put("1", 5)
+    put("2", 7)
+    want = {"1": 5, "2": 7}
+    saved = common.new_path(spark, "t")
+    copy = lambda a, b: spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(a), fs, path(b), False, spark.sparkContext._jsc.hadoopConfiguration())
+    for b in ("1", "2"):
+        copy(f"{folder}/batch-{b}", f"{saved}/batch-{b}")
+    roll.compact()
+    for b in ("1", "2"):  # broken off after its write and before its deletes: the batches lie beside the generation
+        copy(f"{saved}/batch-{b}", f"{folder}/batch-{b}")
+    assert totals() == want and roll.committed() == ["1", "2"]
+    roll.compact()
+    assert totals() == want and not put("1", 5)
+    put("3", 1)
+    want["3"] = 1
+    roll.totals().write.parquet(f"{folder}/sums-2")  # broken off before the names
+    assert totals() == want
+    spark.range(0).selectExpr("cast(id as string) batch").write.parquet(f"{folder}/names-2")
+    fs.delete(path(f"{folder}/names-2/_SUCCESS"), False)  # while the names were written
+    assert totals() == want and roll.committed() == ["1", "2", "3"]
+    roll.compact()
+    assert totals() == want and roll.committed() == ["1", "2", "3"]
+    copy(f"{saved}/batch-1", f"{folder}/batch-4")
+    fs.delete(path(f"{folder}/batch-4/_SUCCESS"), False)  # a batch that broke off doesn't count and is written anew
+    assert totals() == want and put("4", 2) and totals() == want | {"4": 2}
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -231,6 +270,43 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     assert licenses.scan(empty_like(df)).count() == 0
 
 
+LICENSE_FILES = "/usr/share/common-licenses"
+
+
+def test_every_template_finds_itself(spark):
+    rows = [(i, f"/{i}/x", text, name) for i, (name, text) in enumerate(licenses.TEMPLATES)]
+    # wrapped and behind marks of comments, as in the head of a source file
+    rows += [(1000 + i, f"/{i}/y", "\n".join(f" * {x}" for p in text.split("\n\n") for x in [*textwrap.wrap(p, 60), ""]), name) for i, (name, text) in enumerate(licenses.TEMPLATES)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, name string")).collect()
+    assert all(r.own_license == licenses.TEMPLATES[r.doc_id % 1000][0] and r.own_score >= 0.9 and r.is_license_file for r in got), [r for r in got if r.own_license != licenses.TEMPLATES[r.doc_id % 1000][0]]
+
+
+def test_license_files_as_they_are_found(spark):
+    full = {"MIT": "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission")), "BSD-2-Clause": "Copyright 2019 B. Person\nAll rights reserved.\n\n" + next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")}
+    clause = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and t.startswith("Neither"))
+    full["BSD-3-Clause"] = full["BSD-2-Clause"].replace("THIS SOFTWARE", f"3. {clause}\n\nTHIS SOFTWARE")
+    for name, path in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{LICENSE_FILES}/{path}"):
+            full[name] = open(f"{LICENSE_FILES}/{path}", encoding="utf-8", errors="replace").read()
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n\n"))
+    rows = [(i, f"/{n}/LICENSE", wrap(t) if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause") else t, n) for i, (n, t) in enumerate(full.items())]
+    rows += [(100 + i, f"/{n}/src/deep/code.c", "int main;", n) for i, n in enumerate(full)]
+    got = {(r.doc_id, r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, name string")).collect()}
+    assert got == {(i, n, None) for i, n in enumerate(full)} | {(100 + i, n, f"/{n}") for i, n in enumerate(full)}
+
+
+def test_license_ties_repeated_rows_and_long_texts(spark):
+    mit, bsd = "Released under the MIT License.", "SPDX-License-Identifier: BSD-3-Clause"
+    rows = [
+        (1, "/a/x", f"{mit}\n{mit}"), (1, "/a/x", f"{mit}\n{mit}"), (None, "/a/y", None), (3, "/b/LICENSE", mit), (4, "/b/COPYING", bsd), (5, "/b/z", ""), (6, "/c/z", "prose and more of it. " * 20_000 + mit), (7, "/c/w", "x" * 100_000),
+    ]
+    got = Counter((r.doc_id, r.own_license, r.license, r.inherited_from, r.is_license_file) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == Counter({
+        (1, "MIT", "MIT", None, True): 2, (None, None, "MIT", "/a", False): 1, (3, "MIT", "MIT", None, True): 1, (4, "BSD-3-Clause", "BSD-3-Clause", None, True): 1,
+        (5, None, "BSD-3-Clause", "/b", False): 1, (6, "MIT", "MIT", None, False): 1, (7, None, None, None, False): 1,
+    })
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -594,6 +670,40 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r.predicted for r in got if r.quality == 1]) >= 0.98
 
 
+def plain_features(text):
+    """The features one by one, from their names."""
+    b = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    lines = [x for x in b.split(b"\n") if x]
+    of = lambda pattern: len(re.findall(pattern, b)) / max(len(b), 1)
+    share = lambda xs: len(set(xs)) / len(xs) if xs else 0
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / max(len(words), 1), of(rb"[A-Z]"), of(rb"[#$%&*@^~=<>{}\[\]\\]"), of(rb"!"), of(rb"\|"), of(rb"[0-9]"), of(rb"[.,;:?\-'\"()/]"),
+        sum(b[i] == b[i - 1] == b[i - 2] and b[i] not in b" \t\n\x0b\x0c\r" for i in range(2, len(b))) / max(len(b), 1),
+        sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(len(words), 1), share(words), share(threes), math.log1p(len(b) / max(len(lines), 1)), share(lines),
+    ]
+
+
+def test_quality_features_and_scores_against_brute_force(spark, sf, monkeypatch):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(ODD[:-1])], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(more)
+    monkeypatch.setattr(common, "SLICE_BYTES", 5000)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.f for r in quality.features(docs).collect()}
+    assert got.keys() == text.keys()
+    want = {i: plain_features(t) for i, t in text.items()}
+    for i in text:
+        assert got[i] == pytest.approx(want[i], abs=1e-12), i
+    m = quality.train(docs, labels)
+    for r in quality.score(docs, labels).collect():
+        b = [sum(v >= e for e in edges) for v, edges in zip(got[r.doc_id], m.edges, strict=True)]
+        at = lambda k: b[k] * quality.PAIR_BINS // quality.BINS
+        logit = m.intercept + sum(t[k] for t, k in zip(m.tables, b, strict=True)) + sum(t[at(i), at(j)] for i, j, t in m.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_quality_odd_rows(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (5, None), (None, 1)], "doc_id long, quality int")

@@ -4,13 +4,15 @@ Every text becomes a row of FEATURES, counted over its whole bytes with numpy. T
 SAMPLE labelled rows (chosen by a hash of the id; a documented bound) by cyclic boosting: round after round each feature gets a
 tree of up to four leaves fitted to what is left to explain, and the tree is added to the feature's lookup table over its bins.
 Then the pairs of features that explain most of the rest get tables over both their bins in the same way. A score is the
-logistic of a sum of looked-up numbers. Only feature rows reach the driver, never texts.
+logistic of a sum of looked-up numbers. Only the feature rows of the sample reach the driver, never texts. Every text is turned into
+features once, where it is scored; those of the sample once more, to learn from.
 
 Defined results
   text null or empty              all features 0, scored like any other
   repeated or null doc_id         every row is scored; a null id counts as the text '' for the split and has no label
   a label that repeats            the smallest counts; null labels don't
   no labels, or of one kind       the score is the smoothed share of label 1 (0.5 without labels)
+  very long texts                 counted whole, each a slice of its own
   empty documents                 no rows
   more columns                    ignored by `score`, kept by `keep_good`
 """
@@ -224,34 +226,38 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, f array<double>")
 
 
-def train(feats: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows whose crc32(doc_id) isn't divisible by `folds`, at most `sample` of them by a hash of the id."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
-    rows = feats.join(known.where(C.crc_mod("doc_id", folds) != 0), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).select("f", "y").toArrow()
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
+    """Learn from the labelled rows whose crc32(doc_id) isn't divisible by `folds`, at most `sample` of them by a hash of the id. Ids are
+    chosen first, so that only the texts of the chosen rows are looked at."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label).alias("y"))
+    known = known.where(C.crc_mod("_id", folds) != 0)
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    order = [F.xxhash64("_id"), "_id"]
+    chosen = known.join(ids, "_id", "left_semi").orderBy(*order).limit(sample)  # at most `sample` rows of two numbers
+    chosen = C.materialize(chosen, "quality-sample")
+    some = docs.withColumn("_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen.select("_id")), "_id", "left_semi").select(F.col("_id").alias("doc_id"), "text")
+    feats = features(some).withColumnRenamed("doc_id", "_id").join(F.broadcast(chosen), "_id")
+    rows = feats.orderBy(*order, "f").limit(sample).select("f", "y").toArrow()
     x = np.array(rows.column("f").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(rows.column("y").to_pylist(), float))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row. The texts are read once; features are kept in the shared folder."""
-    feats = C.materialize(features(docs), "quality")
-    shared = docs.sparkSession.sparkContext.broadcast(train(feats, labels, folds=folds, sample=sample))
+    """(doc_id, held_out, score, predicted) for each row, scored where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds=folds, sample=sample))  # tables of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
+            for i, data, offsets in C.text_slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(offsets) - 1), pa.array(shared.value.score(features_of(data, offsets)))], ["doc_id", "score"])
 
-    scored = feats.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (C.crc_mod("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """`docs` without the rows scored below the threshold; columns as they are. Rows are filtered where they are read."""
-    spark = docs.sparkSession
-    feats = C.materialize(features(docs), "quality")
-    shared = spark.sparkContext.broadcast(train(feats, labels, folds=folds, sample=sample))
-    C.drop_materialized(feats)
+    """`docs` without the rows scored below the threshold; columns as they are. Rows are scored and filtered where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds=folds, sample=sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
