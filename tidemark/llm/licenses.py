@@ -2,7 +2,8 @@
 DataFrame functions only.
 
 A text is cut into passages twice: into the sentences of its lines, and into the sentences of its paragraphs, where wrapped lines are put
-together and marks of comments at their beginnings are left out. Passages and the sentences of the templates become sparse TF-IDF vectors.
+together and marks of comments at their beginnings are left out. Passages and the sentences of the templates become sparse TF-IDF vectors
+(a word's weight is 1 + ln of its count, times its inverse document frequency).
 Document frequencies of the templates' words are counted over all texts; any other word counts as seen in none, which makes it weigh
 most, so that a sentence about something else stays far from every template. Only passages that can come near a template are
 compared: the words in which a template carries so much of its weight that without them its cosine stays under MIN_COSINE are known once
@@ -37,6 +38,7 @@ from tidemark.llm import common as C
 MIN_COSINE = 0.5
 FILE_SHARE = 0.5
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_SCAN = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"  # the same words, without places to go back to
 FILE_NAME = r"^(?:un)?licen[sc]e|^copying|^notice"
 #: Indents and marks of comments at the beginning of a line.
 LEAD = r"(^|\n)[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+|>+)?[ \t]*"
@@ -133,7 +135,7 @@ def wrapped(text: Column) -> Column:
 
 
 def words(text: str | Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_SCAN), F.lit(0))
 
 
 def template_rows(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, str, int]]:
@@ -146,12 +148,16 @@ def template_rows(spark: SparkSession, templates: Sequence[tuple[str, str]] = TE
     return sorted((number[r["at"], r["k"]], r["license"], r["term"], r["tf"]) for r in rows)
 
 
+def weight(tf: int, idf: float) -> float:
+    return (1 + math.log(tf)) * idf
+
+
 def keys(rows: list[tuple[int, str, str, int]], idf: dict[str, float], min_cosine: float) -> list[str]:
     """Words without all of which no passage reaches the cosine to any template: of each template the heaviest, until what is left of its
     length is under `min_cosine` of it (a cosine is at most the share of a template's length that lies in common words)."""
     by: dict[int, list[tuple[float, str]]] = {}
     for template, _, term, tf in rows:
-        by.setdefault(template, []).append(((tf * idf[term]) ** 2, term))
+        by.setdefault(template, []).append((weight(tf, idf[term]) ** 2, term))
     out = set()
     for weights in by.values():
         left = sum(w for w, _ in weights)
@@ -174,7 +180,7 @@ def scan(files: DataFrame, *, min_cosine: float = MIN_COSINE, file_share: float
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
 
     # inverse document frequencies: a row for each word of the templates
-    seen = files.select(F.explode(F.array_intersect(F.array_distinct(words(low)), lits(vocabulary))).alias("term"))
+    seen = files.select(F.explode(F.array_intersect(lits(vocabulary), words(low))).alias("term"))
     df = {r["term"]: r["df"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     n = files.count()
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
@@ -182,9 +188,9 @@ def scan(files: DataFrame, *, min_cosine: float = MIN_COSINE, file_share: float
     key = lits(keys(rows, idf, min_cosine))
     length: dict[int, float] = {}
     for template, _, term, tf in rows:
-        length[template] = length.get(template, 0.0) + (tf * idf[term]) ** 2
+        length[template] = length.get(template, 0.0) + weight(tf, idf[term]) ** 2
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # a row for each word of the templates
-    weighed = F.broadcast(spark.createDataFrame([(a, b, t, tf * idf[t], length[a] ** 0.5) for a, b, t, tf in rows], "template int, license string, term string, tw double, t_norm double"))  # the same for each template
+    weighed = F.broadcast(spark.createDataFrame([(a, b, t, weight(tf, idf[t]), length[a] ** 0.5) for a, b, t, tf in rows], "template int, license string, term string, tw double, t_norm double"))  # the same for each template
 
     near = lambda ps: F.filter(ps, lambda s: F.arrays_overlap(words(s), key))
     lines, paragraphs = near(sentences(F.col("low"))), near(wrapped(F.col("low")))
@@ -201,7 +207,7 @@ def scan(files: DataFrame, *, min_cosine: float = MIN_COSINE, file_share: float
     one = slim.select("row", F.inline("notes")).select("row", "cut", F.posexplode("s").alias("note", "s")).repartition("row", "cut", "note")
     at = ["row", "cut", "note"]
     tf = one.select(*at, F.explode(words("s")).alias("term")).groupBy(*at, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    tf = tf.join(known, "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other)))
     size = tf.groupBy(*at).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
     dot = tf.join(weighed, "term").groupBy(*at, "template", "license", "t_norm").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dot.join(size, at).select(*at, "license", "words", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score")).where(F.col("score") >= min_cosine)
@@ -267,13 +273,13 @@ w AS (SELECT doc_id, regexp_extract_all(low, '{WORD}') AS words FROM f),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(words) AS term FROM w) JOIN (SELECT DISTINCT term FROM tpl) USING (term) GROUP BY term),
 n AS (SELECT count(*) AS n FROM f),
 known AS (SELECT term, ln(CAST(n + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) LEFT JOIN df USING (term), n),
-tw AS (SELECT template, license, term, tf * idf AS tw FROM tpl JOIN known USING (term)),
+tw AS (SELECT template, license, term, (1 + ln(tf)) * idf AS tw FROM tpl JOIN known USING (term)),
 tn AS (SELECT template, sqrt(sum(tw * tw)) AS t_norm FROM tw GROUP BY template),
 s AS (SELECT doc_id, 0 AS cut, unnest(string_split(regexp_replace(low, '([.;!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM f
   UNION ALL SELECT doc_id, 1, unnest({_WRAPPED.format("low")}) FROM f),
 notes AS (SELECT row_number() OVER () AS note, doc_id, cut, s FROM s),
 tf AS (SELECT doc_id, cut, note, term, count(*) AS tf FROM (SELECT doc_id, cut, note, unnest(regexp_extract_all(s, '{WORD}')) AS term FROM notes) GROUP BY ALL),
-ww AS (SELECT doc_id, cut, note, tf.term, tf, tf * coalesce(idf, ln(CAST(n + 1 AS DOUBLE)) + 1) AS w FROM tf LEFT JOIN known ON tf.term = known.term, n),
+ww AS (SELECT doc_id, cut, note, tf.term, tf, (1 + ln(tf)) * coalesce(idf, ln(CAST(n + 1 AS DOUBLE)) + 1) AS w FROM tf LEFT JOIN known ON tf.term = known.term, n),
 sz AS (SELECT note, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM ww GROUP BY note),
 cs AS (SELECT ww.doc_id, cut, ww.note, license, any_value(words) AS words, round(sum(w * tw) / (any_value(norm) * any_value(t_norm)), 6) AS score
   FROM ww JOIN tw ON ww.term = tw.term JOIN tn USING (template) JOIN sz ON ww.note = sz.note GROUP BY ww.doc_id, cut, ww.note, template, license HAVING score >= {MIN_COSINE}),
