@@ -1,6 +1,8 @@
 """Hand-computed cases, brute force, and causality by prefixes."""
 
 import datetime as dt
+import itertools
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -152,24 +154,193 @@ def test_crps_against_two_loops(spark):
     assert df.select(R.crps_column(F.col("v"), F.col("y"))).first()[0] == pytest.approx(want)
 
 
-def test_machine_finds_an_injected_break_and_nothing_before():
-    r = np.random.default_rng(5)
-    m, s, events = C.PairMachine(C.Params()), np.zeros((2, 3)), []
-    for i in range(3000):
-        u = r.normal()
-        v = 0.9 * u + 0.44 * r.normal() if i < 2000 else r.normal()
-        rho = []
+def correlations(x, y):
+    """Running correlations bar by bar."""
+    s, out = np.zeros((2, 3)), []
+    for u, v in zip(x, y, strict=True):
         for k, a in enumerate((C.alpha(C.HALF_FAST), C.alpha(C.HALF_SLOW))):
             s[k] = (1 - a) * s[k] + a * np.array([u * u, v * v, u * v])
-            rho.append(s[k, 2] / np.sqrt(s[k, 0] * s[k, 1]))
-        state, left, reason = m.step(*rho)
-        if reason:
-            events.append((i, left, state))
-    assert events[0][1:] == ("WARMUP", "coupled")
+        out.append(np.clip(s[:, 2] / np.sqrt(s[:, 0] * s[:, 1]), -1, 1))
+    return np.array(out)
+
+
+def broken_pair(seed, parts):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal(sum(n for n, _ in parts))
+    rho = np.concatenate([np.full(n, c) for n, c in parts])
+    return x, rho * x + np.sqrt(1 - rho**2) * r.standard_normal(len(x))
+
+
+def bar_by_bar(fast, slow, p):
+    """The machine's rules one bar at a time, with a plain look at all bars before."""
+    state, out, mem = "WARMUP", [], {}
+    x = np.sign(slow) * np.arctanh(np.clip(fast, -0.9999, 0.9999))
+
+    def begin(i, past, gaps):
+        strong, gap = abs(slow[i]) >= p.strong, np.quantile(gaps, 0.95)
+        mem.update(z=x[i], sd=max(np.std(past, ddof=1), 1e-6), sign=np.sign(slow[i]), need=p.enter_strong if strong else p.enter, gate=max(p.floor_strong if strong else p.floor, gap), peak=0.0, age=0)
+
+    for i in range(len(x)):
+        past = x[max(0, i - p.window) : i]
+        past, gaps = past[np.isfinite(past)], np.abs(fast - slow)[max(0, i - p.window) : i]
+        gaps = gaps[np.isfinite(gaps)]
+        why, came = None, state
+        if len(past) >= p.least and np.isfinite(x[i]):
+            change = None
+            if state in ("WARMUP", "NOT_APPLICABLE"):
+                if abs(slow[i]) >= p.gained:
+                    change, why = "coupled", "init_anchor" if state == "WARMUP" else "eligibility_regained"
+                else:
+                    state = "NOT_APPLICABLE"
+            elif abs(slow[i]) < p.lost:
+                change, why = "NOT_APPLICABLE", "eligibility_lost"
+            elif np.sign(slow[i]) * mem["sign"] < 0:
+                change, why = "coupled", "sign_reversal"
+            else:
+                d = (mem["z"] - x[i]) / mem["sd"]
+                mem["dwell"] += 1
+                if state != "coupled":
+                    mem["age"], mem["peak"] = mem["age"] + 1, max(mem["peak"], d)
+                if state not in ("coupled", "REBASE_PENDING") and mem["age"] > p.timeout:
+                    change, why = "REBASE_PENDING", "episode_timeout"
+                else:
+                    low, high = np.quantile(past, [p.q_low, p.q_high])
+                    bar = SimpleNamespace(x=x[i], low=low, high=high, d=d, peak=mem["peak"], drho=abs(np.tanh(mem["z"]) - fast[i] * mem["sign"]), need=mem["need"], gate=mem["gate"], left=1 - p.retrace)
+                    want = next((t for t, holds in C.TURNS[state].items() if holds(bar)), None)
+                    mem["streak"] = mem["streak"] + 1 if want and want == mem["pending"] else int(want is not None)
+                    mem["pending"] = want
+                    enough = {"decoupling": p.k_enter, "decoupled": p.k_decouple, "recoupling": p.k_recouple, "coupled": p.k_back}
+                    if want and mem["streak"] >= enough[want] and mem["dwell"] >= (p.dwell_decoupled if state == "decoupled" else p.dwell):
+                        change, why = want, "rebase_anchor" if state == "REBASE_PENDING" else "confirmed"
+            if change:
+                mem.update(dwell=int(came == "WARMUP"), streak=0, pending=None)
+                state = change
+                if change == "coupled":
+                    begin(i, past, gaps)
+        out.append((state, came if why else None, why))
+    return out
+
+
+MACHINES = [C.Params(), C.Params(window=60, least=20, timeout=40), C.Params(window=50, least=10, gained=0.1, lost=0.05, enter=0.8, enter_strong=0.6, floor=0.02, floor_strong=0.02, timeout=150)]
+
+
+@pytest.mark.parametrize("p", MACHINES)
+@pytest.mark.parametrize("seed", range(4))
+def test_machine_against_bar_by_bar(p, seed):
+    x, y = broken_pair(seed, [(700, 0.8), (400, 0.0), (500, 0.7), (500, -0.6), (400, 0.3)])
+    rho = correlations(x, y)
+    rho[[5, 300, 301], 0] = np.nan
+    want = bar_by_bar(rho[:, 0], rho[:, 1], p)
+    assert len({s for s, _, _ in want}) >= 3
+    for piece in (len(x), 97, 1):  # state runs on between pieces
+        start, step = C._states(p)
+        held, got = start(), []
+        for i in range(0, len(x), piece):
+            held, out = step(held, rho[i : i + piece, 0], rho[i : i + piece, 1])
+            got += list(zip(out["state"], out["left"], out["reason"], strict=True))
+        assert got == want
+
+
+def test_machine_finds_an_injected_break_and_nothing_before():
+    x, y = broken_pair(5, [(2000, 0.9), (1000, 0.0)])
+    rho = correlations(x, y)
+    _, events = C.advance(C.Coupling(), C.Signals(rho[:, 0], rho[:, 1], np.zeros((0, 2)), C.Params()))
+    assert events[0][1:] == ("WARMUP", "coupled", "init_anchor")
     broken = [e for e in events if e[2] == "decoupling"]
     assert broken and broken[0][0] > 2000
 
 
+def test_stable_and_reversed_pairs():
+    for seed, parts, last in ((21, [(4000, 0.7)], "coupled"), (33, [(2500, 0.6), (2500, -0.6)], "coupled"), (9, [(2500, 0.8), (2500, 0.0)], "NOT_APPLICABLE")):
+        rho = correlations(*broken_pair(seed, parts))
+        states, events = C.advance(C.Coupling(), C.Signals(rho[:, 0], rho[:, 1], np.zeros((0, 2)), C.Params()))
+        assert states[-1] == last
+        if len(parts) == 1:
+            assert all(e[2] != "decoupled" for e in events)
+
+
+def panel_of(spark, columns):
+    rows = [(s, T0 + dt.timedelta(hours=i), float(v)) for s, x in columns.items() for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, r double")
+
+
+def test_correlations_and_states_of_a_panel(spark):
+    x, y = broken_pair(3, [(900, 0.8), (500, 0.0)])
+    df = panel_of(spark, {"a": x, "b": y})
+    rho = correlations(x, y)
+    got = C.pair_states(C.pair_rho(df), MACHINES[1]).orderBy("ts").collect()
+    assert [r.rho_fast for r in got] == pytest.approx(list(rho[:, 0]), abs=1e-9)
+    assert [(r.state, r.left, r.reason) for r in got] == bar_by_bar(rho[:, 0], rho[:, 1], MACHINES[1])
+
+
+def test_false_alarms_against_single_paths(spark):
+    x, y = broken_pair(4, [(500, 0.7)])
+    z = np.random.default_rng(1).standard_normal(500)
+    p = C.Params(window=60, least=20, enter=0.2, enter_strong=0.2, floor=0.0, floor_strong=0.0, q_high=0.5, gained=0.1, lost=0.01)
+    got = {(r.a, r.b): (r.paths, r.p_decoupling, r.p_decoupled) for r in C.false_alarms(panel_of(spark, {"a": x, "b": y, "c": z}), paths=6, params=p).collect()}
+    want = {}
+    for (i, u), (j, v) in itertools.combinations([("a", x), ("b", y), ("c", z)], 2):
+        seen = []
+        for path in range(6):
+            rows = C.bootstrap_rows(500, 24, (17, path))
+            rho = correlations(u[rows], v[rows])
+            seen.append({s for s, _, _ in bar_by_bar(rho[:, 0], rho[:, 1], p)})
+        want[i, j] = (6, np.mean(["decoupling" in s for s in seen]), np.mean(["decoupled" in s for s in seen]))
+    assert got == want and any(v[1] > 0 for v in want.values())
+
+
+def test_power_of_a_strong_pair(spark):
+    x, y = broken_pair(6, [(1600, 0.85)])
+    df = panel_of(spark, {"a": x, "b": y}).withColumnRenamed("r", "z")
+    got = {r.delta: r for r in C.power_test(df, deltas=(0.0, 0.8), paths=8).collect()}
+    assert got[0.8].paths == 8 and got[0.8].detect_rate == 1 and 0 < got[0.8].median_delay < 800
+    assert got[0.0].detect_rate < 1 and got[0.8].rho0 == pytest.approx(correlations(x, y)[-1, 1])
+
+
+def test_panel_matrices_against_numpy(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((200, 7)) + 0.6 * r.standard_normal((200, 1))
+    df = panel_of(spark, {f"s{i}": x[:, i] for i in range(7)})
+    c = np.corrcoef(x.T)
+    i, j = np.triu_indices(7, 1)
+    corr = spark.createDataFrame([(f"s{a}", f"s{b}", float(c[a, b])) for a, b in zip(i, j, strict=True)], "a string, b string, corr double")
+    assert C.global_stats(corr).first().market_mode == pytest.approx(np.linalg.eigvalsh(c)[-1] / 7)
+    monkeypatch.setattr(C, "SMALL", 2)
+    g = C.global_stats(corr).first()
+    assert (g.n, g.market_mode, g.mean_corr, g.dispersion) == pytest.approx((7, np.linalg.eigvalsh(c)[-1] / 7, c[i, j].mean(), c[i, j].std()))
+    z = (x - x.mean(0)) / (x.std(0, ddof=1) + 1e-12)
+    s = z.T @ z / len(z)
+    mu = np.trace(s) / 7
+    d2 = ((s - mu * np.eye(7)) ** 2).sum()
+    b2 = min(sum(((np.outer(v, v) - s) ** 2).sum() for v in z) / len(z) ** 2, d2)
+    m = b2 / d2 * mu * np.eye(7) + (1 - b2 / d2) * s
+    m = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+    got = {(r.a, r.b): r["corr"] for r in C.shrink_corr(df).collect()}
+    assert got == pytest.approx({(f"s{a}", f"s{b}"): m[a, b] for a, b in zip(i, j, strict=True)})
+    assert C.shrink_corr(df.where("symbol < 's3'").limit(30)).count() == 0 and C.global_stats(corr.limit(0)).count() == 0
+
+
+def test_votes_of_blocks_by_hand(spark):
+    r = np.random.default_rng(8)
+    common = r.standard_normal(600)
+    # members alone hardly move together, their means do
+    columns = {f"{b}{i}": 0.45 * common + r.standard_normal(600) for b in "xy" for i in range(6)} | {f"z{i}": r.standard_normal(600) for i in range(3)}
+    df = panel_of(spark, columns)
+    blocks = spark.createDataFrame([(s, s[0]) for s in columns], "symbol string, block string")
+    pairs = list(itertools.combinations(sorted(columns), 2))
+    states = spark.createDataFrame([(a, b, "coupled" if {a[0], b[0]} == {"x", "y"} else "decoupled") for a, b in pairs], "a string, b string, state string")
+    got = {(v.block_a, v.block_b): v for v in C.block_votes(df, states, blocks).collect()}
+    for u, v in (("x", "y"), ("x", "z"), ("y", "z")):
+        cross = [(a, b) for a, b in pairs if {a[0], b[0]} == {u, v}]
+        med = np.median([correlations(columns[a], columns[b])[-1, 1] for a, b in cross])
+        index = correlations(*(np.mean([x for s, x in columns.items() if s[0] == k], axis=0) for k in (u, v)))[-1, 0]
+        share = float((u, v) == ("x", "y"))
+        n = int(abs(med) >= 0.25) + int(abs(index) >= 0.35) + int(share >= 0.5)
+        assert (got[u, v].n_pairs, got[u, v].votes, got[u, v].state) == (len(cross), n, "coupled" if n >= 2 else "not_coupled")
+        assert (got[u, v].median_rho, got[u, v].index_rho, got[u, v].coupled_share) == pytest.approx((med, index, share))
+    assert got["x", "y"].votes == 2 and abs(got["x", "y"].median_rho) < 0.25  # by the index and the states, not by the median
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.floats(1, 100), st.sampled_from(["support", "resistance"]), st.floats(0.1, 3)), min_size=1, max_size=25))
 def test_zones_end_up_disjoint(points):

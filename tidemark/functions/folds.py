@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]]
 
 
+def runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Rows of each key, of rows sorted by key. A null is a key of its own, apart from any text."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for k in keys:
+        v, w = pdf[k].to_numpy()[1:], pdf[k].to_numpy()[:-1]
+        new[1:] |= ~((v == w) | (pd.isna(v) & pd.isna(w))).astype(bool)
+    at = [*np.flatnonzero(new), len(pdf)]
+    for a, b in zip(at, at[1:], strict=False):
+        part = pdf.iloc[a:b].reset_index(drop=True)
+        yield tuple(None if pd.isna(part[k].iat[0]) else part[k].iat[0] for k in keys), part
+
+
 def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Step, schema: str, order: list[str] | None = None) -> DataFrame:
     """Run `step(state, rows)` along each key's rows in order. Rows come in the pieces in which Arrow brings them: only the state is
     kept between pieces, never a whole series. `step` gives the new state and the rows to put out."""
@@ -19,16 +34,26 @@ def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Step, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            # keys are compared as text, so that a null key is a series of its own
-            name = pdf[keys].astype(str).agg("\x00".join, axis=1) if len(keys) > 1 else pdf[keys[0]].astype(str)
-            for _, part in pdf.groupby((name != name.shift()).cumsum(), sort=False):
-                k = name.loc[part.index[0]]
-                if k != current:
-                    current, state = k, start()
-                state, out = step(state, part.reset_index(drop=True))
-                if out is not None and len(out):
-                    yield out.astype(object).where(out.notna(), None)
+            out = []
+            for key, part in runs(pdf, keys) if len(pdf) else ():
+                if key != current:
+                    current, state = key, start()
+                state, rows = step(state, part)
+                if rows is not None and len(rows):
+                    out.append(rows.astype(object).where(rows.notna(), None))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def running_mean(v: np.ndarray, rate: float, start: np.ndarray | float = 0.0) -> np.ndarray:
+    """s[i] = (1 - rate) s[i-1] + rate v[i] along the first axis, by sums of weighted stretches that are short enough for their weights."""
+    keep, out = 1 - rate, np.empty_like(v, float)
+    stretch = max(1, int(math.log(1e6) / -math.log(keep))) if keep > 0 else 1
+    for i in range(0, len(v), stretch):
+        part = v[i : i + stretch]
+        w = (keep ** np.arange(1, len(part) + 1)).reshape(-1, *[1] * (v.ndim - 1))
+        out[i : i + len(part)] = w * (start + rate * np.cumsum(part / w, axis=0))
+        start = out[i + len(part) - 1]
+    return out

@@ -67,6 +67,14 @@ def in_blocks(df: DataFrame, lookback: int, block: int, keys: tuple[str, ...] =
     return df.withColumn("_n", n).withColumn("_block", F.explode(more)).withColumn("_own", F.col("_block") == b)
 
 
+def numbered(clock: DataFrame, out: str = "row") -> DataFrame:
+    """Distinct times `ts` numbered from 0 in order. Times are ordered within their day; only the days' counts, a row a day, meet in one window."""
+    day = clock.withColumn("_d", F.to_date("ts"))
+    days = day.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_d", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_d")) - F.col("_n")).alias("_before"))
+    return day.join(days, "_d").withColumn(out, F.col("_before") + F.row_number().over(W.partitionBy("_d").orderBy("ts")) - 1).drop("_d", "_before")
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson's correlation as an aggregate; null where a side doesn't vary (under ANSI rules the built-in one raises there)."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

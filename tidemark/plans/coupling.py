@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import safe_corr
+from tidemark.functions.windows import safe_corr, series
 from tidemark.operators import coupling as C
 from tidemark.operators import features as O
 from tidemark.plans.features import r6
@@ -55,13 +55,22 @@ def o412(spark, d):
 
 @query("o413_pair_states")
 def o413(spark, d):
-    return C.pair_states(C.pair_rho(_r(spark, d)), C.Params(window=120, least=30, gained=0.02, lost=0.01))
+    return C.pair_states(C.pair_rho(_r(spark, d)))
 
 
 @query("o414_bootstrap_false_alarms")
 def o414(spark, d):
-    few = _r(spark, d).where(F.col("symbol").isin("click", "view"))
-    return C.false_alarms(few, paths=8)
+    return C.false_alarms(_r(spark, d))
+
+
+@query("o323_power_test")
+def o323(spark, d):
+    """Each series with a twin that shares four fifths of it: as many paths as a search over parameters takes."""
+    z = C.standardize(_r(spark, d)).where("z is not null")
+    ahead = F.lead("z", 7).over(series())
+    twins = z.withColumn("z", 0.8 * F.col("z") + 0.6 * F.coalesce(ahead, F.lit(0.0))).withColumn("symbol", F.concat("symbol", F.lit("'")))
+    pairs = z.select(F.col("symbol").alias("a"), F.concat("symbol", F.lit("'")).alias("b")).distinct()
+    return C.power_test(z.unionByName(twins), paths=50, only=pairs)
 
 
 _W1 = "ln(close / lag(close) OVER w)"
@@ -69,8 +78,6 @@ _PANEL = f"pw AS (SELECT symbol, ts, {_W1} AS r FROM panel WINDOW w AS (PARTITIO
 
 
 def _panel(spark, d):
-    from tidemark.functions.windows import series
-
     return K.panel_1d(spark, d).withColumn("r", F.ln(F.col("close") / F.lag("close").over(series())))
 
 
@@ -97,6 +104,11 @@ def o307b(spark, d):
     return C.global_stats(_panel_corr(spark, d)).select("n", r6("mean_corr"), r6("dispersion"))
 
 
+@query("o307_market_mode")
+def o307c(spark, d):
+    return C.global_stats(_panel_corr(spark, d)).select("n", r6("market_mode"))
+
+
 @query("o415_shrink_corr")
 def o415(spark, d):
     return C.shrink_corr(_r(spark, d))
@@ -104,24 +116,46 @@ def o415(spark, d):
 
 @query("o416_composite_matrix", with_(PANEL_1D, REGISTRY, _PANEL) + "SELECT a, b, CASE WHEN x.class = 'us_stock_perp' AND y.class = 'us_stock_perp' THEN 'usrth' WHEN x.class <> 'us_stock_perp' AND y.class <> 'us_stock_perp' THEN 'all247' ELSE 'cross' END AS clock, round(corr, 6) AS corr, n >= 200 AS valid FROM pc JOIN registry x ON x.symbol = a JOIN registry y ON y.symbol = b")
 def o416(spark, d):
-    reg = K.registry(spark, d)
-    c = _panel_corr(spark, d).join(reg.select(F.col("symbol").alias("a"), F.col("class").alias("ca")), "a").join(reg.select(F.col("symbol").alias("b"), F.col("class").alias("cb")), "b")
-    us_a, us_b = F.col("ca") == "us_stock_perp", F.col("cb") == "us_stock_perp"
-    return c.select("a", "b", F.when(us_a & us_b, "usrth").when(~us_a & ~us_b, "all247").otherwise("cross").alias("clock"), r6("corr"), (F.col("n") >= 200).alias("valid"))
+    return C.composite_matrix(_panel_corr(spark, d), K.registry(spark, d)).select("a", "b", "clock", r6("corr"), "valid")
+
 
+_LAST = "list_reduce(list_prepend(0.0::DOUBLE, list({0} ORDER BY ts)), lambda s, v: {1!r}::DOUBLE * s + {2!r}::DOUBLE * v)"
 
-@query("o321_block_votes")
+
+def _last_rho(rate: float) -> str:
+    sums = [_LAST.format(v, 1 - rate, rate) for v in ("x * y", "x * x", "y * y")]
+    return f"greatest(-1, least(1, {sums[0]} / sqrt({sums[1]} * {sums[2]})))"
+
+
+@query("o321_block_votes", with_(PANEL_1D, REGISTRY, _PANEL) + f""", pt AS (SELECT x.symbol AS a, y.symbol AS b, x.ts, x.r AS x, y.r AS y FROM pw x JOIN pw y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.r IS NOT NULL AND y.r IS NOT NULL),
+pl AS (SELECT a, b, {_last_rho(1 - 0.5 ** (1 / 420.0))} AS rho FROM pt GROUP BY a, b),
+cr AS (SELECT least(u.theme[1], v.theme[1]) AS block_a, greatest(u.theme[1], v.theme[1]) AS block_b, rho, coalesce(abs(corr) >= 0.05, false) AS coupled FROM pl LEFT JOIN pc USING (a, b) JOIN registry u ON u.symbol = a JOIN registry v ON v.symbol = b WHERE u.theme[1] <> v.theme[1]),
+g AS (SELECT block_a, block_b, count(*) AS n_pairs, median(rho) AS median_rho, avg(coupled::INT::DOUBLE) AS coupled_share FROM cr GROUP BY 1, 2),
+ix AS (SELECT theme[1] AS block, ts, avg(r) AS r FROM pw JOIN registry USING (symbol) WHERE r IS NOT NULL GROUP BY 1, 2),
+ip AS (SELECT x.block AS block_a, y.block AS block_b, x.ts, x.r AS x, y.r AS y FROM ix x JOIN ix y ON x.ts = y.ts AND x.block < y.block),
+il AS (SELECT block_a, block_b, {_last_rho(1 - 0.5 ** (1 / 140.0))} AS index_rho FROM ip GROUP BY 1, 2),
+v AS (SELECT *, (abs(median_rho) >= 0.25)::INT + coalesce((abs(index_rho) >= 0.35)::INT, 0) + (coupled_share >= 0.5)::INT AS votes FROM g LEFT JOIN il USING (block_a, block_b))
+SELECT block_a, block_b, n_pairs, round(median_rho, 6) AS median_rho, round(index_rho, 6) AS index_rho, round(coupled_share, 6) AS coupled_share, votes, CASE WHEN votes >= 2 THEN 'coupled' ELSE 'not_coupled' END AS state FROM v""")
 def o321(spark, d):
-    c = _panel_corr(spark, d)
     blocks = K.registry(spark, d).select("symbol", F.element_at("theme", 1).alias("block"))
-    states = c.select("a", "b", F.when(F.abs("corr") >= 0.05, "coupled").otherwise("decoupled").alias("state"))
-    return C.block_votes(c.select("a", "b", F.col("corr").alias("rho_slow")), states, blocks)
+    states = _panel_corr(spark, d).select("a", "b", F.when(F.abs("corr") >= 0.05, "coupled").otherwise("decoupled").alias("state"))
+    v = C.block_votes(_panel(spark, d), states, blocks)
+    return v.select("block_a", "block_b", "n_pairs", r6("median_rho"), r6("index_rho"), r6("coupled_share"), "votes", "state")
 
 
-@query("o530_coupling_overview")
+@query("o530_coupling_overview", with_(PANEL_1D, REGISTRY, _PANEL) + "SELECT CASE WHEN x.class = 'us_stock_perp' AND y.class = 'us_stock_perp' THEN 'usrth' WHEN x.class <> 'us_stock_perp' AND y.class <> 'us_stock_perp' THEN 'all247' ELSE 'cross' END AS panel, count(*) AS n_pairs, round(avg(corr), 6) AS mean_corr, round(stddev_pop(corr), 6) AS dispersion FROM pc JOIN registry x ON x.symbol = a JOIN registry y ON y.symbol = b GROUP BY 1")
 def o530(spark, d):
-    t = C.pair_table(_r(spark, d))
-    return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("dz")).alias("max_dz"))
+    """Global figures of each panel."""
+    m = C.composite_matrix(_panel_corr(spark, d), K.registry(spark, d))
+    return m.groupBy(F.col("clock").alias("panel")).agg(F.count(F.lit(1)).alias("n_pairs"), r6(F.avg("corr"), "mean_corr"), r6(F.stddev_pop("corr"), "dispersion"))
+
+
+@query("o530_coupling_pairs")
+def o530b(spark, d):
+    """State, correlations, distances and last change of each eligible pair: here every series and its twin."""
+    z = C.standardize(_r(spark, d)).where("z is not null").select("symbol", "ts", F.col("z").alias("r"))
+    twins = z.withColumn("r", 0.9 * F.col("r") + 0.4 * F.coalesce(F.lead("r", 7).over(series()), F.lit(0.0))).withColumn("symbol", F.concat("symbol", F.lit("'")))
+    return C.pair_overview(z.unionByName(twins))
 
 
 @query("o322_injected_break")
