@@ -21,6 +21,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import scans as S
 from tidemark.operators import state as R
 from tidemark.operators import text as T
+from tidemark.operators import zones as Z
 
 T0 = dt.datetime(2026, 1, 5)
 
@@ -341,18 +342,66 @@ def test_votes_of_blocks_by_hand(spark):
     assert got["x", "y"].votes == 2 and abs(got["x", "y"].median_rho) < 0.25  # by the index and the states, not by the median
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.floats(1, 100), st.sampled_from(["support", "resistance"]), st.floats(0.1, 3)), min_size=1, max_size=25))
-def test_zones_end_up_disjoint(points):
-    zones = [P.zone(p, f"k{i}", role, 2.0, p - w, p + w) for i, (p, role, w) in enumerate(points)]
-    out = P.separate(P.merge(zones, 2.0), 2.0)
-    assert all(a["hi"] < b["lo"] for a, b in zip(out, out[1:], strict=False))
-    assert {k for z in out for k in z["kinds"]} == {z["kinds"][0] for z in zones}
-
-
-def test_clusters_dont_chain():
-    got = P.clusters([(1.0, 0), (1.3, 1), (1.6, 2), (2.5, 3)], 1.0)
-    assert [[p for p, _ in g] for g in got] == [[1.0, 1.3], [1.6], [2.5]]
+def zones_of(spark, cases, atr=2.0):
+    """Merged and disjoint zones of lists of (lo, hi, role)."""
+    rows = [(i, [(float(lo), float(hi), f"k{j}", role) for j, (lo, hi, role) in enumerate(c)], atr) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, c array<struct<lo:double,hi:double,kind:string,role:string>>, atr double")
+    z = F.transform("c", lambda x: Z._zone(x["lo"], x["hi"], (x["lo"] + x["hi"]) / 2, F.array(x["kind"]), x["role"]))
+    df = Z.disjoint(df.withColumn("m", Z.merged(z, F.col("atr"))), "m", "d")
+    return [(r.m, r.d) for r in df.orderBy("i").collect()]
+
+
+def test_zones_end_up_disjoint(spark):
+    r = np.random.default_rng(12)
+    cases = []
+    for _ in range(120):
+        p, w = r.uniform(1, 30, r.integers(1, 20)), r.uniform(0.5, 1.5)
+        cases.append([(x - w * r.uniform(0.5, 1), x + w * r.uniform(0.5, 1), r.choice(["support", "resistance"])) for x in p])
+    for case, (merged, out) in zip(cases, zones_of(spark, cases), strict=True):
+        assert all(a.hi < b.lo for a, b in zip(out, out[1:], strict=False))
+        assert sorted(k for z in out for k in z.kinds) == sorted(f"k{j}" for j in range(len(case)))
+        for z in merged:  # within the cap unless one zone was beyond it, neighbours nearer than the limit
+            mids = sorted((lo + hi) / 2 for j, (lo, hi, _) in enumerate(case) if f"k{j}" in z.kinds)
+            assert len(mids) == 1 or (z.hi - z.lo <= 1.5 * 2 + 1e-9 and all(b - a < 0.5 * 2 for a, b in zip(mids, mids[1:], strict=False)))
+        for z in out:
+            assert z.overflow or (1 - 1e-9) <= (z.hi - z.lo) <= 3 or any(m.lo == z.lo and m.hi == z.hi for m in merged)
+
+
+def test_zones_by_hand(spark):
+    (merged, _), (_, cut), (_, whole), (tie, _) = zones_of(spark, [
+        [(9, 10, "support"), (9.4, 10.4, "support"), (9.7, 10.7, "resistance"), (14, 15, "resistance")],
+        [(10, 12.4, "support"), (11.6, 14, "resistance")],  # middles 11.2 and 12.8 are too far apart to merge: cut at 12
+        [(10, 11.2, "support"), (11.15, 12.1, "resistance")],  # the upper piece would be under half an ATR
+        [(9, 10, "resistance"), (9.2, 10.2, "support")],
+    ])
+    assert [(z.lo, z.hi, z.role, z.kinds) for z in merged] == [(9, 10.7, "support", ["k0", "k1", "k2"]), (14, 15, "resistance", ["k3"])]
+    assert [(z.lo, z.hi) for z in cut] == [(10, 12), (pytest.approx(12, abs=1e-9), 14)] and cut[1].lo > 12
+    assert len(whole) == 1 and whole[0].overflow and (whole[0].lo, whole[0].hi) == (10, 12.1)
+    assert [z.role for z in tie] == ["resistance"]
+
+
+def test_clusters_dont_chain(spark):
+    df = spark.createDataFrame([([(1.0, 0), (1.3, 1), (1.6, 2), (2.5, 3)],), ([],)], "m array<struct<price:double,bar:int>>")
+    member = F.transform("m", lambda x: F.struct(x["price"].alias("price"), x["bar"].alias("bar"), F.lit(None).cast("timestamp_ntz").alias("ts")))
+    got = [r[0] for r in df.select(F.transform(Z.clusters(member, F.lit(1.0)), lambda c: F.transform(c, lambda m: m["price"]))).collect()]
+    assert got == [[[1.0, 1.3], [1.6], [2.5]], []]
+
+
+def test_levels_of_a_short_and_a_long_series(spark):
+    b = walk(spark, 300)
+    z = Z.extract_levels(b).collect()
+    bars = [r.asDict() for r in b.orderBy("ts").collect()]
+    assert all(a.hi < c.lo for a, c in zip(sorted(z, key=lambda r: r.lo), sorted(z, key=lambda r: r.lo)[1:], strict=False))
+    for r in z:
+        hit = [x["high"] >= r.lo and x["low"] <= r.hi for x in bars]
+        assert r.overlaps == sum(h and not (i and hit[i - 1]) for i, h in enumerate(hit))
+        assert r.last_overlap_bars == (len(hit) - 1 - max(i for i, h in enumerate(hit) if h) if any(hit) else None)
+    kinds = {k for r in z for k in r.kinds}
+    assert {"ema21", "ema200", "range_hi", "range_lo", "prev_day_hi"} <= kinds and "poc_missing" in z[0].degraded
+    short = Z.levels(b.orderBy("ts").limit(10)).first()
+    assert short.zones == [] and short.degraded == ["no_atr"]
+    some = Z.levels(b.orderBy("ts").limit(30)).first()
+    assert some.zones and {"ema55_history_insufficient", "range_history_insufficient"} <= set(some.degraded)
 
 
 def test_front_matter_faults(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
-from tidemark.operators import policy as P
+from tidemark.operators import zones as Z
 from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
 from tidemark.sources import replay
@@ -45,45 +45,42 @@ def o426(spark, d):
     return I.within_scan_budget(K.bars_1h(spark, d).select("symbol", "ts"), marks, ["symbol"], 500)
 
 
-def _zones(spark, d, f, schema):
-    """A step over the last bars of every series."""
-    from tidemark.operators.scans import latest_n
-
-    return latest_n(K.bars_1h(spark, d).select("symbol", "ts", "high", "low", "close"), ["symbol"], 200).groupBy("symbol").applyInPandas(f, schema)
+def _summary(spark, d):
+    return Z.summary(K.bars_1h(spark, d))
 
 
 @query("o502_pivot_clusters")
 def o502(spark, d):
-    def f(pdf):
-        import pandas as pd
-
-        prices = [(float(p), i) for i, p in enumerate(pdf.sort_values("ts")["high"])]
-        return pd.DataFrame([(pdf["symbol"].iat[0], k, len(c), c[-1][0] - c[0][0]) for k, c in enumerate(P.clusters(prices, 10.0))], columns=["symbol", "cluster", "n", "span"])
-
-    return _zones(spark, d, f, "symbol string, cluster int, n long, span double")
+    """Groups of every series' pivot highs."""
+    c = _summary(spark, d).where("atr > 0").select("symbol", F.posexplode(Z.clusters(F.col("highs"), F.col("atr"))).alias("cluster", "c"))
+    price = F.transform("c", lambda m: m["price"])
+    return c.select("symbol", "cluster", F.size("c").cast("long").alias("n"), (F.array_max(price) - F.array_min(price)).alias("span"))
 
 
 @query("o503_pivot_zone", with_(BARS_1H) + ", t AS (SELECT * FROM bars_1h QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 3), g AS (SELECT symbol, min(high) AS a, max(high) AS b FROM t GROUP BY symbol) SELECT symbol, round(a - p, 6) AS lo, round(b + p, 6) AS hi FROM (SELECT *, greatest(0, least(greatest(b - a, 10.0::DOUBLE), 30.0::DOUBLE) - (b - a)) / 2 AS p FROM g)")
 def o503(spark, d):
-    def f(pdf):
-        import pandas as pd
-
-        z = P.pivot_zone([(float(p), i) for i, p in enumerate(pdf.sort_values("ts")["high"].tail(3))], "pivot_high", "resistance", 20.0)
-        return pd.DataFrame([(pdf["symbol"].iat[0], z["lo"], z["hi"])], columns=["symbol", "lo", "hi"])
+    from tidemark.operators.scans import latest_n
 
-    return _zones(spark, d, f, "symbol string, lo double, hi double").select("symbol", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    last = latest_n(K.bars_1h(spark, d).select("symbol", "ts", "high"), ["symbol"], 3).groupBy("symbol").agg(F.collect_list(F.struct(F.col("high").alias("price"), F.lit(0).alias("bar"), "ts")).alias("c"))
+    z = last.select("symbol", Z.of_cluster(F.col("c"), F.lit("pivot_high"), F.lit("resistance"), F.lit(20.0)).alias("z"))
+    return z.select("symbol", F.round("z.lo", 6).alias("lo"), F.round("z.hi", 6).alias("hi"))
 
 
 @query("o506_merged_cluster_roles")
 def o506(spark, d):
-    return P.extract_levels(K.bars_1h(spark, d)).groupBy("origin_role").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("kinds")).alias("most_kinds"))
+    """What zones are merged of."""
+    bars = K.bars_1h(spark, d)
+    z = Z.levels(bars, bars).select("symbol", F.explode("zones").alias("z"))
+    return z.select("symbol", "z.lo", "z.role", "z.kinds", F.size("z.members").alias("members"))
 
 
 @query("o507_resolved_overlaps")
 def o507(spark, d):
-    return P.extract_levels(K.bars_1h(spark, d)).select("symbol", "lo", "hi", "overflow")
+    bars = K.bars_1h(spark, d)
+    return Z.extract_levels(bars, bars).select("symbol", "lo", "hi", "overflow")
 
 
 @query("o508_pivot_touches")
 def o508(spark, d):
-    return P.extract_levels(K.bars_1h(spark, d)).where("touches > 0").select("symbol", "mid", "touches", "last_touch_bars")
+    bars = K.bars_1h(spark, d)
+    return Z.extract_levels(bars, bars).where("touches > 0").select("symbol", "mid", "touches", "established_ts", "last_touch_bars")

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
+from tidemark.operators import bars as B
 from tidemark.operators import features as O
 from tidemark.operators import policy as P
 from tidemark.operators import state as S
+from tidemark.operators import zones as Z
 from tidemark.operators.scans import latest_n
 from tidemark.plans.features import BASE, r6
 from tidemark.plans.registry import query
@@ -31,14 +33,19 @@ def o504(spark, d):
     return h.groupBy("symbol").agg(F.count_if(F.col("hit") & ~F.coalesce("before", F.lit(False))).alias("entries"), F.min(F.when(F.col("hit"), F.col("back"))).cast("long").alias("last_bars"))
 
 
+def _levels(spark, d):
+    bars = K.bars_1h(spark, d)
+    return Z.extract_levels(bars, bars)
+
+
 @query("o509_extract_levels")
 def o509(spark, d):
-    return P.extract_levels(K.bars_1h(spark, d))
+    return _levels(spark, d)
 
 
-@query("o505_merged_zones_disjoint", with_(BARS_1H) + "SELECT symbol, 0::BIGINT AS n_overlaps FROM bars_1h GROUP BY symbol")
+@query("o505_merged_zones_disjoint")
 def o505(spark, d):
-    z = P.extract_levels(K.bars_1h(spark, d))
+    z = _levels(spark, d)
     w = X.W.partitionBy("symbol").orderBy("lo")
     return z.withColumn("before", F.lag("hi").over(w)).groupBy("symbol").agg(F.count_if(F.col("before") >= F.col("lo")).alias("n_overlaps"))
 
@@ -81,21 +88,24 @@ def o512(spark, d):
 
 @query("o513_semantics", f"""WITH {_CELLS} SELECT DISTINCT regime, role, kind, CASE WHEN regime = 'trend_up' THEN CASE role WHEN 'support' THEN 'pullback_long_opportunity' ELSE 'reduce_long_not_open_short' END
   WHEN regime = 'trend_down' THEN CASE WHEN role = 'resistance' THEN 'bounce_short_opportunity' WHEN kind = 'ema200' THEN 'deep_long_requires_second_confirmation' ELSE 'prior_low_support_not_tradeable' END
-  WHEN regime = 'range' THEN 'range_edge_opportunity' WHEN regime = 'squeeze' THEN 'wait_for_confirmed_breakout' ELSE 'high_vol_reduce_frequency' END AS meaning FROM c""")
+  WHEN regime = 'range' THEN 'range_edge_opportunity' WHEN regime = 'squeeze' THEN 'wait_for_confirmed_breakout' ELSE 'high_vol_reduce_frequency' END AS meaning,
+  (regime = 'trend_up' AND role = 'support') OR (regime = 'trend_down' AND (role = 'resistance' OR kind = 'ema200')) OR regime = 'range' AS tradeable,
+  CASE WHEN regime = 'trend_up' AND role = 'support' THEN 'from_above' WHEN regime = 'trend_down' AND role = 'resistance' THEN 'from_below' END AS required FROM c""")
 def o513(spark, d):
-    m = P.semantics(F.col("regime"), F.col("role"), F.array("kind"))["meaning"]
-    return _cells(spark).select("regime", "role", "kind", m.alias("meaning")).distinct()
+    m = P.semantics(F.col("regime"), F.col("role"), F.array("kind"))
+    return _cells(spark).select("regime", "role", "kind", m.alias("m")).select("regime", "role", "kind", "m.*").distinct()
 
 
 def _points(spark, d):
-    b = S.inputs(K.bars_1h(spark, d)).withColumn("first", F.lag("close", 2).over(X.series()))
+    recent = latest_n(K.bars_1h(spark, d), ["symbol"], 2 * X.SLICE)  # what the last bar's features and ranks look back on
+    b = S.inputs(recent).withColumn("first", F.lag("close", 2).over(X.series()))
     last = latest_n(S.classify(b), ["symbol"], 1)
     return last.select("symbol", F.col("close").alias("price"), "atr", F.col("state").alias("regime"), "first")
 
 
 @query("o514_locate")
 def o514(spark, d):
-    return P.locate(_points(spark, d), P.extract_levels(K.bars_1h(spark, d)))
+    return P.locate(_points(spark, d), _levels(spark, d))
 
 
 _VOTES = "v AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'at_support' WHEN 1 THEN 'at_resistance' ELSE 'middle' END AS \"at\", CASE event_id % 4 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS z4, CASE event_id % 5 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS zd, CASE event_id % 7 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS zh FROM events)"
@@ -121,7 +131,7 @@ def o516(spark, d):
 
 @query("o517_crsi_snapshot")
 def o517(spark, d):
-    return latest_n(S.cyclic_rsi(K.bars_1h(spark, d)), ["symbol"], 1).select("symbol", "ts", "crsi", "pos", "zone")
+    return P.oscillator_now(S.cyclic_rsi(K.bars_1h(spark, d)))
 
 
 @query("o518_policy_play", with_(_VOTES) + ", r AS (SELECT event_id, \"at\", ['trend_up', 'trend_down', 'range', 'squeeze'][event_id % 4 + 1] AS regime, event_id % 2 = 0 AS flipped, event_id % 3 <> 0 AS tradeable, CASE WHEN event_id % 5 < 4 THEN event_id % 5 < 2 END AS ok FROM v), n AS (SELECT *, CASE WHEN regime = 'trend_up' AND \"at\" = 'at_support' THEN CASE WHEN flipped THEN 'S5' ELSE 'S4' END WHEN regime = 'trend_down' AND \"at\" = 'at_resistance' THEN 'S1' WHEN regime = 'trend_down' AND \"at\" = 'at_support' THEN 'S13' WHEN regime = 'range' AND \"at\" <> 'middle' THEN 'S3' END AS name FROM r) SELECT event_id, CASE WHEN name IS NOT NULL AND NOT tradeable THEN 'WAIT ' || name WHEN name IS NOT NULL AND NOT ok THEN name || ' no signal' WHEN ok IS NOT NULL THEN name END AS play FROM n")
@@ -134,10 +144,10 @@ def o518(spark, d):
 
 @query("o519_build_setups")
 def o519(spark, d):
-    place = P.locate(_points(spark, d), P.extract_levels(K.bars_1h(spark, d)))
-    osc = latest_n(S.cyclic_rsi(K.bars_1h(spark, d)), ["symbol"], 1).select("symbol", F.col("zone").alias("osc"), F.col("crsi"))
-    j = place.join(osc, "symbol", "left").withColumn("res", P.resonance(F.col("at"), F.col("osc"), F.lit(None).cast("string"), F.lit(None).cast("string")))
-    return j.withColumn("play", P.play(F.col("regime"), F.col("at"), F.col("res.main_ok"), F.col("flipped"), F.col("kinds"), F.col("tradeable"))).select("symbol", "regime", "at", "dist_atr", "tradeable", "reason", "crsi", "res.main_ok", "res.grade", "play")
+    bars = K.bars_1h(spark, d)
+    votes = {"main": bars, "slow": B.resample(bars, 14_400, 4), "fast": bars}  # the test tables' one timeframe and a coarser one
+    osc = {k: P.oscillator_now(S.cyclic_rsi(b)) for k, b in votes.items()}
+    return P.build_setups(P.locate(_points(spark, d), _levels(spark, d)), osc["main"], osc["slow"], osc["fast"])
 
 
 _STOP = "CASE WHEN close < 10 THEN close - 0.5 * atr - 0.25 * atr ELSE close + 0.5 * atr + 0.25 * atr END"
@@ -196,9 +206,10 @@ def o526(spark, d):
 
 @query("o527_overview")
 def o527(spark, d):
-    p = P.locate(_points(spark, d), P.extract_levels(K.bars_1h(spark, d)))
-    bucket = F.when(F.col("tradeable"), "armed").when(F.col("at") == "middle", "middle").otherwise("near")
-    return p.withColumn("bucket", bucket).orderBy("bucket", F.col("dist_atr").asc_nulls_last(), "symbol").select("symbol", "bucket", "regime", "at", "dist_atr", "meaning")
+    bars = K.bars_1h(spark, d)
+    osc = P.oscillator_now(S.cyclic_rsi(bars))
+    setups = P.build_setups(P.locate(_points(spark, d), _levels(spark, d)), osc, osc, osc)
+    return P.overview(setups)
 
 
 @query("o528_term_block", with_(_CHAIN) + "SELECT symbol, round(avg(iv) FILTER (expiry_days <= 2), 6) AS near_iv, round(avg(iv) FILTER (expiry_days > 2), 6) AS far_iv, round(avg(iv) FILTER (expiry_days <= 2) / avg(iv) FILTER (expiry_days > 2), 6) AS slope FROM ch GROUP BY symbol")
@@ -224,12 +235,13 @@ _SETUPS = "se AS (SELECT symbol, ts, CASE WHEN close < 6 THEN 'at_support' ELSE
 
 
 @query("o424_setup_runs", with_(BARS_1H, _SETUPS) + """, n AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol, "at", regime ORDER BY ts)) <= 7200 THEN 0 ELSE 1 END AS nw FROM se),
-r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, "at", regime ORDER BY ts) AS run FROM n)
-SELECT symbol, "at", regime, run::BIGINT AS run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS bars FROM r GROUP BY 1, 2, 3, 4""")
+r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, "at", regime ORDER BY ts) AS run FROM n), e AS (SELECT symbol, max(ts) AS last FROM se GROUP BY symbol),
+g AS (SELECT symbol, "at", regime, run::BIGINT AS run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS bars, CASE WHEN count(*) > 1 THEN regr_slope(gap, epoch(ts) / 3600.0) END AS slope, arg_max(main_ok, ts) AS main_ok, arg_max(gap, ts) AS gap FROM r GROUP BY 1, 2, 3, 4)
+SELECT symbol, "at", regime, run, first_ts, last_ts, bars, round(slope, 4) AS slope, main_ok, gap, CASE WHEN last_ts < e.last THEN 'expired' WHEN main_ok THEN 'ripe' WHEN bars >= 4 THEN 'matured' ELSE 'brewing' END AS status FROM g JOIN e USING (symbol)""")
 def o424(spark, d):
     b = K.bars_1h(spark, d).where("close < 6 or close > 14")
     s = b.select("symbol", "ts", F.when(F.col("close") < 6, "at_support").otherwise("at_resistance").alias("at"), F.lit("range").alias("regime"), F.round(F.abs(F.col("close") - 10), 6).alias("gap"), (F.col("volume") % 2 == 0).alias("main_ok"))
-    return P.runs(s, 3600).select("symbol", "at", "regime", "run", "first_ts", "last_ts", "bars")
+    return P.runs(s, 3600).select("symbol", "at", "regime", "run", "first_ts", "last_ts", "bars", F.round("slope", 4).alias("slope"), "main_ok", "gap", "status")
 
 
 @query("o423_walk_forward")
