@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
+from tidemark.functions.folds import runs
+
 #: A side of at most so many rows may be broadcast.
 BROADCAST_ROWS = 20_000
 #: Characters that a retrieval may use: its index, automatic entries (and their number), named entries.
@@ -106,10 +108,13 @@ def named_matches(texts: DataFrame, needles: DataFrame, key: str, gram: int = 12
     out = None
     for length in lengths:
         own = n.where(F.col("l") == length).drop("l")
-        grams = texts.select(key, "norm", F.explode(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))).alias("g"))
-        hits = grams.join(F.broadcast(own) if small else own, "g").where(F.contains("norm", F.col("needle"))).select(key, "id")
+        grams = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))).alias("g"))
+        hits = grams.join(F.broadcast(own) if small else own, "g").select(key, "id", "needle")
         out = hits if out is None else out.union(hits)
-    return out.distinct() if out is not None else texts.select(key, F.lit(None).cast(needles.schema["id"].dataType).alias("id")).limit(0)
+    if out is None:
+        return texts.select(key, F.lit(None).cast(needles.schema["id"].dataType).alias("id")).limit(0)
+    # the texts of what may match are looked at once more; a gram carries no text
+    return texts.select(key, "norm").join(out, key).where(F.contains("norm", F.col("needle"))).select(key, "id").distinct()
 
 
 def relevance(named: Column, symbol_hit: Column, regime_hit: Column) -> Column:
@@ -127,12 +132,13 @@ def within_budget(df: DataFrame, keys: list[str], order: list, size: str, budget
         now, left, n = None, budget, 0
         for pdf in batches:
             keep = []
-            for k, s in zip(pdf[keys].astype(str).agg("\x00".join, axis=1), pdf[size], strict=True):
+            for k, part in runs(pdf, keys) if len(pdf) else ():
                 if k != now:
                     now, left, n = k, budget, 0
-                ok = s <= left and (most is None or n < most)
-                left, n = left - s * ok, n + ok
-                keep.append(bool(ok))
+                for s in part[size]:
+                    ok = s <= left and (most is None or n < most)
+                    left, n = left - s * ok, n + ok
+                    keep.append(bool(ok))
             yield pdf[keep]
 
     return ranked.repartition(*keys).sortWithinPartitions(*keys, "_rank").mapInPandas(run, schema).drop("_rank")

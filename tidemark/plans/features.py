@@ -205,14 +205,12 @@ def o343(spark, d):
 
 
 _PATH = """pw AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, array_agg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 119 PRECEDING) AS a FROM bars_1h),
-pt AS (SELECT symbol, ts, n, list_sum(list_transform(range(1, 120), lambda i: list_sum(list_transform(range(i + 1, 121), lambda j: sign(a[j] - a[i]))))) / 7140.0::DOUBLE AS tau FROM pw WHERE n >= 120 AND n % 20 = 0)"""
+pt AS (SELECT symbol, ts, n, list_sum(list_transform(range(1, 120), lambda i: list_sum(list_transform(range(i + 1, 121), lambda j: sign(a[j] - a[i]))))) / 7140.0::DOUBLE AS tau FROM pw WHERE n >= 120)"""
 
 
 @query("o344_path_features", with_(BARS_1H, _PATH) + "SELECT symbol, ts, round(tau, 6) AS kendall_tau FROM pt")
 def o344(spark, d):
-    n = F.row_number().over(X.series())
-    p = O.path(K.bars_1h(spark, d))
-    return p.withColumn("n", n).where("n >= 120 and n % 20 = 0").select("symbol", "ts", r6("kendall_tau"))
+    return O.path(K.bars_1h(spark, d)).where("kendall_tau is not null").select("symbol", "ts", r6("kendall_tau"))
 
 
 @query("o344_path_geometry")

@@ -122,10 +122,14 @@ def o601(spark, d):
     return K.table(spark, d, "events").select("event_id", "ts").orderBy(F.col("ts").desc()).limit(200).orderBy("ts")
 
 
-@query("o602_composite_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice NULLS LAST, o_orderkey) AS pos FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 200000 QUALIFY pos <= 100")
+@query("o602_composite_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice NULLS LAST, o_orderkey) AS pos FROM orders")
 def o602(spark, d):
-    top = K.table(spark, d, "orders").where("o_orderpriority like '1%' and o_totalprice > 200000").orderBy("o_orderpriority", F.col("o_totalprice").asc_nulls_last(), "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(W.orderBy("o_orderpriority", "o_totalprice", "o_orderkey")).cast("long").alias("pos"))  # of 100 rows
+    """Every order's place by priority, then price, then key: sorted within its priority, after the counts of the priorities before."""
+    o = K.table(spark, d, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    n = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("o_orderpriority", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("o_orderpriority")) - F.col("n")).alias("before"))  # a row a priority
+    at = F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").asc_nulls_last(), "o_orderkey"))
+    return o.join(before, "o_orderpriority").select("o_orderkey", (F.col("before") + at).alias("pos"))
 
 
 @query("o603_top10", "SELECT event_id, value FROM events ORDER BY abs(value - 10) DESC, event_id LIMIT 10")

@@ -226,15 +226,15 @@ def o346(spark, d):
 # ---------------------------------------------------------------- scores
 
 _Y = f"""ys AS (SELECT b.symbol, b.ts, r.state, CASE WHEN count(ret) OVER z = 6 THEN sqrt(avg(ret * ret) OVER z) END AS y, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) AS k FROM base b JOIN raw r USING (symbol, ts) WINDOW z AS (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
-pl AS (SELECT a.symbol, a.ts, a.state, a.y, list(b.y ORDER BY b.y) AS u, coalesce(list(b.y ORDER BY b.y) FILTER (b.state = a.state), []) AS c FROM ys a JOIN ys b ON a.symbol = b.symbol AND b.k <= a.k - 6 AND b.y IS NOT NULL WHERE a.y IS NOT NULL AND a.k <= 250 GROUP BY 1, 2, 3, 4),
+pl AS (SELECT a.symbol, a.ts, a.state, a.y, list(b.y ORDER BY b.y) AS u, coalesce(list(b.y ORDER BY b.y) FILTER (b.state = a.state), []) AS c FROM ys a JOIN ys b ON a.symbol = b.symbol AND b.k <= a.k - 6 AND b.y IS NOT NULL WHERE a.y IS NOT NULL GROUP BY 1, 2, 3, 4),
 sc AS (SELECT symbol, ts, state, len(c) AS n_cond,
   list_sum(list_transform(c, lambda x: abs(x - y))) / len(c) - list_sum(list_transform(c, lambda x, i: (2 * (i - 1) - len(c) + 1) * x)) / (len(c) * len(c)) AS crps_c,
   list_sum(list_transform(u, lambda x: abs(x - y))) / len(u) - list_sum(list_transform(u, lambda x, i: (2 * (i - 1) - len(u) + 1) * x)) / (len(u) * len(u)) AS crps_u FROM pl WHERE len(c) >= 20 AND len(u) >= 20)"""
 _SCORED = BASE.rstrip() + ", " + RAW + ",\n" + _Y + "\n"
 
 
-def _targets(spark, d, first=250):
-    b = O.with_base(K.bars_1h(spark, d)).withColumn("y", O.future_rv(6)).where(F.col("n") <= first)
+def _targets(spark, d):
+    b = O.with_base(K.bars_1h(spark, d)).withColumn("y", O.future_rv(6))
     c = F.col("close")
     s = F.when(c > 14, "high_vol_chop").when(c > 9, "trend_up").when(c > 5, "range").otherwise("squeeze")
     return b.select("symbol", "ts", s.alias("state"), "y", "close")
@@ -242,13 +242,13 @@ def _targets(spark, d, first=250):
 
 @query("o417_conditional_skill", _SCORED + "SELECT symbol, ts, state, round(crps_c, 6) AS crps_c, round(crps_u, 6) AS crps_u, n_cond FROM sc")
 def o417(spark, d):
-    return S.conditional_skill(_targets(spark, d), 6).select("symbol", "ts", "state", r6("crps_c"), r6("crps_u"), F.col("n_cond").cast("long").alias("n_cond"))
+    return S.conditional_skill(_targets(spark, d), 6).select("symbol", "ts", "state", r6("crps_c"), r6("crps_u"), "n_cond")
 
 
-@query("o418_crps", with_(BARS_1D) + "SELECT symbol, round(list_sum(list_transform(s, lambda x: abs(x - y))) / len(s) - list_sum(list_transform(s, lambda x, i: (2 * (i - 1) - len(s) + 1) * x)) / (len(s) * len(s)), 4) AS crps FROM (SELECT symbol, list(close ORDER BY close) AS s, avg(close) AS y FROM bars_1d WHERE year(ts) = 1996 GROUP BY symbol)")
+@query("o418_crps", with_(BARS_1D) + "SELECT symbol, year, round(list_sum(list_transform(s, lambda x: abs(x - y))) / len(s) - list_sum(list_transform(s, lambda x, i: (2 * (i - 1) - len(s) + 1) * x)) / (len(s) * len(s)), 4) AS crps FROM (SELECT symbol, year(ts) AS year, list(close ORDER BY close) AS s, avg(close) AS y FROM bars_1d GROUP BY 1, 2)")
 def o418(spark, d):
-    g = K.bars_1d(spark, d).where("year(ts) = 1996").groupBy("symbol").agg(F.collect_list("close").alias("s"), F.avg("close").alias("y"))
-    return g.select("symbol", F.round(S.crps_column(F.col("s"), F.col("y")), 4).alias("crps"))
+    g = K.bars_1d(spark, d).groupBy("symbol", F.year("ts").cast("long").alias("year")).agg(F.collect_list("close").alias("s"), F.avg("close").alias("y"))
+    return g.select("symbol", "year", F.round(S.crps_column(F.col("s"), F.col("y")), 4).alias("crps"))
 
 
 @query("o419_skill_summary", _SCORED + "SELECT symbol, count(*) AS n_eval, round(1 - sum(crps_c) / sum(crps_u), 6) AS skill FROM sc GROUP BY symbol")
@@ -263,7 +263,7 @@ def o419b(spark, d):
 
 @query("o420_surrogate_band")
 def o420(spark, d):
-    return S.surrogate_band(_targets(spark, d, 200), 6, shifts=24)
+    return S.surrogate_band(_targets(spark, d), 6)
 
 
 _PNL = "pn AS (SELECT symbol, ts, CASE state WHEN 'trend_up' THEN 1.0 WHEN 'squeeze' THEN -1.0 ELSE 0.0 END AS pos, ln(close / lag(close) OVER w) AS r, lead(ts) OVER w IS NULL AS last FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY ts)), pm AS (SELECT *, lag(pos) OVER (PARTITION BY symbol ORDER BY ts) AS held FROM pn)"
@@ -277,7 +277,7 @@ def o421(spark, d):
 
 @query("o316_hysteresis_grid")
 def o316(spark, d):
-    return S.hysteresis_grid(_targets(spark, d, 100_000).withColumnRenamed("state", "raw_state"), 24)
+    return S.hysteresis_grid(_targets(spark, d).withColumnRenamed("state", "raw_state"), 24)
 
 
 @query("o422_experiment_fanout", with_(BARS_1H, RAW) + "SELECT symbol, h, count(*) AS n FROM raw, (VALUES (6), (24)) v(h) WHERE rn + h <= (SELECT count(*) FROM bars_1h b WHERE b.symbol = raw.symbol) GROUP BY 1, 2")
@@ -287,7 +287,11 @@ def o422(spark, d):
     return b.groupBy("symbol").agg(F.array(*[F.struct(F.lit(h).alias("h"), F.count(f"y{h}").alias("n")) for h in (6, 24)]).alias("g")).select("symbol", F.inline("g"))
 
 
-@query("o425_confirm_variants", with_(BARS_1H, RAW) + "SELECT symbol, ts, state AS confirmed FROM raw")
+@query("o425_confirm_variants", f"""WITH RECURSIVE {BARS_1H}, {RAW},
+f AS (SELECT symbol, rn, ts, state AS cur, CAST(NULL AS VARCHAR) AS pend FROM raw WHERE rn = 1
+  UNION ALL SELECT raw.symbol, raw.rn, raw.ts, CASE WHEN raw.state = f.pend THEN raw.state ELSE f.cur END, CASE WHEN raw.state = f.cur OR raw.state = f.pend THEN NULL ELSE raw.state END
+  FROM f JOIN raw ON raw.symbol = f.symbol AND raw.rn = f.rn + 1)
+SELECT symbol, ts, cur AS confirmed FROM f""")
 def o425(spark, d):
-    return S.confirm(_raw(spark, d, "raw_state"), needs=lambda s, f, e: 1).select("symbol", "ts", "confirmed")
-
+    """Every state confirmed by two bars."""
+    return S.confirm(_raw(spark, d, "raw_state"), needs=lambda s, f, e: 2).select("symbol", "ts", "confirmed")

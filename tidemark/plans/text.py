@@ -61,11 +61,10 @@ def o705b(spark, d):
     return T.broken_successors(e)
 
 
-@query("o706_named_matches", "SELECT DISTINCT d.doc_id, b.item_id AS id FROM (SELECT doc_id, lower(regexp_replace(text, '[\\p{P}\\p{Z}\\s]', '', 'g')) AS norm FROM documents) d, (SELECT item_id, lower(regexp_replace(substr(text, 1, 40), '[\\p{P}\\p{Z}\\s]', '', 'g')) AS needle FROM benchmark) b WHERE contains(norm, needle)")
+@query("o706_named_matches", "SELECT DISTINCT d.doc_id, b.item_id AS id FROM (SELECT doc_id, lower(regexp_replace(text, '[\\p{P}\\p{Z}\\s]', '', 'g')) AS norm FROM documents) d, (SELECT item_id, lower(regexp_replace(text, '[\\p{P}\\p{Z}\\s]', '', 'g')) AS needle FROM benchmark) b WHERE contains(norm, needle)")
 def o706(spark, d):
-    docs = K.table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"[\p{P}\p{Z}\s]", "").alias("norm"))
-    needles = K.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace(F.lower(F.substring("text", 1, 40)), r"[\p{P}\p{Z}\s]", "").alias("needle"))
-    return T.named_matches(docs, needles, "doc_id")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[\p{P}\p{Z}\s]", "")
+    return T.named_matches(K.table(spark, d, "documents").select("doc_id", plain("text").alias("norm")), K.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), plain("text").alias("needle")), "doc_id")
 
 
 @query("o706_normalize")
@@ -110,45 +109,51 @@ def o712(spark, d):
 
 # ---------------------------------------------------------------- spectrum
 
-_DEC = "m1 AS (SELECT symbol, ts, close AS m0, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 3 PRECEDING) AS m1 FROM bars_1h), m2 AS (SELECT *, avg(m1) OVER (PARTITION BY symbol ORDER BY ts ROWS 7 PRECEDING) AS m2 FROM m1), m3 AS (SELECT *, avg(m2) OVER (PARTITION BY symbol ORDER BY ts ROWS 15 PRECEDING) AS m3 FROM m2), dc AS (SELECT symbol, ts, m0 - m1 AS d4, m1 - m2 AS d8, m2 - m3 AS d16, m3 AS trend FROM m3)"
-_SC = (4, 8, 16)
+_SC = G.SCALES
+_DEC = "m0 AS (SELECT symbol, ts, close AS m0 FROM bars_1h), " + ", ".join(f"m{i + 1} AS (SELECT *, avg(m{i}) OVER (PARTITION BY symbol ORDER BY ts ROWS {w - 1} PRECEDING) AS m{i + 1} FROM m{i})" for i, w in enumerate(_SC))
+_DEC += ", dc AS (SELECT symbol, ts, " + ", ".join(f"m{i} - m{i + 1} AS d{w}" for i, w in enumerate(_SC)) + f", m{len(_SC)} AS trend FROM m{len(_SC)})"
+_PARTS = [*(f"d{w}" for w in _SC), "trend"]
 
 
-@query("o801_decompose", with_(BARS_1H, _DEC) + "SELECT symbol, ts, round(d4 + 3e-8::DOUBLE, 6) AS d4, round(d8 + 3e-8::DOUBLE, 6) AS d8, round(d16 + 3e-8::DOUBLE, 6) AS d16, round(trend + 3e-8::DOUBLE, 6) AS trend FROM dc")
+@query("o801_decompose", with_(BARS_1H, _DEC) + "SELECT symbol, ts, " + ", ".join(f"round({c} + 3e-8::DOUBLE, 6) AS {c}" for c in _PARTS) + " FROM dc")
 def o801(spark, d):
-    return G.decompose(K.bars_1h(spark, d), scales=_SC).select("symbol", "ts", *[r6(F.col(c) + 3e-8, c) for c in ("d4", "d8", "d16", "trend")])  # apart from halves
+    return G.decompose(K.bars_1h(spark, d)).select("symbol", "ts", *[r6(F.col(c) + 3e-8, c) for c in _PARTS])  # apart from halves
 
 
-_EN = "en AS (SELECT symbol, sum(d4 * d4) AS a, sum(d8 * d8) AS b, sum(d16 * d16) AS c, var_pop(trend) * count(*) AS t FROM dc GROUP BY symbol)"
+_EN = "es AS (SELECT symbol, " + ", ".join(f"sum(d{w} * d{w}) AS d{w}" for w in _SC) + ", var_pop(trend) * count(*) AS trend FROM dc GROUP BY symbol), en AS (SELECT symbol, " + ", ".join(f"{c} / ({' + '.join(_PARTS)}) AS {c}" for c in _PARTS) + " FROM es)"
 
 
-@query("o802_energy_spectrum", with_(BARS_1H, _DEC, _EN) + "SELECT symbol, round(a / (a + b + c + t), 6) AS d4, round(b / (a + b + c + t), 6) AS d8, round(c / (a + b + c + t), 6) AS d16, round(t / (a + b + c + t), 6) AS trend FROM en")
+@query("o802_energy_spectrum", with_(BARS_1H, _DEC, _EN) + "SELECT symbol, " + ", ".join(f"round({c} + 3e-8::DOUBLE, 6) AS {c}" for c in _PARTS) + " FROM en")
 def o802(spark, d):
-    return G.energies(G.decompose(K.bars_1h(spark, d), scales=_SC), _SC).select("symbol", r6("d4"), r6("d8"), r6("d16"), r6("trend"))
+    return G.energies(G.decompose(K.bars_1h(spark, d))).select("symbol", *[r6(F.col(c) + 3e-8, c) for c in _PARTS])
 
 
-@query("o803_theil_sen", with_(BARS_1H) + """, w AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, array_agg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 191 PRECEDING) AS a FROM bars_1h),
-s AS (SELECT symbol, ts, a, i, unnest(range(i + 1, 193)) AS j FROM (SELECT symbol, ts, a, unnest(range(1, 192)) AS i FROM w WHERE n >= 192 AND (n - 1) % 50 = 0))
-SELECT symbol, ts, round(median((a[j] - a[i]) / (j - i)), 6) AS slope FROM s GROUP BY 1, 2""")
+@query("o803_theil_sen")
 def o803(spark, d):
-    return G.theil_sen(K.bars_1h(spark, d), every=50).select("symbol", "ts", r6("slope"))
+    return G.theil_sen(K.bars_1h(spark, d))
 
 
 @query("o804_path_state")
 def o804(spark, d):
-    t = G.theil_sen(K.bars_1h(spark, d), every=10)
-    return t.select("symbol", "ts", G.path_state(F.col("snr"), F.col("amp"), F.col("crossings")).alias("state"))
+    t = G.theil_sen(K.bars_1h(spark, d))
+    return t.select("symbol", "ts", G.path_state(F.col("tau"), F.col("snr"), F.col("amp"), F.col("crossings")).alias("state"))
 
 
 @query("o805_membership")
 def o805(spark, d):
-    t = G.theil_sen(K.bars_1h(spark, d), every=10).where("snr is not null and amp is not null")
-    return t.select("symbol", "ts", G.membership(F.col("snr"), F.col("amp"), F.col("crossings")).alias("m")).select("symbol", "ts", "m.*")
+    t = G.theil_sen(K.bars_1h(spark, d))
+    return t.select("symbol", "ts", G.membership(F.col("tau"), F.col("snr"), F.col("amp"), F.col("crossings")).alias("m")).select("symbol", "ts", "m.*")
 
 
-@query("o806_calibrate", with_(BARS_1H) + ", w AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) // 48 AS w, close FROM bars_1h), v AS (SELECT symbol, w, avg(close) AS v FROM w GROUP BY 1, 2 HAVING count(*) = 48) SELECT symbol, round(quantile_cont(v, 0.298), 6) AS threshold, count(*) AS windows FROM v GROUP BY symbol HAVING count(*) >= 10")
+@query("o806_calibrate", with_(BARS_1H) + """, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n FROM bars_1h),
+w AS (SELECT symbol, n // 48 AS w, list(close ORDER BY n) AS a FROM n GROUP BY 1, 2 HAVING count(*) = 48),
+s AS (SELECT symbol, w, median((a[j] - a[i]) / (j - i)) AS slope FROM (SELECT symbol, w, a, i, unnest(range(i + 1, 49)) AS j FROM (SELECT symbol, w, a, unnest(range(1, 48)) AS i FROM w)) GROUP BY 1, 2),
+r AS (SELECT symbol, w, list_transform(a, lambda y, k: y - (list_median(a) - slope * 23.5::DOUBLE) - slope * (k - 1)) AS r, list_avg(a) AS m FROM w JOIN s USING (symbol, w)),
+v AS (SELECT symbol, sqrt(list_avg(list_transform(r, lambda x: x * x))) / m * 100 AS amp FROM r)
+SELECT symbol, round(quantile_cont(amp, 0.298), 6) AS threshold, count(*) AS windows FROM v GROUP BY symbol HAVING count(*) >= 10""")
 def o806(spark, d):
-    return G.calibrate(K.bars_1h(spark, d), "close", 48).select("symbol", r6("threshold"), "windows")
+    """Windows of 48 bars, of which the test tables have ten and more."""
+    return G.calibrate(K.bars_1h(spark, d), 48).select("symbol", r6("threshold"), "windows")
 
 
 @query("o807_continuous", with_(BARS_1H) + ", c AS (SELECT symbol, ts, CASE WHEN (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) % 2 = 0 THEN close END AS v FROM bars_1h) SELECT symbol, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM c")
@@ -156,10 +161,12 @@ def o807(spark, d):
     return G.continuous(K.bars_1h(spark, d), "close").select("symbol", "ts", "known")
 
 
-@query("o808_spectrum_summary", with_(BARS_1H, _DEC, _EN) + "SELECT symbol, CASE WHEN a >= b AND a >= c THEN 4 WHEN b >= c THEN 8 ELSE 16 END AS scale, round((b + c + t) / (a + b + c + t), 6) AS coarse_share FROM en")
+_DETAIL, _COARSE = (" + ".join(f"d{w}" for w in _SC if w >= least) for least in (0, G.COARSE))
+
+
+@query("o808_spectrum_summary", with_(BARS_1H, _DEC, _EN) + f"SELECT symbol, round(trend + 3e-8::DOUBLE, 6) AS trend_share, CAST(CASE {' '.join(f'WHEN d{w} = greatest({", ".join(_PARTS[:-1])}) THEN {w}' for w in _SC)} END AS INTEGER) AS scale, round(({_COARSE}) / ({_DETAIL} + 1e-12) + 3e-8::DOUBLE, 6) AS coarse_share FROM en")
 def o808(spark, d):
-    e = G.energies(G.decompose(K.bars_1h(spark, d), scales=_SC), _SC)
-    return G.dominant(e, _SC).select("symbol", "scale", r6("coarse_share"))
+    return G.dominant(G.energies(G.decompose(K.bars_1h(spark, d)))).select("symbol", r6(F.col("trend_share") + 3e-8, "trend_share"), "scale", r6(F.col("coarse_share") + 3e-8, "coarse_share"))
 
 
 # ---------------------------------------------------------------- streams
