@@ -12,7 +12,8 @@ Defined results
   text null                    empty
   role null                    an empty role; not an assistant
   repeated turn numbers        in order of role, then text; a null number comes first
-  conv_id null                 a conversation of its own
+  conv_id null                 all such rows are one conversation, in one task as every conversation is
+  very long conversations      an array of turns in one row; each reply repeats what stands before it, as the method has it
   empty table                  no rows
   more columns                 ignored
 """

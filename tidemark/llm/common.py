@@ -24,12 +24,14 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset (tests on
-    one machine) a temporary folder of this process is used."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary folder of this process is used on a
+    single machine; on a cluster that would be seen by the driver alone, so that it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _own_dir[app]

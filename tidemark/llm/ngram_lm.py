@@ -3,9 +3,9 @@
 Counting: each task counts its (word, next word) pairs as 63-bit hashes and packs them by the first word's shard, Spark deals
 them by shard, and a shard's writer adds up equal pairs and keeps, as sorted arrays: the contexts with their totals and
 their numbers of followers seen once, twice and more, and the pairs (context's number and the follower's leading bits) with
-their counts. What each shard has seen of a follower goes on to a second shuffle, which gives each word its number of distinct
+their counts (a byte each; greater ones apart, with their places). What each shard has seen of a follower goes on to a second shuffle, which gives each word its number of distinct
 predecessors and its count. All arrays lie in the shared folder; a worker maps the files into memory (from a store that can't be
-mapped it copies a shard to an unlinked temporary file first) and searches sorted batches. Only sums of each shard come to the
+mapped a worker process copies a shard to an unlinked temporary file first) and searches sorted batches. Only sums of each shard come to the
 driver.
 
     p(w|v) = (c(vw) - D(c(vw))) / c(v) + gamma(v) p(w),   p(w) = (n(w) - D'(n(w))) / sum n + gamma' / (V + 1)
@@ -18,6 +18,7 @@ Defined results
   text null or empty            one token, the end
   no training document          N = V = 0, every probability and base probability is 1
   doc_id null                   counts as the text '' for the split
+  very long texts               counted and scored in one slice of their own
   repeated rows                 each row is counted and scored
   empty table                   no rows
   more columns                  ignored
@@ -91,15 +92,22 @@ def write_file(path: str, arrays: list[np.ndarray]) -> None:
             f.write(np.ascontiguousarray(a).tobytes())
 
 
+_copies: dict[str, np.ndarray] = {}
+
+
 def map_file(path: str) -> np.ndarray:
     fs, p = pafs.FileSystem.from_uri(path)
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(p, np.uint8, "r") if os.path.getsize(p) else np.zeros(0, np.uint8)
-    with tempfile.NamedTemporaryFile() as t, fs.open_input_stream(p) as f:
-        while piece := f.read(8 << 20):
-            t.write(piece)
-        t.flush()
-        return np.memmap(t.name, np.uint8, "r") if t.tell() else np.zeros(0, np.uint8)
+    if path not in _copies:  # once for each worker process, which outlives its tasks; of one model at a time
+        for other in [k for k in _copies if os.path.dirname(k) != os.path.dirname(path)]:
+            del _copies[other]
+        with tempfile.NamedTemporaryFile() as t, fs.open_input_stream(p) as f:
+            while piece := f.read(8 << 20):
+                t.write(piece)
+            t.flush()
+            _copies[path] = np.memmap(t.name, np.uint8, "r") if t.tell() else np.zeros(0, np.uint8)
+    return _copies[path]
 
 
 def _cut(data: np.ndarray, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
@@ -206,8 +214,9 @@ def _write_pairs(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
             sums = np.add.reduceat(c, at)
             seen = [np.add.reduceat(x, at, dtype=np.int64).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
             large = c[c >= 255]
+            places = np.flatnonzero(c >= 255)
             path = f"{folder}/pairs-{number:05d}-{uuid.uuid4().hex}"
-            write_file(path, [key, v[at], sums, large, *seen, np.minimum(c, 255).astype(np.uint8)])
+            write_file(path, [key, v[at], sums, large, places, *seen, np.minimum(c, 255).astype(np.uint8)])
             of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
             yield _row(number, None, path, [number, len(at), len(key), len(large), *of])
             del v, key
@@ -289,9 +298,8 @@ class Reader:
 
     def __init__(self, model: dict):
         self.m = model
-        self.pairs = {s: _cut(map_file(path), [(np.int64, z[2]), (np.int64, z[1]), (np.int64, z[1]), (np.int64, z[3]), *[(np.uint32, z[1])] * 3, (np.uint8, z[2])]) for s, (path, z) in model["pairs"].items()}
+        self.pairs = {s: _cut(map_file(path), [(np.int64, z[2]), (np.int64, z[1]), (np.int64, z[1]), (np.int64, z[3]), (np.int64, z[3]), *[(np.uint32, z[1])] * 3, (np.uint8, z[2])]) for s, (path, z) in model["pairs"].items()}
         self.words = {s: _cut(map_file(path), [(np.int64, z[1])] * 3) for s, (path, z) in model["words"].items()}
-        self.large = {s: np.flatnonzero(x[7] == 255) for s, x in self.pairs.items() if len(x[3])}
 
     def _dealt(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         s = shard_of(h, self.m["shards"])
@@ -320,7 +328,7 @@ class Reader:
         for s, k in self._dealt(v):
             if s not in self.pairs:
                 continue
-            key, ctx, sums, large, n1, n2, n3, small = self.pairs[s]
+            key, ctx, sums, large, places, n1, n2, n3, small = self.pairs[s]
             at = np.minimum(np.searchsorted(ctx, v[k]), len(ctx) - 1)
             ok = ctx[at] == v[k]
             k, at = k[ok], at[ok]
@@ -332,9 +340,9 @@ class Reader:
             at = np.minimum(np.searchsorted(key, want), len(key) - 1)
             ok = key[at] == want
             got = small[at].astype(np.int64)
-            if s in self.large:
+            if len(large):
                 big = got == 255
-                got[big] = large[np.minimum(np.searchsorted(self.large[s], at[big]), len(large) - 1)]
+                got[big] = large[np.minimum(np.searchsorted(places, at[big]), len(large) - 1)]
             c[k[ok]] = got[ok]
         return c, total, gamma
 

@@ -10,6 +10,7 @@ into blocks (common.spread_buckets), and a block gives the edges of a spanning f
 Defined results
   text null, empty or without words    fingerprint 0, linked like any other
   fewer words than a shingle has       the whole sequence is the one shingle
+  very long texts                      counted in pieces, whole
   repeated doc_id                      each row has its own fingerprint; `dedup` keeps one row of a group
   doc_id null                          never the group's smallest id unless all are null (then component_id is null)
   empty table                          no rows
@@ -223,8 +224,11 @@ def shingle_sets(docs: DataFrame, *, text_col: str = "text", shingle: int = SHIN
                     text = t.as_buffer().to_pybytes() if t.is_valid else b""
                     fps.append(fingerprint(text, shingle))
                     w = text.translate(C.LOWER_BYTES).split()
-                    grams = {digest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))} if w else set()
-                    sets.append(np.array(sorted(grams), np.uint32).view(np.int32))
+                    grams = np.zeros(0, np.uint32)
+                    for at in range(0, max(1, len(w) - size + 1) if w else 0, PIECE):  # of a very long text a piece at a time
+                        some = np.fromiter((digest(b" ".join(w[k : k + size])) for k in range(at, min(at + PIECE, max(1, len(w) - size + 1)))), np.uint32)
+                        grams = np.union1d(grams, some)
+                    sets.append(grams.view(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["fp", "grams"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, grams array<int>")
@@ -296,19 +300,21 @@ def dedup(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, ne
     of = _rooted(prints, lambda fps: similar_links(docs, prints, text_col=text_col, shingle=shingle, near=near, radius=radius, segments=segments, similarity=similarity, size=size))
     counts = prints.agg(F.count(F.lit(1)).alias("n")).first()["n"], prints.select("doc_id").where("doc_id is not null").distinct().count()
     if counts[0] == counts[1]:
-        out = prints.join(of, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
-        return docs.join(out, docs["doc_id"] == out["_lost"], "left_anti")
+        out = prints.join(of, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("__lost"))
+        return docs.join(out, docs["doc_id"] == out["__lost"], "left_anti")
     # ids that repeat or are null don't name a row: its fingerprint travels with it, and one row of each group stays
+    taken = {c.lower() for c in docs.columns}
+    own = {c: next(n for n in (f"{'_' * k}{c}" for k in range(1, len(taken) + 2)) if n.lower() not in taken) for c in ("fp", "root", "component_id")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column(b.schema.get_field_index(text_col))
             v = np.array([fingerprint(x.as_py().encode() if x.is_valid else b"", shingle) for x in t], np.uint64)
-            yield b.append_column("_fp", pa.array(v.view(np.int64)))
+            yield b.append_column(own["fp"], pa.array(v.view(np.int64)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    kept = docs.mapInArrow(run, schema).join(of.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low")), "_fp")
-    return kept.where(F.col("doc_id").eqNullSafe(F.col("_low"))).dropDuplicates(["_root"]).select(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(own["fp"], T.LongType())])
+    kept = docs.mapInArrow(run, schema).join(of.select(*[F.col(c).alias(n) for c, n in own.items()]), own["fp"])
+    return kept.where(F.col("doc_id").eqNullSafe(F.col(own["component_id"]))).dropDuplicates([own["root"]]).select(docs.columns)
 
 
 # ---------------------------------------------------------------- query
