@@ -1,4 +1,13 @@
-"""The corpus pipeline: four operators of tidemark.llm one after the other over the documents of a folder of tables."""
+"""The corpus pipeline: four operators of tidemark.llm one after the other over the documents of a folder of tables.
+
+Defined results
+  text null or empty            scored and compared like any other text; of several one stays, without words for the mix
+  very long texts               whole in every stage
+  doc_id null or repeated       each row is a document to the first and third stage; the second keeps one row of a group
+  labels or benchmark empty     every document is kept by that stage
+  documents empty               no rows
+  more columns                  kept up to the mix, whose result has columns of its own
+"""
 
 from __future__ import annotations
 
@@ -42,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn; what a stage returns is written to the shared folder and read again for the next."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_materialized(before)  # a stage reads its predecessor alone
     return STAGES[-1][1](spark, docs, sf_dir)

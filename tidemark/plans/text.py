@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import windows as X
 from tidemark.operators import spectrum as G
 from tidemark.operators import text as T
 from tidemark.plans.features import r6
@@ -227,3 +228,28 @@ def o901(spark, d):
     return S.watermark(_stream(spark, d), "symbol", S.work_dir(spark)).withColumn("seen", F.col("seen").cast("timestamp_ntz"))
 
 
+@query("o907_stream_recompute", """WITH t AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2) SELECT symbol, ts, round(avg(v) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING), 6) AS mean6 FROM t""")
+def o907(spark, d):
+    """Hourly means that arrive once wrong and late and once right; a mean over six of them is derived anew from the first changed hour on."""
+    def derive(bars):
+        return bars.groupBy("symbol", "ts").agg(F.avg("value").alias("v")).select("symbol", "ts", F.avg("v").over(X.rows(6)).alias("mean6"))
+
+    # arrivals as files of their own, a batch each: some hours wrong, then some right, then all
+    folder = S.work_dir(spark)
+    table = K.table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp").alias("ts")).agg(F.avg("value").alias("value"))
+    for arrived, part in enumerate((table.where("hour(ts) % 2 = 0").withColumn("value", F.lit(-1.0)), table.where("hour(ts) % 3 <> 0"), table)):
+        part.withColumn("arrived", F.lit(arrived)).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    stream = spark.readStream.schema("symbol string, ts timestamp, value double, arrived int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    got = S.recompute(stream, f"{folder}/out", derive, 5)
+    return got.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("mean6"))
+
+
+@query("o914_failures_apart", "SELECT symbol, n, CASE WHEN symbol = 'error' THEN 'ValueError: bad symbol' END AS error FROM (SELECT event_type AS symbol, CASE WHEN event_type <> 'error' THEN count(*) END AS n FROM events GROUP BY 1)")
+def o914(spark, d):
+    def step(pdf):
+        if pdf["symbol"].iat[0] == "error":
+            raise ValueError("bad symbol")
+        return pdf.groupby("symbol", as_index=False).agg(n=("n", "sum"))
+
+    hourly = K.bars_1h(spark, d).select("symbol", F.col("volume").alias("n"))
+    return S.each_key_apart(hourly, "symbol", step, "symbol string, n long")

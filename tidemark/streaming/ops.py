@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
 
 from tidemark.operators.state import need
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for checkpoints and sinks, below the shared folder that the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    """A new folder for checkpoints and sinks, below the shared folder that the cluster names; on a single machine without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -82,23 +87,90 @@ def confirm(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, raw_state string, confirmed string", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """The latest row of each key, as a table that each batch rewrites under its own name: a batch that is run again writes the same."""
+def _latest(df: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in (*keys, "ts")]
+    return df.groupBy(*keys).agg(F.max(F.struct("ts", *rest)).alias("m")).select(*keys, "m.*")
+
+
+def upsert_latest(stream: DataFrame, keys: list[str], out: str, compact: int = 8) -> DataFrame:
+    """The latest row of each key. A batch writes only its own keys' latest rows, under its number: one that is run again writes the same. After
+    `compact` batches these become one table and are deleted; a reader takes the newest of what it finds. An empty stream gives no rows."""
     spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    schema = _latest(spark.createDataFrame([], stream.schema), keys).schema
+
+    def folders(s: SparkSession) -> list[tuple[int, str]]:
+        p = path(f"{out}/latest")
+        fs = p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n.split("-")[1]), n) for n in names if fs.exists(path(f"{out}/latest/{n}/_SUCCESS")))
+
+    def read(s: SparkSession) -> DataFrame:
+        found = [f"{out}/latest/{n}" for _, n in folders(s)]
+        return _latest(s.read.schema(schema).parquet(*found), keys) if found else s.createDataFrame([], schema)
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        new = batch.groupBy(*keys).agg(F.max(F.struct("ts", *[c for c in batch.columns if c not in (*keys, "ts")])).alias("m")).select(*keys, "m.*")
-        if number:
-            old = s.read.parquet(f"{out}/table-{number - 1}")
-            both = old.unionByName(new)
-            new = both.groupBy(*keys).agg(F.max(F.struct("ts", *[c for c in batch.columns if c not in (*keys, "ts")])).alias("m")).select(*keys, "m.*")
-        new.write.mode("overwrite").parquet(f"{out}/table-{number}")
+        _latest(batch, keys).write.mode("overwrite").parquet(f"{out}/latest/batch-{number}")
+        old = folders(s)
+        if len(old) > compact:
+            read(s).write.mode("overwrite").parquet(f"{out}/latest/table-{number}")
+            p = path(f"{out}/latest")
+            for _, name in old:
+                if name != f"table-{number}":
+                    p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(path(f"{out}/latest/{name}"), True)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
-    return spark.read.parquet(f"{out}/table-{last}")
+    return read(spark)
+
+
+def recompute(stream: DataFrame, out: str, derive, look_back: int, key: str = "symbol") -> DataFrame:
+    """Derived rows of bars that arrive late or corrected: each batch puts its bars (the latest arrival of a bar counts) into its series, and derives anew
+    what follows from each series' first changed bar on, with `look_back` bars before it; what lies earlier stays as it is. derive: from bars to
+    rows (key, ts, ...). Only series that a batch touches are read and written: a version of their own for each batch.
+
+    stream: key, ts, arrived, and what `derive` looks at."""
+    spark = stream.sparkSession
+    last = lambda df, by: df.withColumn("_r", F.row_number().over(W.partitionBy(key, "ts").orderBy(F.col(by).desc()))).where("_r = 1").drop("_r")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def stored(s: SparkSession, kind: str, below: int) -> list[str]:
+        p = path(f"{out}/{kind}")
+        fs = p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return [f"{out}/{kind}/{n}" for n in names if int(n.split("=")[1]) < below and fs.exists(path(f"{out}/{kind}/{n}/_SUCCESS"))]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        if batch.isEmpty():
+            return
+        last(batch, "arrived").write.mode("overwrite").parquet(f"{out}/bars/batch={number}")
+        changed = s.read.parquet(f"{out}/bars/batch={number}").groupBy(key).agg(F.min("ts").alias("_from"))
+        every = last(s.read.schema(batch.schema).parquet(*stored(s, "bars", number + 1)).join(changed, key), "arrived")
+        back = F.count_if(F.col("ts") < F.col("_from")).over(W.partitionBy(key).orderBy(F.col("ts").desc()))
+        some = every.withColumn("_back", back).where(F.col("_back") <= look_back)
+        rows = derive(some.drop("_from", "_back")).join(changed, key).where(F.col("ts") >= F.col("_from")).drop("_from")
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/version={number}")
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = stored(spark, "rows", 1 << 62)
+    return last(spark.read.parquet(*found), "batch").drop("batch") if found else derive(spark.createDataFrame([], stream.schema))
+
+
+def each_key_apart(df: DataFrame, key: str, step, schema: str) -> DataFrame:
+    """`step` over each key's rows (a bounded group), failures told apart: rows with a null `error`, or one row of the key with its message alone. A
+    failing key doesn't stop the others."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return step(pdf)[names].assign(error=None)
+        except Exception as e:  # noqa: BLE001  whatever a key's data may cause is that key's result
+            return pd.DataFrame([{**dict.fromkeys(names), key: pdf[key].iat[0], "error": f"{type(e).__name__}: {e}"}])
+
+    return df.groupBy(key).applyInPandas(run, f"{schema}, error string")
 
 
 def watermark(stream: DataFrame, key: str, out: str) -> DataFrame:
