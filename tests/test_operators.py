@@ -523,3 +523,16 @@ def test_named_matches_against_contains(spark):
     needles = [("a", "cdefghijklmnop"), ("b", "xyz"), ("c", "longneedlehereX"), ("d", "z" * 40), ("e", ""), ("f", "yz")]
     got = {(r.k, r.id) for r in T.named_matches(spark.createDataFrame(texts, "k int, norm string"), spark.createDataFrame(needles, "id string, needle string"), "k").collect()}
     assert got == {(k, i) for k, t in texts for i, n in needles if n and n in t}
+
+
+def test_pages_that_are_not_what_they_should_be(spark):
+    from tidemark.sources import pages
+
+    texts = [None, "", "no header", "DATE,CLOSE\n01/02/2024,5\nx,6\n01/03/2024,\n", "{}", '{"chart": {"result": []}}', "[]", '[{"symbol": "A-B"}, {"symbol": "U-240102-5-C", "markIV": "nan"}]']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, text string")
+    assert [(r.page, r.close) for r in pages.index_history(df).collect()] == [(3, 5.0)]
+    assert pages.chart(df).count() == 0
+    assert [(r.page, r.strike, r.iv) for r in pages.option_marks(df).collect()] == [(7, 5.0, None)]
+    points = '{"chart": {"result": [{"timestamp": [0, 60, 120], "indicators": {"quote": [{"close": [1.5, null, 2.5], "open": [1.0]}]}}]}}'
+    got = pages.chart(spark.createDataFrame([(1, points)], "page int, text string")).orderBy("ts").collect()
+    assert [(r.open, r.close, r.volume) for r in got] == [(1.0, 1.5, None), (None, 2.5, None)]

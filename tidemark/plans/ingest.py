@@ -6,6 +6,7 @@ from tidemark.operators import ingest as I
 from tidemark.operators import zones as Z
 from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
+from tidemark.sources import pages as pages_of
 from tidemark.sources import replay
 from tidemark.sources.canonical import BARS_1H, REGISTRY, with_
 
@@ -84,3 +85,37 @@ def o507(spark, d):
 def o508(spark, d):
     bars = K.bars_1h(spark, d)
     return Z.extract_levels(bars, bars).where("touches > 0").select("symbol", "mid", "touches", "established_ts", "last_touch_bars")
+
+
+# ---------------------------------------------------------------- stored pages
+
+
+@query("o020_index_history_pages", "SELECT o_orderpriority AS name, o_orderdate::TIMESTAMP AS ts, round(o_totalprice, 2) AS close FROM orders WHERE o_orderkey % 10 <> 0")
+def o020(spark, d):
+    """A page of CSV for each priority, made of the orders; every tenth line has no number."""
+    o = K.table(spark, d, "orders")
+    line = F.concat_ws(",", F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("1.0"), F.when(F.col("o_orderkey") % 10 == 0, "n/a").otherwise(F.format_string("%.2f", F.col("o_totalprice"))))
+    pages = o.groupBy(F.col("o_orderpriority").alias("name")).agg(F.concat(F.lit("Date,Open,Close\r\n"), F.array_join(F.collect_list(line), "\r\n")).alias("text"))
+    return pages_of.index_history(pages).select("name", "ts", F.round("close", 2).alias("close"))
+
+
+@query("o020_chart_pages", with_(BARS_1H) + "SELECT symbol, ts, open, high, low, close, volume::DOUBLE AS volume FROM bars_1h")
+def o020b(spark, d):
+    """The hourly bars as pages of chart JSON, and read again."""
+    b = K.bars_1h(spark, d).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume")))).alias("b"))
+    of = lambda n: F.transform("b", lambda x: x[n]).alias(n)
+    quote = F.struct(*[of(n) for n in ("open", "high", "low", "close", "volume")])
+    result = F.struct(F.transform("b", lambda x: x["s"]).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    pages = b.select("symbol", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("text"))
+    return pages_of.chart(pages)
+
+
+@query("o022_option_mark_pages", "SELECT 'U' || (user_id % 12) AS underlying, DATE '2024-03-29' AS expiry, (80 + event_id % 23)::DOUBLE AS strike, CASE WHEN event_id % 2 = 0 THEN 'C' ELSE 'P' END AS kind, CASE WHEN event_id % 5 <> 0 THEN round(value, 4) END AS iv FROM events WHERE value > 0.01 AND event_id % 7 <> 0")
+def o022(spark, d):
+    """Pages of marks, some without a volatility, some with a name that is none."""
+    e = K.table(spark, d, "events").where("value > 0.01")
+    k = F.col("event_id")
+    name = F.when(k % 7 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(F.concat_ws("-", F.concat(F.lit("U"), (F.col("user_id") % 12).cast("string")), F.lit("240329"), (80 + k % 23).cast("string"), F.when(k % 2 == 0, "C").otherwise("P")))
+    mark = F.struct(name.alias("symbol"), F.when(k % 5 == 0, "-1").otherwise(F.col("value").cast("string")).alias("markIV"))
+    pages = e.groupBy((k % 50).alias("page")).agg(F.to_json(F.collect_list(mark)).alias("text"))
+    return pages_of.option_marks(pages).select("underlying", "expiry", "strike", "kind", F.round("iv", 4).alias("iv"))
