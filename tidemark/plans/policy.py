@@ -7,6 +7,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import features as O
 from tidemark.operators import policy as P
 from tidemark.operators import state as S
+from tidemark.operators import tracking
 from tidemark.operators import zones as Z
 from tidemark.operators.scans import latest_n
 from tidemark.plans.features import BASE, r6
@@ -246,9 +247,6 @@ def o424(spark, d):
 
 @query("o423_walk_forward")
 def o423(spark, d):
-    """Regime and oscillator at every bar as known then: each bar's state with the last known oscillator before it."""
-    from tidemark.operators.joins import asof_join
-
-    states = S.classify(S.inputs(K.bars_1h(spark, d))).select("symbol", "ts", "state", "close", "atr")
-    osc = S.cyclic_rsi(K.bars_1h(spark, d)).select("symbol", F.col("ts").alias("o_ts"), "crsi", F.col("zone").alias("osc"))
-    return asof_join(states, osc, ["symbol"], ["crsi", "osc"], right_ts="o_ts")
+    """The setup of every 4-hour bar as known then, with the votes of hourly bars and of days."""
+    bars = K.bars_1h(spark, d)
+    return tracking.walk_forward(B.resample(bars, 14_400, 4).select("symbol", "ts", "open", "high", "low", "close", "volume"), B.resample(bars, 86_400, 24), bars)

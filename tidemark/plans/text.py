@@ -70,7 +70,7 @@ def o706(spark, d):
 
 @query("o706_normalize")
 def o706b(spark, d):
-    return K.table(spark, d, "documents").select("doc_id", F.length(T.normalized(F.col("text"), ("the",))).alias("n"))
+    return K.table(spark, d, "documents").select("doc_id", T.normalized(F.col("text"), ("the",)).alias("norm"))
 
 
 @query("o707_context_relevance", "SELECT doc_id, CASE WHEN source = 'src1' THEN 3 WHEN lang = 'fr' AND n_chars > 2000 THEN 2 WHEN lang = 'fr' OR n_chars > 2000 THEN 1 ELSE 0 END AS score FROM documents")
@@ -103,9 +103,9 @@ def o711(spark, d):
     return T.chat_tail(K.table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], 8, "ts").select("user_id", "event_id", "gap_min")
 
 
-@query("o712_escaped_html", "SELECT page_id, length(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n FROM pages")
+@query("o712_escaped_html", "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")
 def o712(spark, d):
-    return K.table(spark, d, "pages").select("page_id", F.length(T.escaped(F.col("html"))).cast("long").alias("n"))
+    return K.table(spark, d, "pages").select("page_id", F.sha2(T.escaped(F.col("html")), 256).alias("digest"))
 
 
 # ---------------------------------------------------------------- spectrum
@@ -203,17 +203,26 @@ def o908(spark, d):
     return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("o909_stream_confirm", "SELECT event_type AS symbol, count(*) AS n, count(*) FILTER (value > 12) AS n_chop FROM events GROUP BY 1")
+_CONFIRM = """WITH RECURSIVE raw AS (SELECT event_type AS symbol, ts, CASE WHEN value > 12 THEN 'high_vol_chop' WHEN value > 8 THEN 'trend_up' ELSE 'range' END AS state, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events),
+f AS (SELECT symbol, rn, ts, state, state AS cur, CAST(NULL AS VARCHAR) AS pend, 0 AS cnt FROM raw WHERE rn = 1
+  UNION ALL SELECT symbol, rn, ts, state, CASE WHEN fired THEN state ELSE cur END, CASE WHEN state = cur OR fired THEN NULL ELSE state END, CASE WHEN state = cur OR fired THEN 0 ELSE c END
+  FROM (SELECT raw.symbol, raw.rn, raw.ts, raw.state, f.cur, CASE WHEN raw.state = f.pend THEN f.cnt + 1 ELSE 1 END AS c, raw.state <> f.cur AND (CASE WHEN raw.state = f.pend THEN f.cnt + 1 ELSE 1 END) >= (CASE raw.state WHEN 'high_vol_chop' THEN 1 WHEN 'range' THEN 3 ELSE 2 END) AS fired
+    FROM f JOIN raw ON raw.symbol = f.symbol AND raw.rn = f.rn + 1))
+"""
+
+
+@query("o909_stream_confirm", _CONFIRM + "SELECT symbol, cur AS confirmed, count(*) AS n, count(*) FILTER (state = 'high_vol_chop') AS n_chop FROM f GROUP BY 1, 2")
 def o909(spark, d):
     raw = F.when(F.col("value") > 12, "high_vol_chop").when(F.col("value") > 8, "trend_up").otherwise("range")
     s = S.run(S.confirm(_stream(spark, d).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
-    return s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_state") == "high_vol_chop").alias("n_chop"))
+    return s.groupBy("symbol", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_state") == "high_vol_chop").alias("n_chop"))
 
 
-@query("o909_stream_confirmed_states")
+@query("o909_stream_confirmed_states", _CONFIRM + "SELECT symbol, ts, state AS raw_state, cur AS confirmed FROM f")
 def o909b(spark, d):
     raw = F.when(F.col("value") > 12, "high_vol_chop").when(F.col("value") > 8, "trend_up").otherwise("range")
-    return S.run(S.confirm(_stream(spark, d).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
+    s = S.run(S.confirm(_stream(spark, d).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
+    return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("o910_stream_dedup", "SELECT user_id, event_type AS symbol, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY 1, 2")
