@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -48,12 +48,9 @@ def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Step, s
 
 
 def running_mean(v: np.ndarray, rate: float, start: np.ndarray | float = 0.0) -> np.ndarray:
-    """s[i] = (1 - rate) s[i-1] + rate v[i] along the first axis, by sums of weighted stretches that are short enough for their weights."""
-    keep, out = 1 - rate, np.empty_like(v, float)
-    stretch = max(1, int(math.log(1e6) / -math.log(keep))) if keep > 0 else 1
-    for i in range(0, len(v), stretch):
-        part = v[i : i + stretch]
-        w = (keep ** np.arange(1, len(part) + 1)).reshape(-1, *[1] * (v.ndim - 1))
-        out[i : i + len(part)] = w * (start + rate * np.cumsum(part / w, axis=0))
-        start = out[i + len(part) - 1]
-    return out
+    """s[i] = (1 - rate) s[i-1] + rate v[i] along the first axis, value by value, so that pieces give the same to the last bit."""
+    if v.ndim > 1:
+        first = np.broadcast_to(start, v.shape[1:])
+        return np.column_stack([running_mean(v[:, k], rate, first[k]) for k in range(v.shape[1])])
+    keep = 1 - rate
+    return np.array([*accumulate(v.tolist(), lambda s, x: keep * s + rate * x, initial=float(start))][1:])

