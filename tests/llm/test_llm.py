@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, common, decontamination, embedding_dedup, licenses, mixing, ngram_lm, quality, queries, simhash, token_counts, warc
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, row string, shard string, _lost long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, row string, shard string, _lost long, h string, _id string, n long, y string, terms string, word string, term string"
 
 
 def docs_of(spark, texts, ids=None, sources=None):
     """Documents with more columns, whose names operators might use themselves."""
     ids = ids or list(range(len(texts)))
-    rows = [(i, t, "en", s, 0, "x", "y", "z", "w", 1) for i, t, s in zip(ids, texts, sources or ["a"] * len(texts), strict=True)]
+    rows = [(i, t, "en", s, 0, "x", "y", "z", "w", 1, "h", "i", 7, "q", "t", "v", "u") for i, t, s in zip(ids, texts, sources or ["a"] * len(texts), strict=True)]
     return spark.createDataFrame(rows, DOCS)
 
 

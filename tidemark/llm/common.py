@@ -81,6 +81,8 @@ NOT_SPACE = ~((_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13)))
 #: Bytes of words of letters and digits: 0-9, a-z (after lower-casing) and all from 0x80.
 ALNUM = ((_ALL >= 48) & (_ALL <= 57)) | ((_ALL >= 97) & (_ALL <= 122)) | (_ALL >= 128)
 
+_TRUE = _ALL == 1
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -139,6 +141,14 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, np.flatnonzero(e) + 1, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, offsets: np.ndarray, m: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words themselves as binaries, and for each text the index of its first word (one more at the end). m: which bytes belong to words."""
+    starts, ends, first = words(m.view(np.uint8), offsets, _TRUE)
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    kind, width = (pa.binary(), np.int32) if at[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(at.astype(width)), pa.py_buffer(data[m])]), first
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over its bytes by prefix sums, then mixed with its length."""
     if not len(starts):

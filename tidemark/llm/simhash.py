@@ -253,7 +253,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle:
     checked = found.where(F.col("hot") | apart)
     ends = C.materialize(checked.select(F.col("u").alias("fp")).union(checked.select("v")).distinct(), "simhash-ends")
     named = texts.join(ends, "fp", "left_semi").select(F.col("doc_id").alias("_id"), "h")
-    of = docs.join(named, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("h")), "left_semi")
+    of = docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named["_id"]) & (F.xxhash64(docs[text_col]) == named["h"]), "left_semi")
     sets = shingle_sets(of, text_col=text_col, shingle=shingle, size=size).join(ends, "fp", "left_semi").dropDuplicates(["fp", "grams"])
     sets = C.materialize(sets.withColumn("tag", F.xxhash64("fp", "grams")), "simhash-grams")
 
