@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
-from tidemark.operators import bars as B
 from tidemark.operators import features as O
 
 #: Fixed values, in ATRs where not said otherwise.
@@ -133,11 +132,9 @@ def summary(bars: DataFrame, n: int = X.SLICE) -> DataFrame:
 
     w, all_ = X.series(), X.W.partitionBy("symbol")
     b = O.pivots(latest_n(bars.select("symbol", "ts", "open", "high", "low", "close"), ["symbol"], n), PIVOT_BARS)
-    fine = (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high"))
-    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    b = b.withColumns({"bar": F.row_number().over(w) - 1, "bars": F.count(F.lit(1)).over(all_), "fine": F.coalesce(fine & known("high") & known("low") & known("open") & known("close"), F.lit(False)), "before": F.lag("close").over(w)})
+    b = b.withColumns({"bar": F.row_number().over(w) - 1, "bars": F.count(F.lit(1)).over(all_), "fine": _fine(), "before": F.lag("close").over(w)})
     b = b.withColumn("left", F.col("bars") - 1 - F.col("bar"))  # bars after this one
-    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("before")), F.abs(F.col("low") - F.col("before")))
+    tr = _range_of_bar()
     member = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("price"), F.col("bar").cast("int").alias("bar"), "ts")))
     latest = F.max("ts").over(all_)
     for name, trunc, days in (("day", "day", 1), ("week", "week", 7)):
@@ -154,42 +151,89 @@ def summary(bars: DataFrame, n: int = X.SLICE) -> DataFrame:
     return b.groupBy("symbol").agg(*[v.alias(k) for k, v in sums.items()])
 
 
-def levels(bars: DataFrame, volume: DataFrame | None = None, n: int = X.SLICE, seconds: int = 3600) -> DataFrame:
-    """(symbol, atr, bars, series, zones, degraded): the disjoint zones of every series and the reasons for sources that it lacks. volume: hourly bars
-    (symbol, ts, volume, quote_vol) for the price with most volume up to the series' end; seconds: a bar's length."""
-    s = summary(bars, n)
-    if volume is not None:
-        width = s.where("valid and atr > 0").select("symbol", (POC_BUCKET * F.col("atr")).alias("width"), (F.col("last_ts") + F.make_dt_interval(secs=F.lit(float(seconds)))).alias("end"))
-        poc = B.poc(volume, width).join(width, "symbol").select("symbol", F.col("point").alias("poc"), F.col("width").alias("poc_width"))
-        s = s.join(poc, "symbol", "left")
-    else:
-        s = s.withColumns({"poc": F.lit(None).cast("double"), "poc_width": F.lit(None).cast("double")})
+def summaries(bars: DataFrame, n: int = X.SLICE) -> DataFrame:
+    """For every bar what `summary` has of its series cut there (but the series itself and the pivots' times), by windows over one sort: pivots
+    count from PIVOT_BARS after them, and nothing later than the bar does. The last day's and week's extremes are taken from all of their bars,
+    which must lie within the last n bars for the same result."""
+    w, slice_ = X.series(), X.rows(n)
+    b = O.pivots(bars.select("symbol", "ts", "open", "high", "low", "close"), PIVOT_BARS)
+    b = b.withColumns({"fine": _fine(), "before": F.lag("close").over(w), "bar": F.row_number().over(w) - 1, "first": F.lag("close", 2).over(w)})
+    seen = w.rowsBetween(-(n - 1 - PIVOT_BARS), -PIVOT_BARS)
+    member = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("price"), F.col("bar").cast("int").alias("bar"), F.lit(None).cast("timestamp_ntz").alias("ts")))).over(seen)
+    b = b.withColumns({
+        "bars": F.count(F.lit(1)).over(slice_), "_fine15": F.min(F.col("fine").cast("int")).over(X.rows(ATR_BARS + 1)), "_fine_all": F.min(F.col("fine").cast("int")).over(slice_),
+        "atr": F.avg(_range_of_bar()).over(X.rows(ATR_BARS)), "highs": member("pivot_high"), "lows": member("pivot_low"), "_closes": F.collect_list("close").over(slice_),
+        "range_hi": F.percentile("high", RANGE_HIGH).over(X.rows(RANGE_BARS)), "range_lo": F.percentile("low", RANGE_LOW).over(X.rows(RANGE_BARS)),
+    })
+    for name, unit in (("day", 1), ("week", 7)):
+        # the days since a Monday, so that weeks are whole sevens
+        b = b.withColumn("_p", F.floor((F.date_diff(F.to_date("ts"), F.lit("1970-01-05").cast("date"))) / unit))
+        past = X.W.partitionBy("symbol").orderBy("_p").rangeBetween(-1, -1)
+        b = b.withColumns({f"{name}_hi": F.max("high").over(past), f"{name}_lo": F.min("low").over(past)})
+    enough = F.col("bars") > ATR_BARS
+    return b.withColumns({"valid": (F.col("_fine15") == 1) & enough, "all_fine": F.col("_fine_all") == 1, "price": F.col("close"), "emas": _emas(F.col("_closes"))}).drop("_p", "_fine15", "_fine_all", "_closes", "pivot_high", "pivot_low", "fine", "before", "open", "high", "low", "close")
+
+
+def _fine() -> Column:
+    """Whether a bar's prices are numbers in their order."""
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    ordered = (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high"))
+    return F.coalesce(ordered & known("high") & known("low") & known("open") & known("close"), F.lit(False))
+
+
+def _range_of_bar() -> Column:
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("before")), F.abs(F.col("low") - F.col("before")))
+
+
+def _emas(closes: Column) -> Column:
+    """struct of the exponential means of EMAS over closes in order, seeded with the first: one pass."""
+    start = F.struct(*[F.get(closes, F.lit(0)).alias(f"e{k}") for k in EMAS])
+    rates = {k: 2.0 / (k + 1) for k in EMAS}
+    put = lambda m, x: F.struct(*[(F.lit(1 - a) * m[f"e{k}"] + F.lit(a) * x).alias(f"e{k}") for k, a in rates.items()])
+    return F.aggregate(F.slice(closes, F.lit(2), F.greatest(F.size(closes), F.lit(1))), start, put)
+
+
+def poc_of(hours: Column, width: Column, end: Column, span: int = 240, cover: float = 0.8, lag_hours: int = 2) -> Column:
+    """The middle of the price bucket with most volume, of an array of struct(slot, price, volume) of hours up to `end`: bars.poc for one row. The
+    lower bucket on a tie; null where hours lack. slot, end: seconds."""
+    last = end - 3600
+    mine = F.filter(hours, lambda h: (h["slot"] <= last) & (h["slot"] >= last - 3600 * (span - 1)))
+    dealt = F.array_sort(F.transform(mine, lambda h: F.struct(F.floor(h["price"] / width).alias("b"), h["volume"].cast("double").alias("v"))))
+    state = lambda b, v, best, most: F.struct(b.cast("long").alias("b"), v.alias("v"), best.cast("long").alias("best"), most.alias("most"))
+    flushed = lambda s: (F.when(s["v"] > s["most"], s["b"]).otherwise(s["best"]), F.greatest(s["v"], s["most"]))
+
+    def put(s: Column, x: Column) -> Column:
+        best, most = flushed(s)
+        return F.when(x["b"] == s["b"], state(s["b"], s["v"] + x["v"], s["best"], s["most"])).otherwise(state(x["b"], x["v"], best, most))
+
+    none = state(F.lit(None), F.lit(0.0), F.lit(None), F.lit(0.0))
+    found = F.aggregate(dealt, none, put, lambda s: flushed(s)[0])
+    ok = (F.size(mine) >= cover * span) & (F.array_max(F.transform(mine, lambda h: h["slot"])) >= last - 3600 * lag_hours)
+    return F.when(ok, (found + 0.5) * width)
+
+
+def zones_of(s: DataFrame) -> DataFrame:
+    """`zones` (disjoint, in order) and `degraded` (the reasons for sources that lack) of every row, from the columns of `summary` or `summaries`,
+    poc and poc_width: projections only, whatever a row stands for."""
     atr, price, bars_ = F.col("atr"), F.col("price"), F.col("bars")
-    close = F.transform("series", lambda x: x["close"])
-    ema = lambda span: F.aggregate(F.slice(close, F.lit(2), F.greatest(bars_.cast("int"), F.lit(1))), F.get(close, F.lit(0)), lambda m, x: (1 - 2.0 / (span + 1)) * m + 2.0 / (span + 1) * x)
     s = s.withColumns({
         "ok": F.coalesce(F.col("valid") & (atr > 0), F.lit(False)), "pivots_ok": F.col("all_fine") & (bars_ >= 2 * PIVOT_BARS + 1),
-        **{f"ema{k}": F.when(bars_ >= k, ema(k)) for k in EMAS}, **{k: F.when(bars_ >= RANGE_BARS, F.col(k)) for k in ("range_hi", "range_lo")},
+        **{f"ema{k}": F.when(bars_ >= k, F.col(f"emas.e{k}")) for k in EMAS}, **{k: F.when(bars_ >= RANGE_BARS, F.col(k)) for k in ("range_hi", "range_lo")},
     })
-
-    # a row for each point and each group of pivots, then all of a series together again
     side = lambda x: F.when(price >= x, "support").otherwise("resistance")
     edges = {f"{p}_{e}": f"{c}_{e}" for p, c in (("range", "range"), ("prev_day", "day"), ("prev_week", "week")) for e in ("hi", "lo")}
     bottom = F.col("poc") - F.col("poc_width") / 2
-    point = lambda k, x, role, lo=None, hi=None: F.struct(F.lit(k).alias("kind"), x.alias("point"), role.alias("role"), (x if lo is None else lo).alias("lo"), (x if hi is None else hi).alias("hi"))
-    points = [point(f"ema{k}", F.col(f"ema{k}"), side(F.col(f"ema{k}"))) for k in EMAS]
-    points += [point(k, F.col(c), F.lit("resistance" if k.endswith("hi") else "support")) for k, c in edges.items()]
-    points.append(point("poc", F.col("poc"), side(F.col("poc")), bottom, bottom + F.col("poc_width")))
-    p = s.where("ok").select("symbol", "atr", F.posexplode(F.array(*points)).alias("seq", "p")).where("p.point is not null")
-    p = p.select("symbol", (F.col("seq") + 100).alias("seq"), around(F.col("p.point"), F.col("p.kind"), F.col("p.role"), atr, F.col("p.lo"), F.col("p.hi")).alias("z"))
-    sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("role"), F.col(c).alias("members")) for k, r, c in (("pivot_high", "resistance", "highs"), ("pivot_low", "support", "lows"))])
-    g = s.where("ok and pivots_ok").select("symbol", "atr", F.posexplode(sides).alias("side", "p"))
-    g = g.select("symbol", "atr", "side", "p.kind", "p.role", F.posexplode(newest(F.col("p.members"), atr)).alias("k", "c"))
-    g = g.select("symbol", (F.col("side") * PER_SIDE + F.col("k")).alias("seq"), of_cluster(F.col("c"), F.col("kind"), F.col("role"), atr).alias("z"))
-    found = p.union(g).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "z"))), lambda x: x["z"]).alias("_all"))
-    s = s.join(found, "symbol", "left").withColumn("_all", F.coalesce("_all", F.array().cast(f"array<{ZONE}>")))
+    points = [(f"ema{k}", F.col(f"ema{k}"), side(F.col(f"ema{k}")), None, None) for k in EMAS]
+    points += [(k, F.col(c), F.lit("resistance" if k.endswith("hi") else "support"), None, None) for k, c in edges.items()]
+    points.append(("poc", F.col("poc"), side(F.col("poc")), bottom, bottom + F.col("poc_width")))
+    of_points = F.array_compact(F.array(*[F.when(x.isNotNull() & F.col("ok"), around(x, F.lit(k), role, atr, lo, hi)) for k, x, role, lo, hi in points]))
+    use = F.col("ok") & F.col("pivots_ok")
+    none = F.array().cast(f"array<{MEMBER}>")
+    for c in ("highs", "lows"):
+        s = s.withColumn(f"_{c}", newest(F.when(use, F.col(c)).otherwise(none), atr))
+    of_side = lambda c, kind, role: F.transform(f"_{c}", lambda m: of_cluster(m, F.lit(kind), F.lit(role), atr))
+    s = s.withColumn("_all", F.concat(of_side("highs", "pivot_high", "resistance"), of_side("lows", "pivot_low", "support"), of_points))
     s = disjoint(s.withColumn("_merged", merged(F.col("_all"), atr)), "_merged", "zones")
-
     lacks = {
         "pivot_history_insufficient": bars_ < 2 * PIVOT_BARS + 1, "pivot_invalid_ohlc": (bars_ >= 2 * PIVOT_BARS + 1) & ~F.col("all_fine"),
         "pivot_high_unavailable": F.col("pivots_ok") & (F.size("highs") == 0), "pivot_low_unavailable": F.col("pivots_ok") & (F.size("lows") == 0),
@@ -197,12 +241,39 @@ def levels(bars: DataFrame, volume: DataFrame | None = None, n: int = X.SLICE, s
         "prev_day_history_insufficient": F.col("day_hi").isNull(), "prev_week_history_insufficient": F.col("week_hi").isNull(), "poc_missing": F.col("poc").isNull(), "no_levels": F.size("zones") == 0,
     }
     told = F.when(~F.col("ok"), F.array(F.lit("no_atr"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in lacks.items()])))
-    return s.select("symbol", "atr", "bars", "series", "zones", told.alias("degraded"))
+    return s.withColumn("degraded", told).drop("_all", "_merged", "_highs", "_lows")
+
+
+def levels(bars: DataFrame, volume: DataFrame | None = None, n: int = X.SLICE, seconds: int = 3600) -> DataFrame:
+    """(symbol, last_ts, atr, bars, price, first, series, zones, degraded): the disjoint zones of every series at its last bar and the reasons for sources
+    that it lacks. volume: hourly bars (symbol, ts, volume, quote_vol) for the price with most volume up to the series' end; seconds: a bar's length."""
+    s = summary(bars, n)
+    end = F.unix_seconds(F.col("last_ts").cast("timestamp")) + seconds
+    if volume is None:
+        s = s.withColumn("hours", F.lit(None).cast("array<struct<slot:bigint,price:double,volume:double>>"))
+    else:
+        slots = hours_of(volume)
+        recent = X.W.partitionBy("symbol").orderBy(F.desc("slot"))
+        # of a series' hours only those of the last days before its end count: met by the summary, which is a row a series
+        near = slots.join(s.select("symbol", end.alias("end")), "symbol").where("slot < end and slot >= end - 3600 * 240").withColumn("_k", F.row_number().over(recent)).where("_k <= 240")
+        s = s.join(near.groupBy("symbol").agg(F.collect_list(F.struct("slot", "price", "volume")).alias("hours")), "symbol", "left")
+    width = F.when(F.col("valid") & (F.col("atr") > 0), POC_BUCKET * F.col("atr"))
+    s = s.withColumns({"poc": poc_of(F.col("hours"), width, end), "poc_width": width, "emas": _emas(F.transform("series", lambda x: x["close"]))})
+    s = s.withColumn("first", F.try_element_at("series", F.lit(-3))["close"])
+    return zones_of(s).select("symbol", "last_ts", "atr", "bars", "price", "first", "series", "zones", "degraded")
+
+
+def hours_of(volume: DataFrame) -> DataFrame:
+    """(symbol, slot, price, volume) of hourly bars with volume: when the hour begins in seconds and its mean price."""
+    slot = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = volume.where("volume > 0 and quote_vol > 0")
+    return rows.select("symbol", (slot - F.pmod(slot, F.lit(3600))).alias("slot"), (F.col("quote_vol") / F.col("volume")).alias("price"), F.col("volume").cast("double").alias("volume"))
 
 
 def extract_levels(bars: DataFrame, volume: DataFrame | None = None, n: int = X.SLICE) -> DataFrame:
     """Disjoint zones of every series as rows, with how often their pivots and other bars have touched them."""
-    s = levels(bars, volume, n).select("symbol", "atr", "bars", "series", "degraded", F.explode("zones").alias("z"))
+    # explode_outer: the optimizer would infer a filter on the array from explode and build all zones a second time for it
+    s = levels(bars, volume, n).select("symbol", "atr", "bars", "series", "degraded", F.explode_outer("zones").alias("z")).where("z is not null")
     inside = F.filter("z.members", lambda m: m["price"].between(F.col("z.lo"), F.col("z.hi")))
     s = s.withColumn("inside", inside).withColumn("hits", F.transform("series", lambda x: F.coalesce((x["high"] >= F.col("z.lo")) & (x["low"] <= F.col("z.hi")), F.lit(False))))
     entries = F.filter(F.transform("hits", lambda h, i: h & ~F.coalesce(F.get("hits", i - 1) & (i > 0), F.lit(False))), lambda x: x)

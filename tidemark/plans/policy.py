@@ -66,47 +66,56 @@ _KINDS = ("pivot_high", "pivot_low", "ema21", "ema200", "range_lo", "range_hi",
 _REGIMES = ("trend_up", "trend_down", "range", "squeeze", "high_vol_chop", "none")
 
 
-def _cells(spark):
-    """Every cell of the decision table."""
-    kinds, regimes = F.array(*[F.lit(x) for x in _KINDS]), F.array(*[F.lit(x) for x in _REGIMES])
-    c = spark.range(1).select(F.explode(regimes).alias("regime")).select("regime", F.explode(F.array(F.lit("support"), F.lit("resistance"))).alias("role"))
-    c = c.select("regime", "role", F.explode(kinds).alias("kind"))
-    return c.select("regime", "role", "kind", F.explode(F.array(F.lit(True), F.lit(False))).alias("flipped"))
+def _pick(names, k):
+    """One of the names by a number."""
+    return F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (F.pmod(k, F.lit(len(names))) + 1).cast("int"))
 
 
-_CELLS = "c AS (SELECT * FROM (SELECT unnest(['" + "','".join(_REGIMES) + "']) AS regime), (SELECT unnest(['support', 'resistance']) AS role), (SELECT unnest(['" + "','".join(_KINDS) + "']) AS kind), (SELECT unnest([true, false]) AS flipped))"
+def _pick_sql(names, k):
+    return "(["+", ".join("NULL" if x is None else f"'{x}'" for x in names) + f"])[({k}) % {len(names)} + 1]"
 
 
-@query("o512_eligible", f"""WITH {_CELLS} SELECT regime, role, kind, flipped, CASE
+def _cells(spark, d):
+    """A cell of the decision table for each event."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return K.table(spark, d, "events").select("event_id", _pick(_REGIMES, e).alias("regime"), _pick(("support", "resistance"), F.floor(e / 6)).alias("role"), _pick(_KINDS, u).alias("kind"), (F.floor(e / 12) % 2 == 0).alias("flipped"))
+
+
+_CELLS = f"c AS (SELECT event_id, {_pick_sql(_REGIMES, 'event_id')} AS regime, {_pick_sql(('support', 'resistance'), 'event_id // 6')} AS role, {_pick_sql(_KINDS, 'user_id')} AS kind, event_id // 12 % 2 = 0 AS flipped FROM events)"
+
+
+@query("o512_eligible", f"""WITH {_CELLS} SELECT event_id, CASE
   WHEN regime = 'trend_up' AND role = 'support' THEN kind IN ('ema21', 'range_lo') OR (kind IN ('pivot_high', 'prev_day_hi') AND flipped) OR (kind = 'pivot_low' AND NOT flipped)
   WHEN regime = 'trend_up' THEN kind IN ('pivot_high', 'prev_day_hi') AND NOT flipped
   WHEN regime = 'trend_down' AND role = 'support' THEN kind = 'ema200' OR (kind IN ('pivot_low', 'prev_week_lo') AND NOT flipped)
   WHEN regime = 'trend_down' THEN kind IN ('ema21', 'ema200', 'range_hi') OR (kind IN ('pivot_low', 'prev_week_lo') AND flipped) OR (kind = 'pivot_high' AND NOT flipped)
   WHEN regime = 'none' THEN false WHEN role = 'support' THEN kind = 'range_lo' ELSE kind = 'range_hi' END AS eligible FROM c""")
 def o512(spark, d):
-    return _cells(spark).withColumn("eligible", P.eligible(F.col("regime"), F.col("role"), F.array("kind"), F.col("flipped")))
+    return _cells(spark, d).select("event_id", P.eligible(F.col("regime"), F.col("role"), F.array("kind"), F.col("flipped")).alias("eligible"))
 
 
-@query("o513_semantics", f"""WITH {_CELLS} SELECT DISTINCT regime, role, kind, CASE WHEN regime = 'trend_up' THEN CASE role WHEN 'support' THEN 'pullback_long_opportunity' ELSE 'reduce_long_not_open_short' END
+@query("o513_semantics", f"""WITH {_CELLS} SELECT event_id, CASE WHEN regime = 'trend_up' THEN CASE role WHEN 'support' THEN 'pullback_long_opportunity' ELSE 'reduce_long_not_open_short' END
   WHEN regime = 'trend_down' THEN CASE WHEN role = 'resistance' THEN 'bounce_short_opportunity' WHEN kind = 'ema200' THEN 'deep_long_requires_second_confirmation' ELSE 'prior_low_support_not_tradeable' END
   WHEN regime = 'range' THEN 'range_edge_opportunity' WHEN regime = 'squeeze' THEN 'wait_for_confirmed_breakout' ELSE 'high_vol_reduce_frequency' END AS meaning,
   (regime = 'trend_up' AND role = 'support') OR (regime = 'trend_down' AND (role = 'resistance' OR kind = 'ema200')) OR regime = 'range' AS tradeable,
   CASE WHEN regime = 'trend_up' AND role = 'support' THEN 'from_above' WHEN regime = 'trend_down' AND role = 'resistance' THEN 'from_below' END AS required FROM c""")
 def o513(spark, d):
     m = P.semantics(F.col("regime"), F.col("role"), F.array("kind"))
-    return _cells(spark).select("regime", "role", "kind", m.alias("m")).select("regime", "role", "kind", "m.*").distinct()
+    return _cells(spark, d).select("event_id", m.alias("m")).select("event_id", "m.*")
 
 
-def _points(spark, d):
-    recent = latest_n(K.bars_1h(spark, d), ["symbol"], 2 * X.SLICE)  # what the last bar's features and ranks look back on
-    b = S.inputs(recent).withColumn("first", F.lag("close", 2).over(X.series()))
-    last = latest_n(S.classify(b), ["symbol"], 1)
-    return last.select("symbol", F.col("close").alias("price"), "atr", F.col("state").alias("regime"), "first")
+def _now(states):
+    """Each series' last row."""
+    return latest_n(states, ["symbol"], 1)
 
 
 @query("o514_locate")
 def o514(spark, d):
-    return P.locate(_points(spark, d), _levels(spark, d))
+    """Where each series stands at its last hour, in its confirmed state."""
+    bars = K.bars_1h(spark, d)
+    levels = Z.levels(bars, bars)
+    points = levels.select("symbol", "price", "atr", "first").join(_now(tracking.states_of(bars)).select("symbol", F.col("state").alias("regime")), "symbol", "left")
+    return P.locate(points, levels)
 
 
 _VOTES = "v AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'at_support' WHEN 1 THEN 'at_resistance' ELSE 'middle' END AS \"at\", CASE event_id % 4 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS z4, CASE event_id % 5 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS zd, CASE event_id % 7 WHEN 0 THEN 'over' WHEN 1 THEN 'under' WHEN 2 THEN 'between' END AS zh FROM events)"
@@ -123,11 +132,14 @@ def o515(spark, d):
     return _votes(spark, d).select("event_id", P.resonance(F.col("at"), F.col("z4"), F.col("zd"), F.col("zh")).alias("r")).select("event_id", "r.*")
 
 
-@query("o516_regime_conflict", "SELECT a, b, CASE WHEN a <> b AND (a LIKE 'trend%' OR b LIKE 'trend%') THEN CASE WHEN a = 'trend_up' AND b = 'trend_down' THEN 'bounce_against_trend' WHEN a = 'trend_down' AND b = 'trend_up' THEN 'dip_against_trend' ELSE 'states_differ' END END AS conflict FROM (SELECT unnest(['trend_up', 'trend_down', 'range', 'squeeze']) AS a), (SELECT unnest(['trend_up', 'trend_down', 'range', 'squeeze']) AS b)")
+_R4 = ("trend_up", "trend_down", "range", "squeeze", None)
+_PAIRS = f"p AS (SELECT event_id, {_pick_sql(_R4, 'event_id')} AS a, {_pick_sql(_R4, 'user_id')} AS b FROM events)"
+
+
+@query("o516_regime_conflict", with_(_PAIRS) + "SELECT event_id, CASE WHEN a <> b AND (a LIKE 'trend%' OR b LIKE 'trend%') THEN CASE WHEN a = 'trend_up' AND b = 'trend_down' THEN 'bounce_against_trend' WHEN a = 'trend_down' AND b = 'trend_up' THEN 'dip_against_trend' ELSE 'states_differ' END END AS conflict FROM p")
 def o516(spark, d):
-    names = F.array(*[F.lit(x) for x in ("trend_up", "trend_down", "range", "squeeze")])
-    c = spark.range(1).select(F.explode(names).alias("a")).select("a", F.explode(names).alias("b"))
-    return c.withColumn("conflict", P.regime_conflict(F.col("a"), F.col("b")))
+    e = K.table(spark, d, "events")
+    return e.select("event_id", P.regime_conflict(_pick(_R4, F.col("event_id")), _pick(_R4, F.col("user_id"))).alias("conflict"))
 
 
 @query("o517_crsi_snapshot")
@@ -143,18 +155,27 @@ def o518(spark, d):
     return _votes(spark, d).select("event_id", p.alias("play"))
 
 
+def _setups(spark, d):
+    """Setups of the 4-hour series at their last bar, with days and hours beside them and volatility from the events' values."""
+    hours = K.bars_1h(spark, d)
+    bars, days = _four_hours(hours), B.resample(hours, 86_400, 24)
+    iv = K.table(spark, d, "events").groupBy(F.col("event_type").alias("symbol")).agg((F.avg("value") / 10).alias("iv"), F.max_by(F.col("value") / 20, "event_id").alias("iv_rank"), F.lit(2.5).alias("tenor"), F.lit("nearest").alias("method"), (F.count_if(F.col("value") > 15) % 15).cast("int").alias("event_days"))
+    return P.build_setups(Z.levels(bars, hours, seconds=14_400), tracking.states_of(bars), tracking.states_of(days), *map(S.cyclic_rsi, (bars, days, hours)), iv)
+
+
+def _four_hours(hours):
+    return B.resample(hours, 14_400, 4).select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
 @query("o519_build_setups")
 def o519(spark, d):
-    bars = K.bars_1h(spark, d)
-    votes = {"main": bars, "slow": B.resample(bars, 14_400, 4), "fast": bars}  # the test tables' one timeframe and a coarser one
-    osc = {k: P.oscillator_now(S.cyclic_rsi(b)) for k, b in votes.items()}
-    return P.build_setups(P.locate(_points(spark, d), _levels(spark, d)), osc["main"], osc["slow"], osc["fast"])
+    return _setups(spark, d)
 
 
 _STOP = "CASE WHEN close < 10 THEN close - 0.5 * atr - 0.25 * atr ELSE close + 0.5 * atr + 0.25 * atr END"
 
 
-@query("o520_structural_stop", BASE + f"SELECT symbol, ts, round({_STOP}, 6) AS stop FROM base WHERE atr > 0")
+@query("o520_structural_stop", BASE + f"SELECT symbol, ts, round(CASE WHEN {_STOP} > 0 THEN {_STOP} END, 6) AS stop FROM base WHERE atr > 0")
 def o520(spark, d):
     c, a = F.col("close"), F.col("atr")
     side = F.when(c < 10, "long").otherwise("short")
@@ -173,9 +194,18 @@ def o522(spark, d):
     return K.table(spark, d, "events").select("event_id", r6(iv, "iv")).where("iv is not null")
 
 
-@query("o523_vol_notes", "SELECT event_id, array_to_string(list_filter([CASE WHEN value / 20 >= 0.85 THEN 'iv_high' END, CASE WHEN user_id % 15 BETWEEN 0 AND 3 THEN 'event_near' END, CASE WHEN user_id % 15 BETWEEN 4 AND 10 THEN 'event_ahead' END], lambda x: x IS NOT NULL), ',') AS notes FROM events")
+@query("o523_vol_notes", """WITH v AS (SELECT event_id, value / 20 AS rank, user_id % 15 AS days, CASE WHEN event_id % 4 > 0 THEN value END AS iv, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 3.0 ELSE event_id % 5 + 0.5 END::DOUBLE AS tenor,
+  CASE event_id % 3 WHEN 0 THEN 'nearest' WHEN 1 THEN 'interp' END AS method, event_id % 7 = 0 AS inverted, event_id % 2 = 0 AS uncertain FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN iv > 0 THEN CASE WHEN method = 'nearest' AND coalesce(tenor, 3) <> 3 THEN 'expected_move_at_actual_tenor' WHEN method = 'interp' THEN 'expected_move_interpolated' ELSE 'expected_move' END END,
+  CASE WHEN rank > 0.85 THEN 'iv_high' END, CASE WHEN inverted THEN CASE WHEN method = 'nearest' THEN 'near_tenor_inverted' ELSE 'term_inverted' END END,
+  CASE WHEN days BETWEEN 0 AND 3 THEN CASE WHEN uncertain THEN 'event_near_uncertain' ELSE 'event_near' END WHEN days BETWEEN 4 AND 10 THEN 'event_ahead' END], lambda x: x IS NOT NULL), ',') AS notes,
+  round(CASE WHEN iv > 0 THEN iv * sqrt(coalesce(tenor, 3) / 365) END, 6) AS expected_move FROM v""")
 def o523(spark, d):
-    return K.table(spark, d, "events").select("event_id", F.array_join(P.vol_notes(F.col("value") / 20, F.col("user_id") % 15), ",").alias("notes"))
+    e = F.col("event_id")
+    iv, tenor = F.when(e % 4 > 0, F.col("value")), F.when(e % 5 == 1, 3.0).when(e % 5 > 1, e % 5 + 0.5)
+    method = F.when(e % 3 == 0, "nearest").when(e % 3 == 1, "interp")
+    notes = P.vol_notes(F.col("value") / 20, F.col("user_id") % 15, iv, tenor, method, e % 7 == 0, e % 2 == 0)
+    return K.table(spark, d, "events").select("event_id", F.array_join(notes, ",").alias("notes"), r6(P.expected_move(iv, tenor), "expected_move"))
 
 
 _CHAIN = "ch AS (SELECT 'u' || (user_id % 12) AS symbol, CAST(([1.0, 2.0, 5.0, 9.0])[event_id % 4 + 1] AS DOUBLE) AS expiry_days, (event_id % 23 + 80)::DOUBLE AS strike, 90.0::DOUBLE AS spot, value / 10 AS iv FROM events WHERE value > 0.5)"
@@ -207,10 +237,7 @@ def o526(spark, d):
 
 @query("o527_overview")
 def o527(spark, d):
-    bars = K.bars_1h(spark, d)
-    osc = P.oscillator_now(S.cyclic_rsi(bars))
-    setups = P.build_setups(P.locate(_points(spark, d), _levels(spark, d)), osc, osc, osc)
-    return P.overview(setups)
+    return P.overview(_setups(spark, d))
 
 
 @query("o528_term_block", with_(_CHAIN) + "SELECT symbol, round(avg(iv) FILTER (expiry_days <= 2), 6) AS near_iv, round(avg(iv) FILTER (expiry_days > 2), 6) AS far_iv, round(avg(iv) FILTER (expiry_days <= 2) / avg(iv) FILTER (expiry_days > 2), 6) AS slope FROM ch GROUP BY symbol")
@@ -224,29 +251,51 @@ def o529(spark, d):
     return K.table(spark, d, "events").select("event_id", F.round(P.funding_per_year(F.col("value"), F.col("user_id") % 3 * 4), 5).alias("apr"))
 
 
-@query("o531_reading", "SELECT a, b, CASE WHEN a IS NULL THEN 'missing 1d: ' ELSE '' END || CASE WHEN a LIKE 'trend%' AND b = a THEN 'aligned_trend' WHEN a LIKE 'trend%' AND b LIKE 'trend%' THEN 'opposed_trends' WHEN a LIKE 'trend%' THEN 'trend_resting' WHEN b LIKE 'trend%' THEN 'young_trend' WHEN b = 'squeeze' THEN 'coiled' ELSE 'range' END AS reading FROM (SELECT unnest(['trend_up', 'trend_down', 'range', NULL]) AS a), (SELECT unnest(['trend_up', 'trend_down', 'range', 'squeeze']) AS b)")
-def o531(spark, d):
-    a = F.array(*[F.lit(x).cast("string") for x in ("trend_up", "trend_down", "range", None)])
-    b = F.array(*[F.lit(x) for x in ("trend_up", "trend_down", "range", "squeeze")])
-    c = spark.range(1).select(F.explode(a).alias("a")).select("a", F.explode(b).alias("b"))
-    return c.withColumn("reading", P.reading(F.col("a"), F.col("b"), F.lit("range")))
-
-
-_SETUPS = "se AS (SELECT symbol, ts, CASE WHEN close < 6 THEN 'at_support' ELSE 'at_resistance' END AS \"at\", 'range' AS regime, round(abs(close - 10), 6) AS gap, volume % 2 = 0 AS main_ok FROM bars_1h WHERE close < 6 OR close > 14)"
+_TIMEFRAMES = ("trend_up", "trend_down", "range", "squeeze", "high_vol_chop", None)
+_READ = f"x AS (SELECT event_id, {_pick_sql(_TIMEFRAMES, 'event_id')} AS d, {_pick_sql(_TIMEFRAMES, 'event_id // 6')} AS h, {_pick_sql(_TIMEFRAMES, 'user_id')} AS m FROM events)"
 
 
-@query("o424_setup_runs", with_(BARS_1H, _SETUPS) + """, n AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol, "at", regime ORDER BY ts)) <= 7200 THEN 0 ELSE 1 END AS nw FROM se),
-r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, "at", regime ORDER BY ts) AS run FROM n), e AS (SELECT symbol, max(ts) AS last FROM se GROUP BY symbol),
-g AS (SELECT symbol, "at", regime, run::BIGINT AS run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS bars, CASE WHEN count(*) > 1 THEN regr_slope(gap, epoch(ts) / 3600.0) END AS slope, arg_max(main_ok, ts) AS main_ok, arg_max(gap, ts) AS gap FROM r GROUP BY 1, 2, 3, 4)
-SELECT symbol, "at", regime, run, first_ts, last_ts, bars, round(slope, 4) AS slope, main_ok, gap, CASE WHEN last_ts < e.last THEN 'expired' WHEN main_ok THEN 'ripe' WHEN bars >= 4 THEN 'matured' ELSE 'brewing' END AS status FROM g JOIN e USING (symbol)""")
+# the rules in the order in which they are asked, the first that holds answers
+@query("o531_reading", with_(_READ) + """SELECT event_id, coalesce('missing ' || nullif(concat_ws(',', CASE WHEN d IS NULL THEN '1d' END, CASE WHEN h IS NULL THEN '4h' END, CASE WHEN m IS NULL THEN '1h' END), '') || ': ', '') || CASE
+  WHEN d IS NULL OR h IS NULL THEN 'too_few_timeframes'
+  WHEN d IN ('trend_up', 'trend_down') AND d = h AND m = d THEN 'three_aligned' WHEN d IN ('trend_up', 'trend_down') AND d = h AND m IS NULL THEN 'two_aligned'
+  WHEN d = 'trend_up' AND h IN ('range', 'squeeze') THEN 'uptrend_resting' WHEN d = 'trend_down' AND h IN ('range', 'squeeze') THEN 'downtrend_resting'
+  WHEN d IN ('trend_up', 'trend_down') AND h IN ('trend_up', 'trend_down') AND d <> h THEN 'opposed_trends' WHEN d = 'squeeze' THEN 'daily_squeeze' WHEN d = 'range' AND h = 'squeeze' THEN 'range_coiled'
+  WHEN d = 'high_vol_chop' OR h = 'high_vol_chop' THEN 'chop' ELSE 'background_and_place' END AS reading FROM x""")
+def o531(spark, d):
+    e = F.col("event_id")
+    r = P.reading(_pick(_TIMEFRAMES, e), _pick(_TIMEFRAMES, F.floor(e / 6)), _pick(_TIMEFRAMES, F.col("user_id")))
+    return K.table(spark, d, "events").select("event_id", r.alias("reading"))
+
+
+_SETUPS = """se AS (SELECT symbol, ts, CASE WHEN close < 6 THEN 'at_support' ELSE 'at_resistance' END AS "at", CASE WHEN hour(ts) < 20 THEN 'range' ELSE 'trend_up' END AS regime, CASE WHEN volume % 7 > 0 THEN close * 6 - 10 END AS pos,
+  CASE WHEN volume % 5 > 0 THEN close END AS crsi, volume % 3 = 0 AS main_ok, max(ts) OVER (PARTITION BY symbol) AS observed FROM bars_1h QUALIFY close < 6 OR close > 14)"""
+
+
+# row by row as in a loop over a symbol's setups: a run breaks with any row of another place or regime, off the grid, or beyond one missing bar
+@query("o424_setup_runs", with_(BARS_1H, _SETUPS) + """, n AS (SELECT *, epoch(ts)::BIGINT AS e, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER w AS d, lag("at") OVER w AS at0, lag(regime) OVER w AS regime0 FROM se WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+r AS (SELECT *, sum(CASE WHEN at0 = "at" AND regime0 = regime AND d > 0 AND d % 3600 = 0 AND d // 3600 - 1 <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts) AS run,
+  CASE WHEN "at" = 'at_support' THEN greatest(0.0, coalesce(pos, crsi)) ELSE greatest(0.0, 100.0 - coalesce(pos, crsi)) END AS raw_gap FROM n),
+f AS (SELECT *, CASE WHEN coalesce(pos, crsi) IS NOT NULL THEN raw_gap END AS gap FROM r),
+x AS (SELECT *, (e - min(e) OVER (PARTITION BY symbol, run)) / 3600.0::DOUBLE AS x, CASE WHEN gap IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, run, gap IS NULL ORDER BY ts DESC) END AS back FROM f),
+g AS (SELECT symbol, run, any_value("at") AS "at", any_value(regime) AS regime, min(ts) AS first_ts, max(ts) AS last_ts, min(e) AS e0, max(e) AS e1, count(*) AS setup_bars, arg_min(crsi, ts) FILTER (crsi IS NOT NULL) AS crsi_first, arg_max(crsi, ts) FILTER (crsi IS NOT NULL) AS crsi_last,
+  CASE WHEN count(crsi) > 0 THEN CASE WHEN count(crsi) > 1 THEN regr_slope(crsi, x) ELSE 0 END END AS crsi_slope, arg_max(gap, ts) FILTER (gap IS NOT NULL) AS gap_now,
+  CASE WHEN count(gap) > 0 THEN CASE WHEN count(gap) FILTER (back <= 4) > 1 THEN regr_slope(gap, x) FILTER (back <= 4) ELSE 0 END END AS gap_slope, bool_or(main_ok) AS ever_main_ok, arg_max(main_ok, ts) AS ok, max(epoch(observed))::BIGINT AS seen FROM x GROUP BY symbol, run)
+SELECT symbol, run::BIGINT AS run, "at", regime, first_ts, last_ts, (e1 - e0) // 3600 + 1 AS bars, setup_bars, crsi_first, crsi_last, round(crsi_slope, 3) + 0 AS crsi_slope, round(gap_now, 2) AS gap_now, round(gap_slope, 3) + 0 AS gap_slope,
+  CASE WHEN coalesce(gap_slope, 0) <= -1 THEN 'closing' WHEN coalesce(gap_slope, 0) >= 1 THEN 'opening' ELSE 'flat' END AS gap_trend, ever_main_ok,
+  CASE WHEN run < max(run) OVER (PARTITION BY symbol) OR (max(seen) OVER (PARTITION BY symbol) - e1) // 3600 > 1 THEN 'expired' WHEN ok THEN 'ripe' WHEN ever_main_ok THEN 'matured' ELSE 'brewing' END AS status FROM g""")
 def o424(spark, d):
-    b = K.bars_1h(spark, d).where("close < 6 or close > 14")
-    s = b.select("symbol", "ts", F.when(F.col("close") < 6, "at_support").otherwise("at_resistance").alias("at"), F.lit("range").alias("regime"), F.round(F.abs(F.col("close") - 10), 6).alias("gap"), (F.col("volume") % 2 == 0).alias("main_ok"))
-    return P.runs(s, 3600).select("symbol", "at", "regime", "run", "first_ts", "last_ts", "bars", F.round("slope", 4).alias("slope"), "main_ok", "gap", "status")
+    b = K.bars_1h(spark, d).withColumn("observed", F.max("ts").over(X.W.partitionBy("symbol")))
+    c, v = F.col("close"), F.col("volume")
+    s = b.where("close < 6 or close > 14").select(
+        "symbol", "ts", F.when(c < 6, "at_support").otherwise("at_resistance").alias("at"), F.when(F.hour("ts") < 20, "range").otherwise("trend_up").alias("regime"), F.when(v % 7 > 0, c * 6 - 10).alias("pos"), F.when(v % 5 > 0, c).alias("crsi"), (v % 3 == 0).alias("main_ok"), "observed"
+    )
+    rounded = {"crsi_slope": F.round("crsi_slope", 3) + 0.0, "gap_now": F.round("gap_now", 2), "gap_slope": F.round("gap_slope", 3) + 0.0}  # + 0: no negative zero
+    return P.runs(s, 3600).withColumns(rounded)
 
 
 @query("o423_walk_forward")
 def o423(spark, d):
-    """The setup of every 4-hour bar as known then, with the votes of hourly bars and of days."""
-    bars = K.bars_1h(spark, d)
-    return tracking.walk_forward(B.resample(bars, 14_400, 4).select("symbol", "ts", "open", "high", "low", "close", "volume"), B.resample(bars, 86_400, 24), bars)
+    """The setups of every 4-hour bar at a level, as known then, with hours and days beside them."""
+    hours = K.bars_1h(spark, d)
+    return tracking.placed(tracking.walk_forward(_four_hours(hours), B.resample(hours, 86_400, 24), hours, hours))
