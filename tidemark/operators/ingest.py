@@ -31,9 +31,3 @@ def blocked(results: DataFrame, symbol: str, run: str, ok: str, most: int = 2) -
     alive = results.groupBy(run).agg(F.bool_or(ok).alias("_alive")).where("_alive").select(run)
     fails = results.join(alive, run).groupBy(symbol, run).agg(F.bool_or(ok).alias("_ok")).where("not _ok")
     return fails.groupBy(symbol).agg(F.count(F.lit(1)).alias("fails")).where(F.col("fails") >= most)
-
-
-def within_scan_budget(targets: DataFrame, watermark: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """The next targets of each key after its watermark, ascending, at most `budget` in all keys together by age; always a prefix of each key's."""
-    new = targets.join(watermark, keys, "left").where("watermark is null or ts > watermark").drop("watermark")
-    return new.orderBy("ts", *keys).limit(budget)

@@ -9,6 +9,8 @@ from tidemark.sources import canonical as K
 from tidemark.sources import pages as pages_of
 from tidemark.sources import replay
 from tidemark.sources.canonical import BARS_1H, REGISTRY, with_
+from tidemark.streaming import ops as S
+from tidemark.streaming import tables as V
 
 
 @query("o024_demo_series")
@@ -40,10 +42,19 @@ def o429b(spark, d):
     return I.blocked(r, "symbol", "run", "ok")
 
 
-@query("o426_scan_budget", with_(BARS_1H) + "SELECT symbol, ts FROM bars_1h WHERE ts > CASE symbol WHEN 'view' THEN TIMESTAMP '2024-01-10' WHEN 'click' THEN TIMESTAMP '2024-01-12' ELSE TIMESTAMP '2020-01-01' END ORDER BY ts, symbol LIMIT 500")
+_TWO_CYCLES = """, n AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars_1h), c AS (SELECT symbol, max(k) AS new, row_number() OVER (ORDER BY symbol) - 1 AS i, count(*) OVER () AS of FROM n GROUP BY symbol),
+one AS (SELECT *, greatest(0, least(new, 800 - (sum(new) OVER (ORDER BY i) - new))) AS q1 FROM c), turned AS (SELECT *, new - q1 AS rest, (i - count(*) FILTER (q1 > 0) OVER () % of + of) % of AS place FROM one),
+two AS (SELECT *, greatest(0, least(rest, 800 - (sum(rest) OVER (ORDER BY place) - rest))) AS q2 FROM turned) SELECT symbol, ts, round(close, 6) AS close FROM n JOIN two USING (symbol) WHERE k <= q1 + q2 AND close < 6"""
+
+
+@query("o426_scan_budget", with_(BARS_1H) + _TWO_CYCLES)
 def o426(spark, d):
-    marks = spark.sql("SELECT symbol, cast(w AS timestamp_ntz) AS watermark FROM VALUES ('view', '2024-01-10'), ('click', '2024-01-12') AS t(symbol, w)")
-    return I.within_scan_budget(K.bars_1h(spark, d).select("symbol", "ts"), marks, ["symbol"], 500)
+    """What two cycles of 800 bars find: the second begins where the first has come to."""
+    bars = K.bars_1h(spark, d).select("symbol", "ts", "close")
+    scans = V.Scans(spark, f"{S.work_dir(spark)}/scans")
+    for _ in range(2):
+        V.cycle(scans, bars, lambda todo: todo.join(bars, ["symbol", "ts"]).where("close < 6"), "r1", 800)
+    return scans.results().select("symbol", "ts", F.round(F.get_json_object("found", "$.close").cast("double"), 6).alias("close"))
 
 
 def _summary(spark, d):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
+from tidemark.operators import features as O
 from tidemark.operators import spectrum as G
 from tidemark.operators import text as T
 from tidemark.plans.features import r6
@@ -10,6 +11,8 @@ from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
 from tidemark.sources.canonical import BARS_1H, with_
 from tidemark.streaming import ops as S
+from tidemark.streaming import pairs as P
+from tidemark.streaming import tables as V
 
 
 def _entries(spark, d):
@@ -173,8 +176,10 @@ def o808(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(spark, d):
-    return S.source(spark, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("symbol"), "value")
+def _stream(spark, d, late=1800):
+    """The events in six files, some rows late."""
+    e = K.table(spark, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("symbol"), "value")
+    return S.in_files(e, f"{S.work_dir(spark)}/events", late_seconds=late)
 
 
 _END = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -214,14 +219,25 @@ f AS (SELECT symbol, rn, ts, state, state AS cur, CAST(NULL AS VARCHAR) AS pend,
 @query("o909_stream_confirm", _CONFIRM + "SELECT symbol, cur AS confirmed, count(*) AS n, count(*) FILTER (state = 'high_vol_chop') AS n_chop FROM f GROUP BY 1, 2")
 def o909(spark, d):
     raw = F.when(F.col("value") > 12, "high_vol_chop").when(F.col("value") > 8, "trend_up").otherwise("range")
-    s = S.run(S.confirm(_stream(spark, d).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
+    s = S.run(S.confirm(_stream(spark, d, late=0).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
     return s.groupBy("symbol", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_state") == "high_vol_chop").alias("n_chop"))
 
 
 @query("o909_stream_confirmed_states", _CONFIRM + "SELECT symbol, ts, state AS raw_state, cur AS confirmed FROM f")
 def o909b(spark, d):
     raw = F.when(F.col("value") > 12, "high_vol_chop").when(F.col("value") > 8, "trend_up").otherwise("range")
-    s = S.run(S.confirm(_stream(spark, d).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
+    s = S.run(S.confirm(_stream(spark, d, late=0).select("symbol", "ts", raw.alias("raw_state"))), S.work_dir(spark))
+    return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("o909_stream_pair_states")
+def o909c(spark, d):
+    """The machine of every pair of hourly returns, fed by six files with late rows: the bars that the watermark has passed."""
+    hourly = O.panel_returns(K.bars_1h(spark, d), 3600).select("symbol", "ts", "r")
+    names = hourly.select("symbol").distinct()
+    pairs = names.select(F.col("symbol").alias("a")).join(names.select(F.col("symbol").alias("b")), F.col("a") < F.col("b"))  # the names of a panel, not rows
+    with P.rocksdb(spark):
+        s = S.run(P.pair_states(S.in_files(hourly, f"{S.work_dir(spark)}/hours", late_seconds=7200), pairs, late="2 hours"), S.work_dir(spark))
     return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -253,6 +269,53 @@ def o907(spark, d):
     return got.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("mean6"))
 
 
+_SCANNED = "WHERE ts > CASE symbol WHEN 'view' THEN TIMESTAMP '2024-01-10' WHEN 'click' THEN TIMESTAMP '2024-01-12' ELSE TIMESTAMP '2020-01-01' END"
+
+
+@query("o902_versioned_scan", with_(BARS_1H) + "SELECT symbol, ts, CASE WHEN symbol = 'view' THEN 'r1' ELSE 'r2' END AS version, round(close, 6) AS close, CASE WHEN symbol <> 'view' THEN top END AS through FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS top FROM bars_1h) WHERE CASE WHEN symbol = 'view' THEN close < 6 ELSE close < 8 END")
+def o902(spark, d):
+    """A scan of all bars by one version of the rules, then by the next of all symbols but one, and one that breaks off before its commit: at each
+    bar stands what the last committed scan found, with the second version's watermark."""
+    bars = K.bars_1h(spark, d).select("symbol", "ts", "close")
+    scans = V.Scans(spark, f"{S.work_dir(spark)}/scans")
+    at = scans.replace(scans.tables.pin(), bars, bars.where("close < 6"), "r1")
+    some = bars.where("symbol <> 'view'")
+    scans.tables.stage("rows", some.select("symbol", "ts", F.lit(9).cast("long").alias("commit"), F.lit("r3").alias("version"), F.lit("{}").alias("found")))  # broken off
+    at = scans.replace(at, some, some.where("close < 8"), "r2")
+    found = scans.results(at).select("symbol", "ts", "version", F.round(F.get_json_object("found", "$.close").cast("double"), 6).alias("close"))
+    return found.join(scans.marks("r2", at), "symbol", "left")
+
+
+@query("o903_confirmation_watermark", "WITH v AS (SELECT user_id % 50 AS name, CAST(date_trunc('day', ts) AS DATE) AS day, event_type = 'purchase' AND day(ts) < 20 AS official, event_id, value FROM events), b AS (SELECT name, day, official, arg_max(value, event_id) AS value FROM v GROUP BY 1, 2, 3), m AS (SELECT *, max(day) FILTER (official) OVER (PARTITION BY name) AS confirmed_through FROM b) SELECT name, day, official, round(value, 6) AS value, confirmed_through FROM m WHERE official OR confirmed_through IS NULL OR day > confirmed_through")
+def o903(spark, d):
+    """Official and provisional values of days arrive in six files, some late."""
+    arrived = S.upsert_latest(
+        _stream(spark, d).select((F.col("user_id") % 50).alias("name"), F.to_date("ts").alias("day"), ((F.col("symbol") == "purchase") & (F.dayofmonth("ts") < 20)).alias("official"), F.timestamp_micros(F.col("event_id")).alias("ts"), "event_id", "value"), ["name", "day", "official"], S.work_dir(spark)
+    )
+    return V.confirmed(arrived, ["name"], "day", F.col("official"), "value", "event_id").withColumn("value", F.round("value", 6))
+
+
+@query("o912_work_budget", with_(BARS_1H) + f""", n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars_1h {_SCANNED}), c AS (SELECT symbol, max(k) AS new FROM n GROUP BY symbol),
+e AS (SELECT s.symbol, coalesce(new, 0) AS new, (row_number() OVER (ORDER BY s.symbol) - 1 - 3 + 5 * count(*) OVER ()) % count(*) OVER () AS place FROM (SELECT DISTINCT symbol FROM bars_1h) s LEFT JOIN c USING (symbol)),
+q AS (SELECT symbol, place, greatest(0, least(new, 900 - (sum(new) OVER (ORDER BY place) - new))) AS quota FROM e) SELECT symbol, ts, place FROM n JOIN q USING (symbol) WHERE k <= quota""")
+def o912(spark, d):
+    """What the cycle that begins with the fourth symbol looks at."""
+    marks = spark.sql("SELECT symbol, cast(w AS timestamp_ntz) AS through FROM VALUES ('view', '2024-01-10'), ('click', '2024-01-12') AS t(symbol, w)")
+    return V.share_budget(K.bars_1h(spark, d), marks, 900, 3).select("symbol", "ts", "place")
+
+
+@query("o913_pinned_snapshot", with_(BARS_1H) + "SELECT symbol, count(*) FILTER (close < 6) AS n_found, max(ts) AS through FROM bars_1h WHERE ts < TIMESTAMP '2024-01-15' GROUP BY symbol")
+def o913(spark, d):
+    """Two tables read through one snapshot, with a writer between the two reads."""
+    bars = K.bars_1h(spark, d).select("symbol", "ts", "close")
+    first, rest = bars.where("ts < '2024-01-15'"), bars.where("ts >= '2024-01-15'")
+    scans = V.Scans(spark, f"{S.work_dir(spark)}/scans")
+    pinned = scans.replace(scans.tables.pin(), first, first.where("close < 6"), "r1")
+    found = scans.results(pinned).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_found"))
+    scans.compact(scans.replace(pinned, rest, rest.where("close < 6"), "r1"))
+    return scans.marks("r1", pinned).join(found, "symbol", "left").select("symbol", F.coalesce("n_found", F.lit(0)).alias("n_found"), "through")
+
+
 @query("o914_failures_apart", "SELECT symbol, n, CASE WHEN symbol = 'error' THEN 'ValueError: bad symbol' END AS error FROM (SELECT event_type AS symbol, CASE WHEN event_type <> 'error' THEN count(*) END AS n FROM events GROUP BY 1)")
 def o914(spark, d):
     def step(pdf):
