@@ -130,11 +130,12 @@ def audit(docs: DataFrame, *, least: int = LEAST, top: int = TOP, dense_share: f
 
 def _groups(docs: DataFrame, kept: DataFrame, dense_share: float) -> DataFrame:
     """Each group with its sum of counts and those of its language: kinds V, sum, groups (of), dense and light terms, and its p of count 0."""
-    every = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    sizes = every.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    every = C.materialize(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct(), "divergence-names")
+    sizes = C.materialize(every.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "divergence-sizes")
+    if sizes.count() <= C.BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)  # else dealing all terms by a few languages would make as few tasks
     few = (F.col("groups") <= 2) | (F.col("groups") < F.col("of") * dense_share)
     count = lambda c: F.count_if(c)
-    # a lang's number of groups is a row for each lang: small beside the terms, and joined before they are added up
     of = kept.join(sizes, "lang").groupBy("lang", "source").agg(F.sum("n").alias("total"), count(F.col("first")).alias("_kinds"), count(F.col("first") & ~few).alias("_dense"), count(few).alias("light"))
     all_of = W.partitionBy("lang")
     sums = every.join(sizes, "lang").join(of, ["lang", "source"], "left").na.fill(0, ["total", "_kinds", "_dense", "light"])
