@@ -422,11 +422,28 @@ def test_lists_and_quotes(spark):
     assert [r[0] for r in df.select(T.string_list(F.col("t"))).collect()] == [["a", "b"], None, None, None]
 
 
-def test_sql_is_one_select(spark):
-    assert S.checked_sql(spark, "SELECT 1 AS x").count() == 1
-    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2"):
+def test_sql_only_reads_what_it_may(spark, tmp_path):
+    spark.range(5).selectExpr("id AS x").createOrReplaceTempView("seen")
+    spark.range(5).createOrReplaceTempView("hidden")
+    spark.sql("DROP TABLE IF EXISTS written")
+    spark.sql("CREATE TABLE written (x bigint) USING parquet")
+    good = {
+        "SELECT 1 AS x": 1, "SELECT x FROM seen;": 5, "SELECT ';' AS a, 'drop table seen' AS b": 1, "WITH t AS (SELECT x FROM seen WHERE x > 1) SELECT t.x, s.x AS y FROM t JOIN SEEN s ON t.x = s.x": 3,
+        "SELECT x FROM seen WHERE x IN (SELECT max(x) FROM seen) UNION ALL SELECT 9": 2, "SELECT x, row_number() OVER w AS n FROM seen WINDOW w AS (ORDER BY x)": 5, "SELECT x, count(*) AS n FROM seen GROUP BY x HAVING count(*) > 0 ORDER BY x LIMIT 2": 2,
+        "SELECT a.x, e FROM seen a LATERAL VIEW explode(array(1, 2)) AS e": 10, "VALUES (1), (2)": 2, "SELECT id FROM range(3)": 3,
+    }
+    for text, n in good.items():
+        assert S.checked_sql(spark, text, ["seen"]).count() == n, text
+    bad = [
+        "DROP TABLE seen", "SELECT 1; SELECT 2", "WITH t AS (SELECT 7 AS x) INSERT INTO written SELECT x FROM t", "INSERT INTO written VALUES (1)", "FROM seen INSERT INTO written SELECT x", "SELECT * FROM hidden", "SELECT * FROM default.written",
+        f"SELECT * FROM parquet.`{tmp_path}`", "SELECT (SELECT max(id) FROM hidden)", "SELECT x FROM seen WHERE EXISTS (SELECT 1 FROM hidden)", "SELECT x FROM seen WHERE x IN (SELECT id FROM hidden)", "WITH hidden2 AS (SELECT * FROM hidden) SELECT * FROM hidden2",
+        "SELECT java_method('java.lang.System', 'getenv', 'HOME')", "SELECT x FROM seen ORDER BY reflect('java.lang.System', 'nanoTime')", "SET spark.sql.ansi.enabled=false", "CREATE TABLE more AS SELECT 1 AS x", "CACHE TABLE seen", "EXPLAIN SELECT 1", "SHOW TABLES", "", "SELEC 1",
+    ]
+    for text in bad:
         with pytest.raises(ValueError):
-            S.checked_sql(spark, bad)
+            S.checked_sql(spark, text, ["seen"])
+    assert spark.table("written").count() == 0
+    spark.sql("DROP TABLE written")
 
 
 def test_pages_replay_once_and_without_the_forming_bar(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,59 @@ def with_series_end(df: DataFrame, series: DataFrame, key: str = "symbol") -> Da
     return df.join(series.groupBy(key).agg(F.max("ts").alias("series_ts")), key, "left")
 
 
-def checked_sql(spark: SparkSession, statement: str) -> DataFrame:
-    """One SELECT (or WITH), without a second statement, of at most SQL_ROWS rows."""
-    text = statement.strip()
-    if ";" in text.rstrip(";") or not re.match(r"(?is)^(select|with)\b", text):
-        raise ValueError("one SELECT statement only")
-    return spark.sql(text.rstrip(";")).limit(SQL_ROWS)
+#: Nodes of parsed statements that only read. What isn't among them is refused.
+READS = frozenset(
+    "Project Filter Join LateralJoin Aggregate Sort GlobalLimit LocalLimit Offset Union Distinct Except Intersect Generate Window SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedRelation UnresolvedInlineTable ResolvedInlineTable LocalRelation OneRowRelation UnresolvedHaving WithWindowDefinition Pivot Unpivot Sample Tail UnresolvedTableValuedFunction UnresolvedTVFAliases".split()
+)
+#: Table functions that read nothing stored, and scalar functions that reach outside of a query.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+REACHING = frozenset("reflect java_method try_reflect read_files".split())
+
+
+def _seq(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _parsed(plan, names: frozenset[str]):
+    """Raise unless the parsed plan, its subqueries and common table expressions only read relations of these names."""
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in READS:
+        raise ValueError(f"only reading is allowed, not {kind}")
+    inner = _seq(plan.innerChildren()) if kind == "UnresolvedWith" else []
+    if kind == "UnresolvedWith":
+        names = names | {c.alias().lower() for c in inner}
+    if kind == "UnresolvedRelation":
+        parts = [p.lower() for p in _seq(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in names:
+            raise ValueError(f"unknown relation {'.'.join(parts)}")
+    if kind == "UnresolvedTableValuedFunction" and _seq(plan.name())[-1].lower() not in TABLE_FUNCTIONS:
+        raise ValueError("unknown table function")
+    for p in [*_seq(plan.children()), *inner]:
+        _parsed(p, names)
+    for e in _seq(plan.expressions()):
+        _checked(e, names)
+
+
+def _checked(e, names: frozenset[str]) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction" and _seq(e.nameParts())[-1].lower() in REACHING:
+        raise ValueError("a function that reaches outside")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        _parsed(e.plan(), names)
+    for c in _seq(e.children()):
+        _checked(c, names)
+
+
+def checked_sql(spark: SparkSession, statement: str, tables: Iterable[str]) -> DataFrame:
+    """One statement that only reads the named tables (views), of at most SQL_ROWS rows. Spark's parser tells what it is: commands, writes behind a
+    common table expression, other relations and paths, and functions that reach outside raise ValueError before anything runs."""
+    text = statement.strip().rstrip(";")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:  # the parser's own error, a second statement among others
+        raise ValueError(f"not one statement: {str(e).splitlines()[0]}") from e
+    _parsed(plan, frozenset(t.lower() for t in tables))
+    return spark.sql(text).limit(SQL_ROWS)
 
 
 def catalog(tables: dict[str, DataFrame]) -> DataFrame:

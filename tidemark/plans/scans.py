@@ -89,7 +89,7 @@ def o013(spark, d):
 def o014(spark, d):
     K.table(spark, d, "nation").createOrReplaceTempView("tm_nation")
     K.table(spark, d, "region").createOrReplaceTempView("tm_region")
-    return S.checked_sql(spark, "SELECT n_name, r_name FROM tm_nation JOIN tm_region ON n_regionkey = r_regionkey")
+    return S.checked_sql(spark, "SELECT n_name, r_name FROM tm_nation JOIN tm_region ON n_regionkey = r_regionkey;", ["tm_nation", "tm_region"])
 
 
 @query("o018_pair_symbol", "SELECT n_name, CASE WHEN regexp_matches(p, '(USDT|USDC|USD)$') THEN regexp_replace(p, '(USDT|USDC|USD)$', '') || '-' || regexp_extract(p, '(USDT|USDC|USD)$', 1) ELSE p || '-USDT' END AS pair FROM (SELECT n_name, upper(regexp_replace(CASE WHEN n_nationkey % 2 = 0 THEN n_name || '/usd' ELSE n_name END, '[-_/ ]', '', 'g')) AS p FROM nation)")

@@ -269,10 +269,16 @@ def o420(spark, d):
 _PNL = "pn AS (SELECT symbol, ts, CASE state WHEN 'trend_up' THEN 1.0 WHEN 'squeeze' THEN -1.0 ELSE 0.0 END AS pos, ln(close / lag(close) OVER w) AS r, lead(ts) OVER w IS NULL AS last FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY ts)), pm AS (SELECT *, lag(pos) OVER (PARTITION BY symbol ORDER BY ts) AS held FROM pn)"
 
 
-@query("o421_direction_pnl", with_(BARS_1H, RAW, _PNL) + "SELECT symbol, count(*) AS n_bars, count(*) FILTER (held <> 0) AS n_position_bars, round(coalesce(sum(held * r), 0), 6) AS gross, round(sum(CASE WHEN last THEN 0 ELSE abs(pos - coalesce(held, 0)) END) * 5 / 10000.0::DOUBLE, 6) AS fees FROM pm GROUP BY symbol")
+_FUND = "ev AS (SELECT event_type AS symbol, ts, value / 10000 AS rate FROM events WHERE event_id % 9 = 0 AND event_type <> 'view'), fb AS (SELECT symbol, date_trunc('hour', ts) AS ts, sum(rate) AS rate FROM ev GROUP BY 1, 2)"
+
+
+@query("o421_direction_pnl", with_(BARS_1H, RAW, _PNL, _FUND) + """, g AS (SELECT symbol, count(*) AS n_bars, count(*) FILTER (held <> 0) AS n_position_bars, coalesce(sum(held * r), 0) AS gross, sum(CASE WHEN last THEN 0 ELSE abs(pos - coalesce(held, 0)) END) * 5 / 10000.0::DOUBLE AS fees,
+  coalesce(sum(held * fb.rate), 0) AS paid FROM pm LEFT JOIN fb USING (symbol, ts) GROUP BY symbol)
+SELECT symbol, n_bars, n_position_bars, round(gross, 6) AS gross, round(fees, 6) AS fees, CASE WHEN symbol IN (SELECT symbol FROM ev) THEN round(paid, 6) END AS funding, CASE WHEN symbol IN (SELECT symbol FROM ev) THEN round(gross - fees - paid, 6) END AS net_after_funding FROM g""")
 def o421(spark, d):
     r = _raw(spark, d).withColumn("state", F.when(F.col("state") == "squeeze", "trend_down").otherwise(F.col("state")))
-    return S.direction_pnl(r).select("symbol", "n_bars", "n_position_bars", r6("gross"), r6("fees"))
+    events = K.table(spark, d, "events").where("event_id % 9 = 0 and event_type <> 'view'").select(F.col("event_type").alias("symbol"), "ts", (F.col("value") / 10_000).alias("rate"))
+    return S.direction_pnl(r, funding=events).select("symbol", "n_bars", "n_position_bars", r6("gross"), r6("fees"), r6("funding"), r6("net_after_funding"))
 
 
 @query("o316_hysteresis_grid")
