@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import bars as B
 from tidemark.operators import ingest as I
 from tidemark.operators import zones as Z
 from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
+from tidemark.sources import derivatives as D
 from tidemark.sources import pages as pages_of
 from tidemark.sources import replay
 from tidemark.sources.canonical import BARS_1H, REGISTRY, with_
@@ -130,3 +132,51 @@ def o022(spark, d):
     mark = F.struct(name.alias("symbol"), F.when(k % 5 == 0, "-1").otherwise(F.col("value").cast("string")).alias("markIV"))
     pages = e.groupBy((k % 50).alias("page")).agg(F.to_json(F.collect_list(mark)).alias("text"))
     return pages_of.option_marks(pages).select("underlying", "expiry", "strike", "kind", F.round("iv", 4).alias("iv"))
+
+
+# ---------------------------------------------------------------- derivatives
+
+_SETTLED = """b AS (SELECT event_type AS symbol, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') ELSE time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') END AS b, count(*) AS n, max(value) / 10000 AS rate FROM events GROUP BY 1, 2),
+settled AS (SELECT symbol, b + (n % 20) * INTERVAL 1 SECOND AS ts, rate, round((epoch(b) + n % 20) / 60) * 60 AS slot FROM b WHERE (epoch(b)::BIGINT // 14400) % 11 <> 0),
+step AS (SELECT *, (slot - lag(slot) OVER w) / 3600 AS step FROM settled WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+iv AS (SELECT symbol, ts, rate, CASE WHEN step IN (1, 2, 4, 8) AND (step = lag(step) OVER w OR step = lead(step) OVER w) THEN step END AS hours FROM step WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+def _funding(spark, d):
+    """Settled rates every 8, later every 4 hours, some seconds late, some missing; and a predicted rate with every event."""
+    e = K.table(spark, d, "events").withColumn("symbol", F.col("event_type"))
+    slot = F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), B.bucket(F.col("ts"), 28_800)).otherwise(B.bucket(F.col("ts"), 14_400))
+    s = e.groupBy("symbol", slot.alias("b")).agg(F.count(F.lit(1)).alias("n"), (F.max("value") / 10_000).alias("funding"))
+    s = s.where(F.floor(F.unix_seconds(F.col("b").cast("timestamp")) / 14_400) % 11 != 0)
+    s = s.select("symbol", (F.col("b") + F.make_dt_interval(secs=F.col("n") % 20)).alias("ts"), "funding", F.lit("settled").alias("kind"))
+    return s.union(e.select("symbol", "ts", (F.col("value") / 20_000).alias("funding"), F.lit("pred").alias("kind")))
+
+
+@query("o021_settlements", with_(_SETTLED) + "SELECT symbol, ts, round(rate, 8) AS rate, hours, round(rate * 8760 / hours, 7) AS per_year FROM iv")
+def o021(spark, d):
+    return D.settlements(_funding(spark, d)).withColumns({"rate": F.round("rate", 8), "per_year": F.round("per_year", 7)})
+
+
+@query("o021_settled_over_predicted", with_(_SETTLED) + """, ahead AS (SELECT e.event_type AS symbol, e.ts, e.value / 20000 AS rate, iv.ts AS next, iv.hours FROM events e ASOF LEFT JOIN iv ON e.event_type = iv.symbol AND e.ts <= iv.ts)
+SELECT symbol, ts, round(rate, 8) AS rate, 'settled' AS kind FROM iv UNION ALL SELECT symbol, ts, round(rate, 8), 'pred' FROM ahead WHERE NOT coalesce(floor(epoch(next)) - floor(epoch(ts)) = 0 OR floor(epoch(next)) - floor(epoch(ts)) < hours * 3600, false)""")
+def o021b(spark, d):
+    rows = _funding(spark, d)
+    return D.rates(rows, D.settlements(rows)).withColumn("rate", F.round("rate", 8))
+
+
+@query("o021_history_pages", """WITH e AS (SELECT event_type AS symbol, date_trunc('second', ts) AS ts, event_id, round(value, 6) AS v, event_id % 4 AS what FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS back FROM e WHERE what = 3)
+SELECT symbol, ts, max(v) FILTER (what = 1) AS oi, max(round(v * 2, 6)) FILTER (what = 1) AS oi_notional, max(v) FILTER (what = 0) AS funding, CASE WHEN count(*) FILTER (what = 0) > 0 THEN 'settled' END AS kind, max(v) FILTER (what = 3) AS premium, max(v) FILTER (what = 2) AS taker_ratio
+FROM (SELECT symbol, ts, v, what FROM e WHERE what < 3 UNION ALL SELECT symbol, ts, v, what FROM p WHERE back > 1) GROUP BY symbol, ts""")
+def o021c(spark, d):
+    """Histories written as the pages of four interfaces, and read again."""
+    e = K.table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "event_id", F.round("value", 6).alias("v"), (F.col("event_id") % 4).alias("what"))
+    ms, text = (F.col("s") * 1000), F.col("v").cast("string")
+    row = {
+        "funding": F.struct(ms.alias("fundingTime"), text.alias("fundingRate")), "interest": F.struct(ms.alias("timestamp"), text.alias("sumOpenInterest"), F.round(F.col("v") * 2, 6).cast("string").alias("sumOpenInterestValue")),
+        "ratio": F.struct(ms.alias("timestamp"), text.alias("buySellRatio")), "premium": F.array(ms.cast("string"), F.lit("0"), F.lit("0"), F.lit("0"), text),
+    }
+    pages = None
+    for k, (what, value) in enumerate(row.items()):
+        page = e.where(F.col("what") == k).groupBy("symbol").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s", "event_id", value.alias("x")))), lambda r: r["x"])).alias("text")).select("symbol", F.lit(what).alias("what"), "text")
+        pages = page if pages is None else pages.union(page)
+    return D.merged(D.histories(pages))
