@@ -42,6 +42,8 @@ CHANGED = 31
 BITS = 32
 MOST_BITS = 1 << 29
 PROBES = 4
+#: Words whose neighbours one task finds, about.
+WORDS = 25_000
 #: Neighbours that are numbered at once.
 PIECE = 1 << 18
 
@@ -270,8 +272,8 @@ def near_words(vocabulary: DataFrame, *, bits: int = BITS, most: int = MOST_BITS
                 at = pa.array(places)
                 yield pa.RecordBatch.from_arrays([found, b.column(0).take(at), b.column(1).take(at)], ["word", "near", "near_n"])
 
-    # words are dealt anew: their neighbours are many times what a word weighs in its file
-    dealt = vocabulary.select("word", "n").repartition("word")
+    # words are dealt anew, so many to a task: their neighbours are some thousand times what a word weighs in its file
+    dealt = vocabulary.select("word", "n").repartition(max(1, -(-vocabulary.count() // WORDS)), "word")
     emitted = dealt.mapInArrow(run, "word string, near string, near_n long")
     return emitted.join(vocabulary.select("word").hint("shuffle_hash"), "word", "left_semi")
 
