@@ -417,6 +417,27 @@ def test_budget_passes_over_what_does_not_fit(spark):
     assert sorted(r["id"] for r in got) == [1, 3, 4]
 
 
+def test_named_matches_are_what_contains_finds(spark):
+    r = np.random.default_rng(5)
+    words = lambda n: "".join(r.choice(list("abß"), n))
+    texts = [(i, words(int(r.integers(0, 400)))) for i in range(60)] + [(60, None), (61, ""), (61, "aab"), (61, "aab")]
+    needles = [(i, words(int(r.integers(1, 12)))) for i in range(150)] + [(150, "aab"), (151, "aab"), (152, ""), (153, None)] + [(200 + i, texts[i][1][:40] + x) for i in range(20) for x in ("", "q")]
+    kinds = ("key int, norm string", "id int, needle string")
+    t, n = (spark.createDataFrame(x, k) for x, k in zip((texts, needles), kinds, strict=True))
+    want = sorted((k, i) for k, text in texts for i, needle in needles if text and needle and needle in text)
+    for block in (1 << 20, 300):
+        assert sorted(map(tuple, T.named_matches(t, n, "key", block).collect())) == want
+    assert T.named_matches(t, n.where("false"), "key").count() == 0 and T.named_matches(t.where("false"), n, "key").count() == 0
+
+
+def test_a_great_text_and_many_needles(spark):
+    """14 MB in one row and 10^5 needles of the numbers that it counts; every second one goes on otherwise."""
+    text = "".join(f"{i:07d}" for i in range(2_000_000))
+    needles = spark.range(100_000).selectExpr("id", "concat('#', lpad(id, 7, '0'), if(id % 2 = 0, '', 'x')) AS needle").selectExpr("id", "concat(substring(needle, 2), lpad(if(id % 2 = 0, id + 1, 0), 7, '0')) AS needle")
+    got = [r.id for r in T.named_matches(spark.createDataFrame([(1, text)], "key int, norm string"), needles, "key").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(range(0, 100_000, 2))
+
+
 def test_lists_and_quotes(spark):
     df = spark.createDataFrame([('["a", "b"]',), ('["a", 1]',), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(T.string_list(F.col("t"))).collect()] == [["a", "b"], None, None, None]

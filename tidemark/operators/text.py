@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.folds import runs
 
-#: A side of at most so many rows may be broadcast.
-BROADCAST_ROWS = 20_000
 #: Characters that a retrieval may use: its index, automatic entries (and their number), named entries.
 INDEX_CHARS, AUTO_CHARS, AUTO_ENTRIES, NAMED_CHARS = 4000, 4000, 2, 8000
 
@@ -81,7 +81,7 @@ def broken_successors(df: DataFrame, key: str = "slug", successor: str = "supers
     return df.where(F.col(successor).isNotNull()).join(s, successor, "left").where("_s is null or _s <> 'active'").select(key, successor)
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def _compat(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
@@ -98,23 +98,58 @@ def without_digits(c: Column, marker: str = "#") -> Column:
     return F.regexp_replace(c, r"\d+", marker)
 
 
-def named_matches(texts: DataFrame, needles: DataFrame, key: str, gram: int = 12) -> DataFrame:
-    """Which needles (id, needle: normalised, not empty) occur in which texts (key, norm). A text's overlapping grams meet the needles'
-    first `gram` characters by equality (a needle shorter than that: all of it), then the whole needle is looked for. Grams come from one
-    pass over the text and are never shuffled while the needles fit a broadcast of BROADCAST_ROWS rows."""
-    n = needles.where(F.length("needle") > 0).withColumn("g", F.substring("needle", 1, gram)).withColumn("l", F.length("g"))
-    lengths = sorted(r[0] for r in n.select("l").distinct().collect())  # at most `gram` numbers
-    small = n.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = None
-    for length in lengths:
-        own = n.where(F.col("l") == length).drop("l")
-        grams = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))).alias("g"))
-        hits = grams.join(F.broadcast(own) if small else own, "g").select(key, "id", "needle")
-        out = hits if out is None else out.union(hits)
-    if out is None:
-        return texts.select(key, F.lit(None).cast(needles.schema["id"].dataType).alias("id")).limit(0)
-    # the texts of what may match are looked at once more; a gram carries no text
-    return texts.select(key, "norm").join(out, key).where(F.contains("norm", F.col("needle"))).select(key, "id").distinct()
+#: Characters of a needle that the automaton holds; what begins like it is then compared whole. Bytes of needles that are broadcast at once.
+HELD_CHARS, NEEDLE_BYTES = 24, 8 << 20
+_automata: dict = {}
+
+
+def _automaton(name: str, needles: list[str]):
+    """The automaton of a block of needles, built once a worker: each held beginning with its needles and their numbers."""
+    import ahocorasick
+
+    if name not in _automata:
+        _automata.clear()  # blocks are looked for one after the other
+        made, heads = ahocorasick.Automaton(), {}
+        for i, needle in enumerate(needles):
+            heads.setdefault(needle[:HELD_CHARS], []).append((i, needle))
+        for head, of in heads.items():
+            made.add_word(head, (len(head), of))
+        made.make_automaton()
+        _automata[name] = made
+    return _automata[name]
+
+
+def named_matches(texts: DataFrame, needles: DataFrame, key: str, block_bytes: int = NEEDLE_BYTES) -> DataFrame:
+    """Which needles (id, needle: normalised, not empty) occur in which texts (key, norm), each pair once for each row of texts: one pass of an automaton
+    over every text where it is read. Needles are broadcast in blocks of about `block_bytes`, a pass each, dealt by a hash; however many
+    needles end at one place, all are found. Null texts and empty or null needles match nothing; needles that repeat match with each id."""
+    spark, kind = texts.sparkSession, needles.schema["id"].dataType
+    n = needles.where(F.length("needle") > 0).select("id", "needle")
+    total = n.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    schema = T.StructType([texts.schema[key], T.StructField("id", kind)])
+    out = spark.createDataFrame([], schema)
+    dealt = n.withColumn("_b", F.pmod(F.xxhash64("needle"), F.lit(max(1, blocks))))
+    for k in range(blocks):
+        block = dealt.where(F.col("_b") == k).select("id", "needle").toArrow()  # about block_bytes
+        if not block.num_rows:
+            continue
+        shared, ids = spark.sparkContext.broadcast(block.column("needle").to_pylist()), spark.sparkContext.broadcast(block.column("id").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            made = _automaton(name, shared.value)
+            for b in batches:
+                rows, found = [], []
+                for i, text in enumerate(b.column(1)):
+                    text = text.as_py()
+                    seen = {j for end, (size, of) in made.iter(text) for j, needle in of if len(needle) == size or text.startswith(needle, end - size + 1)} if text else ()
+                    rows += [i] * len(seen)
+                    found += sorted(seen)
+                at = ids.value.take(pa.array(found, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), at], [key, "id"])
+
+        out = out.union(texts.select(key, "norm").mapInArrow(run, schema))
+    return out
 
 
 def relevance(named: Column, symbol_hit: Column, regime_hit: Column) -> Column:
