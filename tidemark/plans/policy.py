@@ -281,7 +281,7 @@ x AS (SELECT *, (e - min(e) OVER (PARTITION BY symbol, run)) / 3600.0::DOUBLE AS
 g AS (SELECT symbol, run, any_value("at") AS "at", any_value(regime) AS regime, min(ts) AS first_ts, max(ts) AS last_ts, min(e) AS e0, max(e) AS e1, count(*) AS setup_bars, arg_min(crsi, ts) FILTER (crsi IS NOT NULL) AS crsi_first, arg_max(crsi, ts) FILTER (crsi IS NOT NULL) AS crsi_last,
   CASE WHEN count(crsi) > 0 THEN CASE WHEN count(crsi) > 1 THEN regr_slope(crsi, x) ELSE 0 END END AS crsi_slope, arg_max(gap, ts) FILTER (gap IS NOT NULL) AS gap_now,
   CASE WHEN count(gap) > 0 THEN CASE WHEN count(gap) FILTER (back <= 4) > 1 THEN regr_slope(gap, x) FILTER (back <= 4) ELSE 0 END END AS gap_slope, bool_or(main_ok) AS ever_main_ok, arg_max(main_ok, ts) AS ok, max(epoch(observed))::BIGINT AS seen FROM x GROUP BY symbol, run)
-SELECT symbol, run::BIGINT AS run, "at", regime, first_ts, last_ts, (e1 - e0) // 3600 + 1 AS bars, setup_bars, crsi_first, crsi_last, round(crsi_slope, 3) + 0 AS crsi_slope, round(gap_now, 2) AS gap_now, round(gap_slope, 3) + 0 AS gap_slope,
+SELECT symbol, run::BIGINT AS run, "at", regime, first_ts, last_ts, (e1 - e0) // 3600 + 1 AS bars, setup_bars, crsi_first, crsi_last, round(crsi_slope, 6) + 0 AS crsi_slope, round(gap_now, 2) AS gap_now, round(gap_slope, 6) + 0 AS gap_slope,
   CASE WHEN coalesce(gap_slope, 0) <= -1 THEN 'closing' WHEN coalesce(gap_slope, 0) >= 1 THEN 'opening' ELSE 'flat' END AS gap_trend, ever_main_ok,
   CASE WHEN run < max(run) OVER (PARTITION BY symbol) OR (max(seen) OVER (PARTITION BY symbol) - e1) // 3600 > 1 THEN 'expired' WHEN ok THEN 'ripe' WHEN ever_main_ok THEN 'matured' ELSE 'brewing' END AS status FROM g""")
 def o424(spark, d):
@@ -290,7 +290,7 @@ def o424(spark, d):
     s = b.where("close < 6 or close > 14").select(
         "symbol", "ts", F.when(c < 6, "at_support").otherwise("at_resistance").alias("at"), F.when(F.hour("ts") < 20, "range").otherwise("trend_up").alias("regime"), F.when(v % 7 > 0, c * 6 - 10).alias("pos"), F.when(v % 5 > 0, c).alias("crsi"), (v % 3 == 0).alias("main_ok"), "observed"
     )
-    rounded = {"crsi_slope": F.round("crsi_slope", 3) + 0.0, "gap_now": F.round("gap_now", 2), "gap_slope": F.round("gap_slope", 3) + 0.0}  # + 0: no negative zero
+    rounded = {"crsi_slope": F.round("crsi_slope", 6) + 0.0, "gap_now": F.round("gap_now", 2), "gap_slope": F.round("gap_slope", 6) + 0.0}  # + 0: no negative zero
     return P.runs(s, 3600).withColumns(rounded)
 
 
