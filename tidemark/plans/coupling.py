@@ -45,7 +45,7 @@ def o359(spark, d):
 @query("o411_sign_rate")
 def o411(spark, d):
     r = _r(spark, d).where("r is not null")
-    return C.sign_rate(r, C.pairwise_corr(r, 100.0, "r"), 100.0, "r")
+    return C.sign_rate(r, C.pairwise_corr(r, C.HALF_SLOW, "r"), C.HALF_SLOW, "r")
 
 
 @query("o412_pair_table")

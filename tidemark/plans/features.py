@@ -218,10 +218,14 @@ def o344b(spark, d):
     return O.path(K.bars_1h(spark, d)).where("kendall_tau is not null")
 
 
-@query("o348_vol_moving_averages", with_(VOL_DAILY) + "SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 60 THEN round(list_reduce(array_agg(price) OVER (PARTITION BY symbol ORDER BY ts ROWS 399 PRECEDING), lambda a, x: (1 - 2.0::DOUBLE / 61) * a + (2.0::DOUBLE / 61) * x), 5) END AS ema60 FROM vol_daily")
+_SPANS = (20, 60, 200)
+_MEANS = ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= {k} THEN round(list_reduce(array_agg(price) OVER (PARTITION BY symbol ORDER BY ts ROWS 399 PRECEDING), lambda a, x: (1 - 2.0::DOUBLE / {k + 1}) * a + (2.0::DOUBLE / {k + 1}) * x), 5) END AS ema{k}" for k in _SPANS)
+
+
+@query("o348_vol_moving_averages", with_(VOL_DAILY) + f"SELECT symbol, ts, {_MEANS} FROM vol_daily")
 def o348(spark, d):
-    e = X.ema(F.col("price"), 60)
-    return K.vol_daily(spark, d).select("symbol", "ts", F.when(F.row_number().over(X.series()) >= 60, F.round(e, 5)).alias("ema60"))
+    n = F.row_number().over(X.series())
+    return K.vol_daily(spark, d).select("symbol", "ts", *[F.when(n >= k, F.round(X.ema(F.col("price"), k), 5)).alias(f"ema{k}") for k in _SPANS])
 
 
 _BANDS = f"""vb0 AS (SELECT *, list_reduce(array_agg(price) OVER (PARTITION BY symbol ORDER BY ts ROWS 399 PRECEDING), lambda a, x: (1 - 2.0::DOUBLE / 201) * a + (2.0::DOUBLE / 201) * x) AS centre, {_full('stddev_samp', 'price', 200)} AS sigma FROM vol_daily),

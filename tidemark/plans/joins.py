@@ -17,9 +17,12 @@ def o201(spark, d):
     return x.join(y, "ts").select("ts", (F.col("a") / F.col("b")).alias("ratio"))
 
 
-@query("o202_wide_panel", with_(BARS_1H) + "SELECT ts, any_value(close) FILTER (symbol = 'click') AS click, any_value(close) FILTER (symbol = 'error') AS error, any_value(close) FILTER (symbol = 'view') AS view FROM bars_1h WHERE symbol IN ('click', 'error', 'view') GROUP BY ts")
+_PANEL = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("o202_wide_panel", with_(BARS_1H) + "SELECT ts, " + ", ".join(f"any_value(close) FILTER (symbol = '{x}') AS {x}" for x in _PANEL) + " FROM bars_1h GROUP BY ts")
 def o202(spark, d):
-    return K.bars_1h(spark, d).where(F.col("symbol").isin("click", "error", "view")).groupBy("ts").pivot("symbol", ["click", "error", "view"]).agg(F.first("close"))
+    return K.bars_1h(spark, d).groupBy("ts").pivot("symbol", _PANEL).agg(F.first("close"))
 
 
 @query("o203_pair_clock", with_(BARS_1H) + "SELECT x.symbol AS a, y.symbol AS b, count(*) AS n FROM bars_1h x JOIN bars_1h y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY 1, 2")
