@@ -236,3 +236,17 @@ def test_tenors_and_stops_at_their_limits(spark):
     assert df.first()["below_zero"] is None and df.first()["short"] == pytest.approx(1.35)
     notes = spark.range(1).select(P.vol_notes(F.lit(0.85), F.lit(3), F.lit(40.0), F.lit(3.0), F.lit("nearest"), F.lit(True)).alias("n")).first().n
     assert notes == ["expected_move", "near_tenor_inverted", "event_near"]  # a rank of exactly 0.85 isn't high
+
+
+def test_events_of_today_are_over_at_new_yorks_hours(spark):
+    """In summer New York is four hours behind, in winter five; late in its evening the UTC date is tomorrow's."""
+    from tidemark.operators import joins as J
+
+    t = dt.datetime
+    events = [("b", t(2024, 7, 10), "before"), ("a", t(2024, 7, 10), "AFTER"), ("n", t(2024, 7, 10), None), ("w", t(2024, 1, 10), "Before"), ("two", t(2024, 7, 8), None), ("two", t(2024, 7, 12), None)]
+    points = [
+        (1, "b", t(2024, 7, 10, 13, 29)), (2, "b", t(2024, 7, 10, 13, 30)), (3, "a", t(2024, 7, 10, 19, 59)), (4, "a", t(2024, 7, 10, 20, 0)), (5, "n", t(2024, 7, 11, 3, 30)), (6, "n", t(2024, 7, 11, 4, 30)),
+        (7, "w", t(2024, 1, 10, 14, 29)), (8, "w", t(2024, 1, 10, 14, 30)), (9, "two", t(2024, 7, 10, 12, 0)), (10, "two", t(2024, 7, 23, 12, 0)), (11, "none", t(2024, 7, 10)),
+    ]
+    got = {r.i: (r.days, r.uncertain) for r in J.event_proximity(spark.createDataFrame(points, "i int, symbol string, ts timestamp_ntz"), spark.createDataFrame(events, "symbol string, ts timestamp_ntz, pub_type string"), ["i"]).collect()}
+    assert got == {1: (0, False), 2: (-1, False), 3: (0, False), 4: (-1, False), 5: (0, True), 6: (-1, False), 7: (0, False), 8: (-1, False), 9: (-2, False)}

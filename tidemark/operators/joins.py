@@ -52,6 +52,27 @@ def nearest_event(points: DataFrame, events: DataFrame, keys: list[str]) -> Data
     return both.withColumn("days", F.when(dp.isNotNull() & past, dp).otherwise(dn)).drop("prev", "next")
 
 
+def event_proximity(points: DataFrame, events: DataFrame, by: list[str], horizon: int = 10) -> DataFrame:
+    """The nearest dated event of each point (symbol, ts in UTC, named by `by`) within `horizon` calendar days, today being New York's: days (negative:
+    over), event_ts, pub_type and uncertain. One of today that was due before the open or after the close is over from 9:30, from 16:00 on (days -1);
+    of today without a known time `uncertain` is told. Of equally near ones the past, then the earlier one. Points without an event near are left out.
+
+    events: symbol, ts (its UTC date counts), pub_type (BEFORE, AFTER, in any case, or null). Events are spread over the days that they are near to and met by
+    equality, so that no range is joined."""
+    from tidemark.operators.quality import CLOSE_MINUTE, OPEN_MINUTE, et
+
+    e = events.select("symbol", F.col("ts").alias("event_ts"), F.upper("pub_type").alias("pub_type")).distinct().withColumn("_day", F.to_date("event_ts"))
+    e = e.withColumn("_today", F.explode(F.sequence(F.date_sub("_day", horizon), F.date_add("_day", horizon))))
+    p = points.withColumn("_et", et(F.col("ts"))).withColumns({"_today": F.to_date("_et"), "_minute": F.hour("_et") * 60 + F.minute("_et")})
+    j = p.join(e, ["symbol", "_today"])
+    days = F.date_diff("_day", "_today")
+    over = F.when(F.col("pub_type") == "BEFORE", F.col("_minute") >= OPEN_MINUTE).when(F.col("pub_type") == "AFTER", F.col("_minute") >= CLOSE_MINUTE)
+    known = F.coalesce(F.col("pub_type").isin("BEFORE", "AFTER"), F.lit(False))
+    j = j.withColumn("days", F.when((days == 0) & F.coalesce(over, F.lit(False)), -1).otherwise(days)).withColumn("uncertain", (days == 0) & ~known)
+    best = F.min(F.struct(F.abs("days").alias("far"), "days", "event_ts", "pub_type", "uncertain"))
+    return j.groupBy(*by).agg(best.alias("m")).select(*by, "m.days", "m.event_ts", "m.pub_type", "m.uncertain")
+
+
 def pairs(df: DataFrame, key: str = "symbol", on: str = "ts", value: str = "r") -> DataFrame:
     """Values of two keys at one time, each unordered pair once; both known."""
     a = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), on, F.col(value).alias("x"))

@@ -61,12 +61,17 @@ def o209(spark, d):
     return J.nearest_event(e, K.calendar(spark, d), ["symbol"]).where("days is not null").select("event_id", F.col("days").cast("long").alias("days"))
 
 
-@query("o210_policy_proximity", with_(CALENDAR) + "SELECT symbol, ts, CASE WHEN hour(ts) * 60 + minute(ts) < 570 THEN 'pre' WHEN hour(ts) * 60 + minute(ts) < 960 THEN 'during' ELSE 'post' END AS pub_type, date_diff('day', ts::DATE, DATE '2024-01-31') - CASE WHEN hour(ts) >= 16 THEN 1 ELSE 0 END AS days_since FROM calendar")
+# the test tables lie within January, when New York is five hours behind
+@query("o210_policy_proximity", """WITH ev AS (SELECT DISTINCT 'u' || user_id AS symbol, ts AS event_ts, CASE event_id % 3 WHEN 0 THEN 'BEFORE' WHEN 1 THEN 'AFTER' END AS pub_type FROM events WHERE event_type = 'error'),
+p AS (SELECT event_id, 'u' || user_id AS symbol, ts - INTERVAL 5 HOUR AS et FROM events WHERE event_type = 'view'),
+c AS (SELECT event_id, event_ts, pub_type, date_diff('day', et::DATE, event_ts::DATE) AS d, hour(et) * 60 + minute(et) AS m FROM p JOIN ev USING (symbol)),
+x AS (SELECT event_id, event_ts, pub_type, CASE WHEN d = 0 AND (pub_type = 'BEFORE' AND m >= 570 OR pub_type = 'AFTER' AND m >= 960) THEN -1 ELSE d END AS days, d = 0 AND pub_type IS NULL AS uncertain FROM c)
+SELECT event_id, days::INT AS days, event_ts, pub_type, uncertain FROM x WHERE abs(days) <= 10 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(days), days, event_ts, pub_type NULLS FIRST) = 1""")
 def o210(spark, d):
-    c = K.calendar(spark, d)
-    m = F.hour("ts") * 60 + F.minute("ts")
-    kind = F.when(m < 570, "pre").when(m < 960, "during").otherwise("post")
-    return c.select("symbol", "ts", kind.alias("pub_type"), (F.date_diff(F.lit("2024-01-31").cast("date"), F.to_date("ts")) - F.when(F.hour("ts") >= 16, 1).otherwise(0)).cast("long").alias("days_since"))
+    e = K.table(spark, d, "events").withColumn("symbol", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    kind = F.when(F.col("event_id") % 3 == 0, "before").when(F.col("event_id") % 3 == 1, "After")
+    calendar = e.where("event_type = 'error'").select("symbol", "ts", kind.alias("pub_type"))
+    return J.event_proximity(e.where("event_type = 'view'").select("event_id", "symbol", "ts"), calendar, ["event_id"])
 
 
 @query("o211_anti_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
