@@ -635,6 +635,20 @@ def test_lm_odd_rows_and_large_counts(spark):
     assert ngram_lm.score(empty_like(docs), ngram_lm.train(docs)).count() == 0
 
 
+def test_followers_that_share_their_leading_bits_keep_their_counts(spark, tmp_path):
+    near = [5 << 22 | k for k in (7, 9, 11)]
+    v, w = np.array([3, 3, 3, 3, 8], np.int64), np.array([2 << 22, *near, near[0]], np.int64)
+    c = np.array([4, 1, 300, 2, 6], np.int64)
+    order = np.lexsort((w, v))
+    blob = ngram_lm._pack_pairs(v[order], w[order], c[order])
+    pairs = spark.createDataFrame([(0, bytearray(blob))], "shard int, blob binary")
+    made = [r for r in ngram_lm._write_pairs(pairs, f"file://{tmp_path}/lm", 1).collect() if r["path"]]
+    reader = ngram_lm.Reader({"shards": 1, "pairs": {0: (made[0]["path"], made[0]["sizes"])}, "words": {}, "d_pair": [0, 0.5, 1.0, 1.5]})
+    ask = [(3, near[0]), (3, near[1]), (3, near[2]), (3, 5 << 22 | 8), (3, 5 << 22 | 12), (3, 2 << 22), (8, near[0]), (9, near[0])]
+    got, total, _ = reader.pair(*(np.array(x, np.int64) for x in zip(*ask, strict=True)))
+    assert got.tolist() == [1, 300, 2, 0, 0, 4, 6, 0] and total.tolist() == [307] * 6 + [6, 0]
+
+
 # ---------------------------------------------------------------- 9
 
 

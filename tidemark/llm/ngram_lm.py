@@ -3,7 +3,9 @@
 Counting: each task counts its (word, next word) pairs as 63-bit hashes and packs them by the first word's shard, Spark deals
 them by shard, and a shard's writer adds up equal pairs and keeps, as sorted arrays: the contexts with their totals and
 their numbers of followers seen once, twice and more, and the pairs (context's number and the follower's leading bits) with
-their counts (a byte each; greater ones apart, with their places). What each shard has seen of a follower goes on to a second shuffle, which gives each word its number of distinct
+their counts (a byte each; greater ones apart, with their places). Followers of one context that share their leading bits stand
+apart too, with whole hashes, so that each has its own count (a word never seen there is taken for a follower with a chance of
+followers / 2^41). What each shard has seen of a follower goes on to a second shuffle, which gives each word its number of distinct
 predecessors and its count. All arrays lie in the shared folder; a worker maps the files into memory (from a store that can't be
 mapped a worker process copies a shard to an unlinked temporary file first) and searches sorted batches. Only sums of each shard come to the
 driver.
@@ -215,10 +217,13 @@ def _write_pairs(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
             seen = [np.add.reduceat(x, at, dtype=np.int64).astype(np.uint32) for x in (c == 1, c == 2, c > 2)]
             large = c[c >= 255]
             places = np.flatnonzero(c >= 255)
+            # followers of one context that share their leading bits: their whole hashes, with their counts
+            same = key[1:] == key[:-1]
+            met = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
             path = f"{folder}/pairs-{number:05d}-{uuid.uuid4().hex}"
-            write_file(path, [key, v[at], sums, large, places, *seen, np.minimum(c, 255).astype(np.uint8)])
+            write_file(path, [key, v[at], sums, large, places, key[met], w[met], c[met], *seen, np.minimum(c, 255).astype(np.uint8)])
             of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-            yield _row(number, None, path, [number, len(at), len(key), len(large), *of])
+            yield _row(number, None, path, [number, len(at), len(key), len(large), *of, len(met)])
             del v, key
             s = shard_of(w, shards)
             order = np.lexsort((w, s))
@@ -298,7 +303,7 @@ class Reader:
 
     def __init__(self, model: dict):
         self.m = model
-        self.pairs = {s: _cut(map_file(path), [(np.int64, z[2]), (np.int64, z[1]), (np.int64, z[1]), (np.int64, z[3]), (np.int64, z[3]), *[(np.uint32, z[1])] * 3, (np.uint8, z[2])]) for s, (path, z) in model["pairs"].items()}
+        self.pairs = {s: _cut(map_file(path), [(np.int64, z[2]), (np.int64, z[1]), (np.int64, z[1]), *[(np.int64, z[3])] * 2, *[(np.int64, z[8])] * 3, *[(np.uint32, z[1])] * 3, (np.uint8, z[2])]) for s, (path, z) in model["pairs"].items()}
         self.words = {s: _cut(map_file(path), [(np.int64, z[1])] * 3) for s, (path, z) in model["words"].items()}
 
     def _dealt(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -328,7 +333,7 @@ class Reader:
         for s, k in self._dealt(v):
             if s not in self.pairs:
                 continue
-            key, ctx, sums, large, places, n1, n2, n3, small = self.pairs[s]
+            key, ctx, sums, large, places, met, met_word, met_count, n1, n2, n3, small = self.pairs[s]
             at = np.minimum(np.searchsorted(ctx, v[k]), len(ctx) - 1)
             ok = ctx[at] == v[k]
             k, at = k[ok], at[ok]
@@ -344,6 +349,11 @@ class Reader:
                 big = got == 255
                 got[big] = large[np.minimum(np.searchsorted(places, at[big]), len(large) - 1)]
             c[k[ok]] = got[ok]
+            if len(met):
+                lo, hi = np.searchsorted(met, want), np.searchsorted(met, want, "right")
+                for i in np.flatnonzero(hi > lo):
+                    j = lo[i] + np.searchsorted(met_word[lo[i] : hi[i]], w[k[i]])
+                    c[k[i]] = met_count[j] if j < hi[i] and met_word[j] == w[k[i]] else 0
         return c, total, gamma
 
 
