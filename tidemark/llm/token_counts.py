@@ -121,19 +121,34 @@ class Rollup:
         made = sorted(int(n.removeprefix("names-")) for n in done if n.startswith("names-") and f"sums-{n.removeprefix('names-')}" in done)
         return sorted(n.removeprefix("batch-") for n in done if n.startswith("batch-")), made
 
-    def _merged(self, made: list[int]) -> set[str]:
-        """Names of the batches in the newest generation."""
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/names-{made[-1]}").collect()} if made else set()
+    def _names(self, made: list[int]) -> DataFrame:
+        """(batch) in the newest generation: as many as were ever committed, so they stay a table."""
+        if not made:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/names-{made[-1]}")
+
+    def _merged(self, made: list[int], batches: list[str]) -> set[str]:
+        """Of the batches that have folders of their own, those that the newest generation holds already: a compaction broke off before
+        it deleted them. There are as many folders as commits since the last compaction."""
+        if not made or not batches:
+            return set()
+        own = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        return {r[0] for r in self._names(made).join(own, "batch", "left_semi").collect()}
+
+    def names(self) -> DataFrame:
+        """(batch): names of the batches whose sums count."""
+        batches, made = self._whole()
+        return self._names(made).union(self.spark.createDataFrame([(b,) for b in batches], "batch string")).distinct()
 
     def committed(self) -> list[str]:
-        """Names of the batches whose sums count."""
-        batches, made = self._whole()
-        return sorted(self._merged(made).union(batches))
+        """The same as a sorted list, for looking at: neither commits nor compaction need it."""
+        return sorted(r[0] for r in self.names().collect())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch's changes; False if it is already there."""
         path = self._path(batch)
-        if batch in self.committed():
+        batches, made = self._whole()
+        if batch in batches or not self._names(made).where(F.col("batch") == batch).isEmpty():
             return False
         sums = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(path)
@@ -142,7 +157,7 @@ class Rollup:
     def _sums(self) -> DataFrame | None:
         """What counts, a row for each key and folder."""
         batches, made = self._whole()
-        merged = self._merged(made)
+        merged = self._merged(made, batches)
         read = [*(f"{self.folder}/sums-{k}" for k in made[-1:]), *(self._path(b) for b in batches if b not in merged)]
         return self.spark.read.schema(SUMS).parquet(*read) if read else None
 
@@ -156,17 +171,16 @@ class Rollup:
     def compact(self) -> None:
         """Add up all committed batches into a new generation; then delete what it replaces."""
         batches, made = self._whole()
-        merged = self._merged(made)
         number = made[-1] if made else 0
-        if set(batches) - merged:
+        if set(batches) - self._merged(made, batches):
+            names = self.names()
             number += 1  # a broken-off attempt of this number is overwritten: it has no whole names-N, so nothing reads it
             self.totals().write.mode("overwrite").parquet(f"{self.folder}/sums-{number}")
-            merged = merged.union(batches)
-            self.spark.createDataFrame([(b,) for b in sorted(merged)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/names-{number}")
+            names.write.mode("overwrite").parquet(f"{self.folder}/names-{number}")
         fs, p = _fs(self.spark, self.folder)
         for old in [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []:
             kind, _, rest = old.getName().partition("-")
-            if kind == "batch" and rest in merged or kind in ("sums", "names") and int(rest) < number:
+            if kind == "batch" and rest in batches or kind in ("sums", "names") and int(rest) < number:
                 fs.delete(old, True)
 
 
