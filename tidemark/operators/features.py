@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import windows as X
-from tidemark.operators.quality import et
+from tidemark.operators.quality import bar_full_rth, et, is_trading_day
 
 BARS_PER_YEAR = {"1h": 8760, "4h": 2190, "1d": 365}
+#: Of all bars, of sessions, and of what the two have in common.
+CLOCKS = ("all247", "usrth", "cross")
 
 
 def true_range(strict: bool = False) -> Column:
@@ -260,8 +262,15 @@ def vol_bands(df: DataFrame, value: str, span: int = 200, n: int = 200) -> DataF
     return df.withColumn("position", label)
 
 
-def panel_returns(df: DataFrame, seconds: int) -> DataFrame:
-    """Log returns between neighbours that are exactly one bar apart; null across gaps."""
+def panel_returns(df: DataFrame, seconds: int, clock: str = "all247", trading_day=is_trading_day, limit: int | None = None) -> DataFrame:
+    """Log returns between neighbours that are exactly one bar apart; null across gaps. Of the clocks `usrth` and `cross` only bars that lie
+    whole in a session take part, so that the first of a day has no return. `limit`: the newest bars of each series, before any choice."""
+    if clock not in CLOCKS:
+        raise ValueError(f"not a clock: {clock!r}")
+    if limit is not None:
+        df = df.withColumn("_n", F.row_number().over(W.partitionBy("symbol").orderBy(F.col("ts").desc()))).where(F.col("_n") <= limit).drop("_n")
+    if clock != "all247":
+        df = df.where(bar_full_rth(F.col("ts"), seconds, trading_day))
     w = X.series()
     step = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
     return df.withColumn("r", F.when((step == seconds * 1_000_000) & (F.lag("close").over(w) > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.lag("close").over(w))))

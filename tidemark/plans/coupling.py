@@ -6,6 +6,7 @@ from tidemark.functions.windows import safe_corr, series
 from tidemark.operators import coupling as C
 from tidemark.operators import features as O
 from tidemark.plans.features import r6
+from tidemark.plans.quality import FULL_RTH
 from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
 from tidemark.sources.canonical import BARS_1H, PANEL_1D, REGISTRY, with_
@@ -37,9 +38,10 @@ def o410(spark, d):
     return C.pairwise_corr(_r(spark, d), C.HALF_SLOW, "r").select("a", "b", r6("corr"), "n_joint")
 
 
-@query("o359_ewma_standardize")
+@query("o359_ewma_standardize", with_(BARS_1H, _R) + f""", q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM rr)
+SELECT x.symbol, x.ts, round(x.r, 6) AS r, round(x.r / sqrt(sum(pow({_KEEP}, x.pos - y.pos) * y.r * y.r) / sum(pow({_KEEP}, x.pos - y.pos))), 6) AS z FROM q x JOIN q y ON x.symbol = y.symbol AND y.pos < x.pos WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY x.symbol, x.ts, x.r HAVING count(*) >= 30""")
 def o359(spark, d):
-    return C.standardize(_r(spark, d)).where("z is not null")
+    return C.standardize(_r(spark, d)).where("z is not null").select("symbol", "ts", r6("r"), r6("z"))
 
 
 @query("o411_sign_rate")
@@ -114,9 +116,28 @@ def o415(spark, d):
     return C.shrink_corr(_r(spark, d))
 
 
-@query("o416_composite_matrix", with_(PANEL_1D, REGISTRY, _PANEL) + "SELECT a, b, CASE WHEN x.class = 'us_stock_perp' AND y.class = 'us_stock_perp' THEN 'usrth' WHEN x.class <> 'us_stock_perp' AND y.class <> 'us_stock_perp' THEN 'all247' ELSE 'cross' END AS clock, round(corr, 6) AS corr, n >= 200 AS valid FROM pc JOIN registry x ON x.symbol = a JOIN registry y ON y.symbol = b")
+_K420 = repr(0.5 ** (1 / 420.0))
+_KIND = "CASE symbol WHEN 'click' THEN 'crypto' WHEN 'view' THEN 'commodity' WHEN 'signup' THEN 'intl_stock_perp' ELSE 'us_stock_perp' END"
+_THEME = "CASE symbol WHEN 'view' THEN 'macro_asset' WHEN 'click' THEN 'crypto_major' WHEN 'purchase' THEN 'ai_infra' ELSE 'other' END"
+_HOURS = ", ".join(f"'{c}'" for c in C.ALL_HOURS)
+
+
+@query("o416_composite_matrix", with_(BARS_1H, f"""rg AS (SELECT *, row_number() OVER (ORDER BY pool <> 'core', CASE theme WHEN 'crypto_major' THEN 0 WHEN 'macro_asset' THEN 2 WHEN 'ai_infra' THEN 3 ELSE 8 END, symbol) - 1 AS i
+  FROM (SELECT DISTINCT symbol, {_KIND} AS class, {_THEME} AS theme, CASE WHEN symbol = 'click' THEN 'observation' ELSE 'core' END AS pool FROM bars_1h)),
+ce AS (SELECT x.i, y.i AS j, x.symbol AS a, y.symbol AS b, CASE WHEN x.class IN ({_HOURS}) AND y.class IN ({_HOURS}) THEN 'all247' WHEN x.class = 'us_stock_perp' AND y.class = 'us_stock_perp' THEN 'usrth' ELSE 'cross' END AS clock FROM rg x JOIN rg y ON x.i < y.i),
+me AS (SELECT clock, a AS symbol FROM ce UNION SELECT clock, b FROM ce),
+pb AS (SELECT clock, symbol, ts, close FROM bars_1h JOIN me USING (symbol) WHERE clock = 'all247' OR ({FULL_RTH})),
+rt AS (SELECT clock, symbol, ts, CASE WHEN ts - lag(ts) OVER w = INTERVAL 1 HOUR THEN ln(close / lag(close) OVER w) END AS r, dense_rank() OVER (PARTITION BY clock ORDER BY ts) AS pos FROM pb WINDOW w AS (PARTITION BY clock, symbol ORDER BY ts)),
+st AS (SELECT x.clock, x.symbol, x.ts, x.r / sqrt(sum(pow({_K420}, x.pos - y.pos) * y.r * y.r) / sum(pow({_K420}, x.pos - y.pos))) AS z FROM rt x JOIN rt y ON x.clock = y.clock AND x.symbol = y.symbol AND y.pos < x.pos WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY x.clock, x.symbol, x.ts, x.r HAVING count(*) >= 30 AND sum(y.r * y.r) > 0),
+ow AS (SELECT clock, symbol, sum(pow({_K420}, k) * z * z) / sum(pow({_K420}, k)) AS var FROM (SELECT *, row_number() OVER (PARTITION BY clock, symbol ORDER BY ts DESC) - 1 AS k FROM st) GROUP BY 1, 2),
+jt AS (SELECT ce.clock, ce.a, ce.b, x.ts, x.z AS x, y.z AS y FROM ce JOIN st x ON x.clock = ce.clock AND x.symbol = ce.a JOIN st y ON y.clock = ce.clock AND y.symbol = ce.b AND y.ts = x.ts),
+jo AS (SELECT clock, a, b, sum(pow({_K420}, k) * x * y) / sum(pow({_K420}, k)) AS cov, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ts DESC) - 1 AS k FROM jt) GROUP BY 1, 2, 3)""") + """SELECT ce.i, ce.j, ce.a, ce.b, ce.clock, CASE WHEN cov / sqrt(p.var * q.var) IS NOT NULL THEN round(greatest(-1, least(1, cov / sqrt(p.var * q.var))), 6) END AS corr, coalesce(n, 0) AS n_joint, coalesce(cov / sqrt(p.var * q.var) IS NOT NULL AND n >= 400, false) AS valid
+FROM ce LEFT JOIN jo ON jo.a = ce.a AND jo.b = ce.b LEFT JOIN ow p ON p.clock = ce.clock AND p.symbol = ce.a LEFT JOIN ow q ON q.clock = ce.clock AND q.symbol = ce.b""")
 def o416(spark, d):
-    return C.composite_matrix(_panel_corr(spark, d), K.registry(spark, d)).select("a", "b", "clock", r6("corr"), "valid")
+    """Every cell by its own clock; sessions need the calendar's years."""
+    b = K.bars_1h(spark, d).withColumn("ts", F.col("ts") + F.make_ym_interval(years=F.lit(2)))
+    kinds = b.select("symbol", F.expr(_KIND).alias("class"), F.expr("CASE WHEN symbol = 'click' THEN 'observation' ELSE 'core' END").alias("pool"), F.array(F.expr(_THEME)).alias("theme"))
+    return C.composite_matrix(b, kinds.distinct()).withColumn("corr", F.round("corr", 6))
 
 
 _LAST = "list_reduce(list_prepend(0.0::DOUBLE, list({0} ORDER BY ts)), lambda s, v: {1!r}::DOUBLE * s + {2!r}::DOUBLE * v)"
@@ -146,7 +167,8 @@ def o321(spark, d):
 @query("o530_coupling_overview", with_(PANEL_1D, REGISTRY, _PANEL) + "SELECT CASE WHEN x.class = 'us_stock_perp' AND y.class = 'us_stock_perp' THEN 'usrth' WHEN x.class <> 'us_stock_perp' AND y.class <> 'us_stock_perp' THEN 'all247' ELSE 'cross' END AS panel, count(*) AS n_pairs, round(avg(corr), 6) AS mean_corr, round(stddev_pop(corr), 6) AS dispersion FROM pc JOIN registry x ON x.symbol = a JOIN registry y ON y.symbol = b GROUP BY 1")
 def o530(spark, d):
     """Global figures of each panel."""
-    m = C.composite_matrix(_panel_corr(spark, d), K.registry(spark, d))
+    c = _panel_corr(spark, d).select(F.col("a").alias("low"), F.col("b").alias("high"), "corr")
+    m = C.cells(K.registry(spark, d)).join(c, ["low", "high"])
     return m.groupBy(F.col("clock").alias("panel")).agg(F.count(F.lit(1)).alias("n_pairs"), r6(F.avg("corr"), "mean_corr"), r6(F.stddev_pop("corr"), "dispersion"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions import windows as X
 from tidemark.operators import features as O
+from tidemark.plans.quality import FULL_RTH
 from tidemark.plans.registry import query
 from tidemark.sources import canonical as K
 from tidemark.sources.canonical import BARS_1H, VOL_DAILY, with_
@@ -328,6 +329,13 @@ def o358(spark, d):
     return e.select("symbol", "ts", r6("parkinson"), F.when(known, F.round("garman_klass", 6)).alias("garman_klass"), F.when(known, F.round("rogers_satchell", 6)).alias("rogers_satchell"))
 
 
+@query("o360_session_returns", with_(BARS_1H) + f"SELECT symbol, ts + INTERVAL 2 YEAR AS ts, CASE WHEN ts - lag(ts) OVER w = INTERVAL 1 HOUR THEN round(ln(close / lag(close) OVER w), 6) END AS r FROM (SELECT * FROM bars_1h WHERE {FULL_RTH}) {_W}")
+def o360b(spark, d):
+    """On the clock of sessions: the first hour of a day has no return."""
+    b = K.bars_1h(spark, d).withColumn("ts", F.col("ts") + F.make_ym_interval(years=F.lit(2)))
+    return O.panel_returns(b, 3600, "usrth").select("symbol", "ts", r6("r"))
+
+
 @query("o360_panel_returns", with_(BARS_1H) + f"SELECT symbol, ts, CASE WHEN ts - lag(ts) OVER w = INTERVAL 1 HOUR THEN round(ln(close / lag(close) OVER w), 6) END AS r FROM bars_1h {_W}")
 def o360(spark, d):
     return O.panel_returns(K.bars_1h(spark, d), 3600).select("symbol", "ts", r6("r"))

@@ -75,7 +75,11 @@ def o107(spark, d):
 _E2 = f"({_ET} + INTERVAL 1 HOUR)"
 
 
-@query("o108_bar_full_rth", f"SELECT event_id, {_TRADING.format(_ET)} AND {_MIN} >= 570 AND {_ET}::DATE = {_E2}::DATE AND hour({_E2}) * 60 + minute({_E2}) <= {_CLOSE} AS full_rth FROM events")
+#: Of a column ts of January, two years later.
+FULL_RTH = f"{_TRADING.format(_ET)} AND {_MIN} >= 570 AND {_ET}::DATE = {_E2}::DATE AND hour({_E2}) * 60 + minute({_E2}) <= {_CLOSE}"
+
+
+@query("o108_bar_full_rth", f"SELECT event_id, {FULL_RTH} AS full_rth FROM events")
 def o108(spark, d):
     return _moved(spark, d).select("event_id", Q.bar_full_rth(F.col("ts"), 3600).alias("full_rth"))
 
