@@ -73,8 +73,9 @@ def event_proximity(points: DataFrame, events: DataFrame, by: list[str], horizon
     return j.groupBy(*by).agg(best.alias("m")).select(*by, "m.days", "m.event_ts", "m.pub_type", "m.uncertain")
 
 
-def pairs(df: DataFrame, key: str = "symbol", on: str = "ts", value: str = "r") -> DataFrame:
-    """Values of two keys at one time, each unordered pair once; both known."""
-    a = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), on, F.col(value).alias("x"))
-    b = df.where(F.col(value).isNotNull()).select(F.col(key).alias("b"), on, F.col(value).alias("y"))
+def pairs(df: DataFrame, key: str = "symbol", on: str | list[str] = "ts", value: str = "r") -> DataFrame:
+    """Values of two keys at one time (and one panel, where `on` names it), each unordered pair once; both known."""
+    on = [on] if isinstance(on, str) else on
+    a = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), *on, F.col(value).alias("x"))
+    b = df.where(F.col(value).isNotNull()).select(F.col(key).alias("b"), *on, F.col(value).alias("y"))
     return a.join(b, on).where("a < b")
