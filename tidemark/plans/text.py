@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.operators import features as O
+from tidemark.operators import retrieval as R
 from tidemark.operators import spectrum as G
 from tidemark.operators import text as T
 from tidemark.plans.features import r6
@@ -90,6 +91,44 @@ def o708(spark, d):
     return T.within_budget(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], "n_chars", T.NAMED_CHARS).select("source", "doc_id")
 
 
+def _retrieved(spark, d):
+    """Suppliers as a library, orders as contexts: each asks for its customer's nation and priority, every ninth by a supplier's name."""
+    k = F.col("s_suppkey")
+    s, n, r = (K.table(spark, d, t) for t in ("supplier", "nation", "region"))
+    places = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("key"), "n_name", "r_name")  # two fixed, tiny dimensions
+    pick = lambda test, *xs: F.when(test, F.array(*xs)).otherwise(F.array().cast("array<string>"))
+    lib = s.join(F.broadcast(places), F.col("s_nationkey") == F.col("key")).select(
+        F.lower("s_name").alias("slug"), F.col("s_name").alias("title"), F.array().cast("array<string>").alias("aliases"), pick(k % 3 == 0, F.col("n_name")).alias("symbols"), pick(k % 2 == 0, F.lit("1-URGENT"), F.lit("2-HIGH")).alias("regimes"), pick(k % 3 == 1, F.col("r_name")).alias("classes"),
+        F.when(k % 5 == 4, "archived").otherwise("active").alias("status"), F.lit("").alias("superseded_by"), F.lit("old").alias("archive_reason"), F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("updated"),
+        F.concat("s_name", F.lit(" & "), F.repeat(F.col("n_name"), (k % 17 + 1).cast("int"))).alias("line"), F.repeat(F.col("n_name"), (k % 90 + 1).cast("int")).alias("decision"), F.repeat(F.col("n_name"), (k % 700 + 1).cast("int")).alias("archive"),
+    )
+    o, c = K.table(spark, d, "orders"), K.table(spark, d, "customer")
+    key = F.col("o_orderkey")
+    subject = F.struct(F.col("n_name").alias("symbol"), F.col("r_name").alias("class"), F.when(key % 4 == 0, "far").otherwise("near").alias("bucket"), F.array("o_orderpriority").alias("regimes"))
+    ask = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(places), F.col("c_nationkey") == F.col("key"))
+    ask = ask.select(key.alias("context_id"), F.when(key % 3 == 0, "overview").otherwise("symbol").alias("scope"), F.array(subject).alias("subjects"), F.when(key % 9 == 0, F.concat(F.lit("Supplier#"), F.lpad((key % 10 + 1).cast("string"), 9, "0"))).otherwise("-").alias("text"))
+    # a context takes milliseconds, so that they are dealt by number rather than by bytes
+    return R.retrieve(lib, ask.repartition(4 * spark.sparkContext.defaultParallelism, "context_id"))
+
+
+@query("o708_index_lines", f"""WITH RECURSIVE pl AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+li AS (SELECT lower(s_name) AS slug, s_suppkey AS k, n_name, r_name, length(s_name) + 7 + length(n_name) * (s_suppkey % 17 + 1) + 3 AS size, s_suppkey % 28 AS day FROM supplier JOIN pl ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 4),
+co AS (SELECT DISTINCT n_name AS sym, r_name AS cls, o_orderpriority AS pri, o_orderkey % 3 = 0 AS overview, o_orderkey % 4 <> 0 AS near, CASE WHEN o_orderkey % 9 = 0 THEN 'supplier#' || lpad((o_orderkey % 10 + 1)::VARCHAR, 9, '0') END AS named FROM orders JOIN customer ON o_custkey = c_custkey JOIN pl ON c_nationkey = n_nationkey),
+sc AS (SELECT co.*, slug, size, CASE WHEN (k % 3 = 0 AND li.n_name = sym OR k % 3 = 2) THEN CASE WHEN (k % 2 = 1 OR pri IN ('1-URGENT', '2-HIGH')) AND (NOT overview OR near) THEN 3 ELSE 2 END WHEN k % 3 = 1 AND li.r_name = cls THEN 1 ELSE 0 END AS score, coalesce(slug = named, false) AS hit, day FROM co CROSS JOIN li),
+rk AS (SELECT *, row_number() OVER c AS i, count(*) OVER (PARTITION BY sym, pri, overview, near, named) AS n FROM sc WINDOW c AS (PARTITION BY sym, pri, overview, near, named ORDER BY hit DESC, score DESC, day DESC, slug DESC)),
+g AS (SELECT sym, pri, overview, near, named, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS kept, '' AS lines, max(n) AS n FROM rk GROUP BY ALL
+  UNION ALL SELECT g.sym, g.pri, g.overview, g.near, g.named, rk.i, CASE WHEN {{fits}} THEN used + size ELSE used END, CASE WHEN {{fits}} THEN kept + 1 ELSE kept END, CASE WHEN {{fits}} THEN lines || ',' || slug ELSE lines END, g.n FROM g JOIN rk ON rk.sym = g.sym AND rk.pri = g.pri AND rk.overview = g.overview AND rk.near = g.near AND rk.named IS NOT DISTINCT FROM g.named AND rk.i = g.i + 1)
+SELECT o_orderkey AS context_id, substr(lines, 2) AS lines, kept FROM orders JOIN customer ON o_custkey = c_custkey JOIN pl ON c_nationkey = n_nationkey
+JOIN g ON g.i = g.n AND sym = n_name AND pri = o_orderpriority AND overview = (o_orderkey % 3 = 0) AND near = (o_orderkey % 4 <> 0) AND named IS NOT DISTINCT FROM CASE WHEN o_orderkey % 9 = 0 THEN 'supplier#' || lpad((o_orderkey % 10 + 1)::VARCHAR, 9, '0') END""".replace("{fits}", f"{R.FRAME} + used + size + CASE WHEN g.n - kept - 1 > 0 THEN length((g.n - kept - 1)::VARCHAR) + {sum(map(len, R.INDEX_LEFT_OUT)) + 1} ELSE 0 END <= {T.INDEX_CHARS}"))
+def o708b(spark, d):
+    return _retrieved(spark, d).select("context_id", F.array_join("index", ",").alias("lines"), F.size("index").cast("long").alias("kept"))
+
+
+@query("o708_retrieval")
+def o708c(spark, d):
+    return _retrieved(spark, d)
+
+
 @query("o709_without_digits", "SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS url FROM pages")
 def o709(spark, d):
     return K.table(spark, d, "pages").select("page_id", T.without_digits(F.col("url")).alias("url"))
