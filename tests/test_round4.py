@@ -1,6 +1,7 @@
 """Prices of 0, long series and large groups: what the smallest tables don't have."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +41,15 @@ def test_a_volatility_of_zero_is_interpolated_where_it_is_a_quote(spark, with_ze
     assert any(v == "0.081650" for _, v in held(spark, with_zeros, "o522_interpolate_iv"))
     iv = lambda zero: P.interpolate_iv(F.lit(3.0), F.lit(1.0), F.lit(0.0), F.lit(5.0), F.lit(0.0), zero=zero)
     assert tuple(spark.range(1).select(iv(True), iv(False)).first()) == (0.0, None)
+
+
+def test_estimators_over_a_price_of_zero(spark, with_zeros):
+    assert any("inf" in r or "nan" in r for r in held(spark, with_zeros, "o358_range_estimators"))
+
+
+def test_log_ratio_by_the_rules_of_floating_point(spark):
+    from tidemark.functions import windows as X
+
+    pairs = [(2.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (-1.0, 1.0), (None, 1.0), (1.0, None), (None, 0.0)]
+    got = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double").orderBy("i").select(X.log_ratio(F.col("a"), F.col("b"))).collect()]
+    assert got[:3] == [pytest.approx(math.log(2)), math.inf, -math.inf] and math.isnan(got[3]) and got[4:] == [None] * 4

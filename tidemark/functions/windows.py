@@ -75,6 +75,14 @@ def numbered(clock: DataFrame, out: str = "row") -> DataFrame:
     return day.join(days, "_d").withColumn(out, F.col("_before") + F.row_number().over(W.partitionBy("_d").orderBy("ts")) - 1).drop("_d", "_before")
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) of two doubles by the rules of floating point, for which ANSI division and Spark's logarithm stand in the way: infinite where b
+    is 0, minus infinity where a is, NaN where both are; null where the ratio is negative."""
+    inf = float("inf")
+    quotient = F.when(b != 0, a / b).when(b == 0, F.when(a > 0, inf).when(a < 0, -inf).otherwise(F.when(a.isNotNull(), float("nan"))))
+    return F.when(quotient == 0, -inf).otherwise(F.ln(quotient))
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson's correlation as an aggregate; null where a side doesn't vary (under ANSI rules the built-in one raises there)."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

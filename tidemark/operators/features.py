@@ -26,7 +26,7 @@ def true_range(strict: bool = False) -> Column:
 
 def log_return() -> Column:
     pc = F.lag("close").over(X.series())
-    return F.ln(F.col("close") / pc)
+    return X.log_ratio(F.col("close"), pc)
 
 
 def with_base(df: DataFrame) -> DataFrame:
@@ -214,10 +214,10 @@ def path(df: DataFrame, window: int = 120, block: int = 4096) -> DataFrame:
 
 
 def estimators(df: DataFrame, n: int = 14) -> DataFrame:
-    """Range-based volatilities over n bars: parkinson, garman_klass, rogers_satchell (the last two cut at 0)."""
-    ln = F.ln
-    hl, co = ln(F.col("high") / F.col("low")), ln(F.col("close") / F.col("open"))
-    rs = ln(F.col("high") / F.col("close")) * ln(F.col("high") / F.col("open")) + ln(F.col("low") / F.col("close")) * ln(F.col("low") / F.col("open"))
+    """Range-based volatilities over n bars: parkinson, garman_klass, rogers_satchell (the last two cut at 0). Infinite or NaN over bars with a price of 0."""
+    ln = lambda a, b: X.log_ratio(F.col(a), F.col(b))
+    hl, co = ln("high", "low"), ln("close", "open")
+    rs = ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open")
     pk = X.full(F.avg, hl * hl, n) / float(4 * np.log(2))
     gk = X.full(F.avg, 0.5 * hl * hl - float(2 * np.log(2) - 1) * co * co, n)
     return df.withColumns({"parkinson": F.sqrt(pk), "garman_klass": F.sqrt(F.greatest(gk, F.lit(0.0))), "rogers_satchell": F.sqrt(F.greatest(X.full(F.avg, rs, n), F.lit(0.0)))})

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions import windows as X
 from tidemark.operators import joins as J
 from tidemark.operators import scans as S
 from tidemark.plans.registry import query
@@ -40,7 +41,7 @@ def o204(spark, d):
 @query("o205_oi_change", with_(BARS_1H) + "SELECT a.symbol, a.ts, ln(a.close / b.close) AS d4h FROM bars_1h a ASOF JOIN bars_1h b ON a.symbol = b.symbol AND a.ts - INTERVAL 4 HOUR >= b.ts")
 def o205(spark, d):
     b = K.bars_1h(spark, d).select("symbol", "ts", "close")
-    return J.shifted_asof(b, ["symbol"], "close", 4).where("past is not null").select("symbol", "ts", F.ln(F.col("close") / F.col("past")).alias("d4h"))
+    return J.shifted_asof(b, ["symbol"], "close", 4).where("past is not null").select("symbol", "ts", X.log_ratio(F.col("close"), F.col("past")).alias("d4h"))
 
 
 @query("o207_interval_attribution", "SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, round(sum(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2")
