@@ -53,3 +53,7 @@ def test_log_ratio_by_the_rules_of_floating_point(spark):
     pairs = [(2.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (-1.0, 1.0), (None, 1.0), (1.0, None), (None, 0.0)]
     got = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double").orderBy("i").select(X.log_ratio(F.col("a"), F.col("b"))).collect()]
     assert got[:3] == [pytest.approx(math.log(2)), math.inf, -math.inf] and math.isnan(got[3]) and got[4:] == [None] * 4
+
+
+def test_estimator_ranks_over_a_price_of_zero(spark, with_zeros):
+    assert held(spark, with_zeros, "o313_estimator_spearman")

@@ -100,7 +100,8 @@ def o309(spark, d):
 
 @query("o313_estimator_spearman", with_(BARS_1H, PF._EST, "sp AS (SELECT symbol, round(parkinson, 9) AS a, round(rsr, 9) AS b FROM es WHERE parkinson IS NOT NULL AND rsr IS NOT NULL), rk AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY a) + (count(*) OVER (PARTITION BY symbol, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY symbol ORDER BY b) + (count(*) OVER (PARTITION BY symbol, b) - 1) / 2.0::DOUBLE AS rb FROM sp)") + "SELECT symbol, count(*) AS n, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS spearman FROM rk GROUP BY symbol HAVING count(*) >= 100")
 def o313(spark, d):
-    hl, rs = F.ln(F.col("high") / F.col("low")), F.ln(F.col("high") / F.col("close")) * F.ln(F.col("high") / F.col("open")) + F.ln(F.col("low") / F.col("close")) * F.ln(F.col("low") / F.col("open"))
+    ln = lambda a, b: X.log_ratio(F.col(a), F.col(b))
+    hl, rs = ln("high", "low"), ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open")
     e = K.bars_1h(spark, d).select("symbol", F.round(F.sqrt(X.full(F.avg, hl * hl, 14) / F.lit(4 * 0.6931471805599453)), 9).alias("a"), F.round(X.full(F.avg, rs, 14), 9).alias("b")).where("a is not null and b is not null")
 
     def average_rank(c):
