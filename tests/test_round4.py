@@ -57,3 +57,23 @@ def test_log_ratio_by_the_rules_of_floating_point(spark):
 
 def test_estimator_ranks_over_a_price_of_zero(spark, with_zeros):
     assert held(spark, with_zeros, "o313_estimator_spearman")
+
+
+def test_settlement_ahead_of_a_long_series_of_predictions(spark):
+    """One symbol's predictions, a second apart: each meets the next settlement in one pass, and not in one for each row."""
+    import time
+
+    from tidemark.sources import derivatives as D
+
+    t0, n = dt.datetime(2024, 1, 1), 60_000
+    pred = spark.range(n).select(F.lit("s").alias("symbol"), (F.lit(t0) + F.make_dt_interval(secs=F.col("id"))).cast("timestamp_ntz").alias("ts"), F.lit(0.1).alias("funding"), F.lit("pred").alias("kind"))
+    settled = spark.createDataFrame([("s", t0 + dt.timedelta(hours=h), 0.2, "settled") for h in (1, 2, 3, 15, 16)], "symbol string, ts timestamp_ntz, funding double, kind string")
+    data = pred.union(settled).cache()
+    data.count()
+    began = time.time()
+    got = D.rates(data, D.settlements(data)).where("kind = 'pred'").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    took = time.time() - began
+    data.unpersist()
+    # those of 2 and 3 replace an hour each; of unknown hours are the others, which replace what is at their own times
+    assert (got["n"], got["low"], got["high"]) == (n - 7200 - 3, t0, t0 + dt.timedelta(seconds=n - 1))
+    assert took < 20

@@ -95,9 +95,10 @@ def rates(rows: DataFrame, settled: DataFrame) -> DataFrame:
     known = settled.select("symbol", "ts", "rate", F.lit("settled").alias("kind"), F.struct("ts", "hours").alias("_next"))
     pred = rows.where("kind = 'pred' and funding is not null").select("symbol", "ts", F.col("funding").alias("rate"), F.lit("pred").alias("kind"))
     both = known.unionByName(pred, allowMissingColumns=True)
-    # of rows at one time the settled one last, so that it is ahead of the predicted one
-    ahead = W.partitionBy("symbol").orderBy("ts", "kind").rowsBetween(0, W.unboundedFollowing)
-    both = both.withColumn("_ahead", F.first("_next", ignorenulls=True).over(ahead))
+    # backwards in time, as a frame that grows is one pass and one that shrinks is added up anew for each row; of rows at one time the settled one
+    # first, so that it is ahead of the predicted one
+    ahead = W.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_ahead", F.last("_next", ignorenulls=True).over(ahead))
     gap = F.unix_seconds(F.col("_ahead.ts").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
     replaced = (F.col("kind") == "pred") & F.coalesce((gap == 0) | (gap < F.col("_ahead.hours") * 3_600), F.lit(False))
     return both.where(~replaced).select("symbol", "ts", "rate", "kind")
