@@ -77,3 +77,20 @@ def test_settlement_ahead_of_a_long_series_of_predictions(spark):
     # those of 2 and 3 replace an hour each; of unknown hours are the others, which replace what is at their own times
     assert (got["n"], got["low"], got["high"]) == (n - 7200 - 3, t0, t0 + dt.timedelta(seconds=n - 1))
     assert took < 20
+
+
+def test_no_batch_of_the_pair_stream_goes_through_the_driver(spark, tmp_path, capsys):
+    from tidemark.streaming import ops as S
+    from tidemark.streaming import pairs as P
+
+    hours = spark.range(400).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("symbol"), (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(hours=F.floor(F.col("id") / 2).cast("int"))).alias("ts"), (F.col("id") % 7 / 100).alias("r"))
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    with P.rocksdb(spark):
+        s = P.pair_states(S.in_files(hours, f"file://{tmp_path}/in", files=2), pairs)
+        q = s.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    capsys.readouterr()
+    q.explain()
+    plan = capsys.readouterr().out
+    assert "TransformWithState" in plan and "BroadcastExchange" not in plan
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() > 150

@@ -275,6 +275,8 @@ def o909c(spark, d):
     hourly = O.panel_returns(K.bars_1h(spark, d), 3600).select("symbol", "ts", "r")
     names = hourly.select("symbol").distinct()
     pairs = names.select(F.col("symbol").alias("a")).join(names.select(F.col("symbol").alias("b")), F.col("a") < F.col("b"))  # the names of a panel, not rows
+    pairs.write.parquet(f"{(folder := S.work_dir(spark))}/pairs")  # once: a stream reads its static side again with every batch
+    pairs = spark.read.parquet(f"{folder}/pairs")
     with P.rocksdb(spark):
         s = S.run(P.pair_states(S.in_files(hourly, f"{S.work_dir(spark)}/hours", late_seconds=7200), pairs, late="2 hours"), S.work_dir(spark))
     return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -84,5 +84,6 @@ def pair_states(stream: DataFrame, pairs: DataFrame, params: C.Params | None = N
     stream: symbol, ts (timestamp), r; pairs: (a, b) with a < b, a static table. A null r is no value; of values of one series and time the last
     to arrive counts. Start it inside `rocksdb`."""
     sides = pairs.select(F.col("a").alias("symbol"), "a", "b", F.lit(0).alias("side")).union(pairs.select(F.col("b").alias("symbol"), "a", "b", F.lit(1).alias("side")))
-    rows = stream.where("r is not null").withWatermark("ts", late).join(sides, "symbol").select("a", "b", "ts", "side", "r")
+    # merged by symbol: left to itself Spark takes the batch, whose files are small, for the side to broadcast, and sends it through the driver
+    rows = stream.where("r is not null").withWatermark("ts", late).join(sides.hint("merge"), "symbol").select("a", "b", "ts", "side", "r")
     return rows.groupBy("a", "b").transformWithStateInPandas(PairMachine(params or C.Params(), fast, slow), OUT, "append", "eventTime")
