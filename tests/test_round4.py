@@ -94,3 +94,25 @@ def test_no_batch_of_the_pair_stream_goes_through_the_driver(spark, tmp_path, ca
     plan = capsys.readouterr().out
     assert "TransformWithState" in plan and "BroadcastExchange" not in plan
     assert spark.read.parquet(f"file://{tmp_path}/out").count() > 150
+
+
+def test_contexts_that_ask_the_same_are_answered_once_and_all(spark):
+    """30 000 contexts of two questions to 500 entries: each has its answer, without the library being gone through for each."""
+    import time
+
+    from tidemark.operators import retrieval as V
+
+    k = F.col("id")
+    none = F.array().cast("array<string>")
+    entries = spark.range(500).select(
+        F.format_string("p%03d", k).alias("slug"), F.lit("").alias("title"), none.alias("aliases"), F.array(F.when(k % 2 == 0, "A").otherwise("B")).alias("symbols"), none.alias("regimes"), none.alias("classes"), F.lit("active").alias("status"),
+        F.lit("").alias("superseded_by"), F.lit("").alias("archive_reason"), F.lit("2024-01-01").alias("updated"), F.repeat(F.lit("l"), 70).alias("line"), F.repeat(F.lit("d"), 90).alias("decision"), F.lit("").alias("archive"),
+    )
+    subject = F.struct(F.when(k % 3 == 0, "A").otherwise("B").alias("symbol"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("bucket"), F.lit(None).cast("array<string>").alias("regimes"))
+    contexts = spark.range(30_000).select(k.alias("context_id"), F.when(k % 3 > 0, "symbol").alias("scope"), F.array(subject).alias("subjects"), F.lit(None).cast("string").alias("text"))
+    V.retrieve(entries, contexts.limit(2)).collect()
+    began = time.time()
+    got = V.retrieve(entries, contexts).groupBy((F.col("context_id") % 3 == 0).alias("a"), F.col("index")[0].alias("first"), F.col("expanded")[0]["slug"].alias("shown"), F.size("omitted").alias("n")).agg(F.count_distinct("context_id").alias("contexts")).collect()
+    took = time.time() - began
+    assert sorted(tuple(r) for r in got) == [(False, "p499", "p499", 248, 20_000), (True, "p498", "p498", 248, 10_000)]
+    assert took < 15
