@@ -116,3 +116,52 @@ def test_contexts_that_ask_the_same_are_answered_once_and_all(spark):
     took = time.time() - began
     assert sorted(tuple(r) for r in got) == [(False, "p499", "p499", 248, 20_000), (True, "p498", "p498", 248, 10_000)]
     assert took < 15
+
+
+def test_pairs_of_a_hot_group_are_not_also_checked_one_by_one(spark, monkeypatch):
+    """Near copies of one long text and some other texts: what one bucket connects isn't compared again pair by pair, and no link is lost."""
+    import random
+
+    from tidemark.llm import common as C
+    from tidemark.llm import simhash as S
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = r.choices(words, k=300)
+    texts = []
+    for _ in range(160):
+        t = list(base)
+        for at in r.sample(range(300), 4):
+            t[at] = r.choice(words)
+        texts.append(" ".join(t))
+    texts += [" ".join(r.choices(words, k=200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, plain = {}, C.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    kept = {x["doc_id"] for x in S.dedup(docs).collect()}
+    # brute force: links by fingerprints within 3 bits, or within 10 bits and shingle sets similar by 0.8
+    prints = [S.fingerprint(t.encode()) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            bits, both = (prints[i] ^ prints[j]).bit_count(), len(sets[i] & sets[j])
+            pairs += prints[i] != prints[j] and bits <= 10
+            if bits <= 3 or (bits <= 10 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
+    assert pairs > 1000 and counts["simhash-loose"] < len(texts)

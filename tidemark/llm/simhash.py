@@ -139,7 +139,7 @@ def _edges_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndar
 
 
 def _candidates_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs within the radius in each group, for a later check. Where these are over eight a member (a hot group of near copies), edges
+    """Pairs within the radius in each group, for a later check. Where these are over two a member (a hot group of near copies), edges
     that connect what the pairs connect stand for them, marked as such: all pairs among what they connect are still to be checked."""
     for lo, hi in zip(at[:-1], at[1:], strict=True):
         x, n = fp[lo:hi], hi - lo
@@ -149,7 +149,7 @@ def _candidates_in(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np
         np.fill_diagonal(adj, False)
         if cross[lo]:
             adj[side[lo:hi, None] == side[None, lo:hi]] = False
-        hot = bool(adj.sum() > 16 * n)
+        hot = bool(adj.sum() > 4 * n)
         a, b = C.spanning_forest(adj) if hot else np.nonzero(np.triu(adj))
         yield x[a], x[b], hot
 
@@ -239,7 +239,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle:
     a Jaccard similarity of `similarity` and more. prints: (doc_id, fp, h), h a hash of the text.
 
     Pairs are checked one by one, but in hot groups and where a fingerprint has many texts: what such pairs connect is a bucket of texts
-    with their shingles, of which all pairs are compared in blocks that give the edges of spanning forests."""
+    with their shingles, of which all pairs are compared in blocks that give the edges of spanning forests. A pair within such a bucket is compared
+    there and not once more by itself: else a hot group, which meets at many keys, would give its pairs by each key where they are few."""
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > near
     texts = C.materialize(prints.groupBy("fp", "h").agg(F.min("doc_id").alias("doc_id")), "simhash-texts")
     crowded = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY).select("fp")
@@ -248,7 +249,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle:
         found = found.join(crowded.select(F.col("fp").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
     found = found.select("u", "v", (F.col("hot") | (apart & (F.coalesce("_u", F.lit(False)) | F.coalesce("_v", F.lit(False))))).alias("hot"))
     found = C.materialize(found, "simhash-candidates")
-    single, hot = found.where(~F.col("hot") & apart).select("u", "v"), found.where("hot").select("u", "v")
+    joined = C.components(found.where("hot").select("u", "v"), "simhash-hot").select(F.col("node").alias("fp"), F.col("component").alias("key"))
+    joined = C.materialize(joined, "simhash-hot-nodes")
+    loose = found.where(~F.col("hot")).select("u", "v")
+    for end in ("u", "v"):
+        loose = loose.join(joined.select(F.col("fp").alias(end), F.col("key").alias(f"_{end}")), end, "left")
+    loose = C.materialize(loose.where(~F.coalesce(F.col("_u") == F.col("_v"), F.lit(False))).select("u", "v"), "simhash-loose")
+    single = loose.where(apart)
 
     checked = found.where(F.col("hot") | apart)
     ends = C.materialize(checked.select(F.col("u").alias("fp")).union(checked.select("v")).distinct(), "simhash-ends")
@@ -261,7 +268,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle:
     both = F.size(F.array_intersect("a", "b"))
     alike = j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
-    bucket = C.materialize(sets.join(C.components(hot, "simhash-hot").select(F.col("node").alias("fp"), F.col("component").alias("key")), "fp"), "simhash-hot")
+    bucket = C.materialize(sets.join(joined, "fp"), "simhash-hot")
     weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum(F.size("grams")) / GRAMS)).alias("_n")
     spread = C.spread_buckets(bucket, "key", "tag", CHUNK, bucket.groupBy("key").agg(weight))
 
@@ -274,7 +281,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, text_col: str, shingle:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     dealt = spread.select("key", "bi", "bj", "side", "fp", "grams").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
-    return found.where(~F.col("hot") & ~apart).select("u", "v").union(alike).union(dealt.mapInArrow(run, "u long, v long"))
+    return loose.where(~apart).union(alike).union(dealt.mapInArrow(run, "u long, v long"))
 
 
 def _rooted(prints: DataFrame, edges_of) -> DataFrame:
