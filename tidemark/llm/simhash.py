@@ -193,7 +193,7 @@ def _met(fps: DataFrame, radius: int, segments: int, pick) -> DataFrame:
     """(u, v, hot): what `pick` gives of the groups in which fingerprints meet; hot where it says so."""
     every = members(fps, radius, segments)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("placed").alias("_p")).where("_n > 1 and _p = 1").drop("_p")
-    spread = C.spread_buckets(every.select("key", "fp"), "key", "fp", CHUNK, sizes)
+    spread = C.spread_buckets(every.select("key", "fp").hint("merge"), "key", "fp", CHUNK, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in C.sorted_groups(batches, ["key", "bi", "bj"]):
